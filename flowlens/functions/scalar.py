@@ -149,9 +149,27 @@ def clean_packets(df: DataFrame, mode: str = "lenient", label: str = "label") ->
 
 
 # -- P8 ---------------------------------------------------------------------
+def round_sql(x: str, digits: int = 4) -> str:
+    """Half-up rounding as one IEEE formula, ``floor(x * 10^d + 0.5) / 10^d``.
+
+    Spark's ``round`` (decimal HALF_UP) and other engines break exact ties
+    (common for microsecond values) differently; this text evaluates to the
+    same bits everywhere. Values beyond 1e14 are returned unchanged.
+    """
+    s = f"1e{digits}"
+    return f"(CASE WHEN abs(({x})) < 1e14 THEN CAST(floor(({x}) * {s} + 5e-1) AS DOUBLE) / {s} ELSE ({x}) END)"
+
+
+def round_half_up(x, digits: int = 4) -> Column:
+    name = x if isinstance(x, str) else None
+    if name is None:
+        raise TypeError("round_half_up takes a column name")
+    return F.expr(round_sql(f"`{name}`", digits))
+
+
 def round_features(df: DataFrame, digits: int = 4, cols: list[str] | None = None) -> DataFrame:
     targets = set(cols or FEATURES)
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in targets else F.col(c)
+    return df.select(*[round_half_up(c, digits).alias(c) if c in targets else F.col(c)
                        for c in df.columns])
 
 

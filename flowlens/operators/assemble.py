@@ -212,34 +212,41 @@ def assign_flows(packets: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, clock: str
 
 def capture_ends(packets: DataFrame) -> DataFrame:
     """Last packet time per capture (tiny: one row per capture)."""
-    return packets.groupBy("capture_id").agg(F.max("ts_us").alias("capture_end_us"))
+    return (packets.groupBy(F.coalesce(F.col("capture_id"), F.lit("")).alias("capture_id"))
+            .agg(F.max("ts_us").alias("capture_end_us")))
 
 
-def with_close_reason(flows: DataFrame, ends: DataFrame, cfg: FlowConfig = DEFAULT_FLOW,
-                      clock: str = "key") -> DataFrame:
-    """``close_reason`` and ``emit_us`` of each flow.
+def close_reason_sqls(cfg: FlowConfig = DEFAULT_FLOW, clock: str = "key") -> dict[str, str]:
+    """F3/F7 as SQL over ``first_us, last_us, fin_flag_count, rst_flag_count,
+    proto, capture_end_us`` (shared with the oracle).
 
     ``tcp_close`` (RST, or two FINs) and, in capture clock, ``active`` on the
     packet that crosses the active timeout emit at the last packet. Other
     flows expire by timer at ``min(last + idle, first + active)``: ``idle`` or
     ``active`` when the capture runs past that time, ``flush`` when the
-    capture ends first (the end-of-capture flush). Needs flow columns
-    ``first_us, last_us, fin_flag_count, rst_flag_count, proto``.
+    capture ends first (end-of-capture flush; emitted at the timer time too).
     """
     idle, active = cfg.idle_us, cfg.active_us
-    timer = F.least(F.col("last_us") + idle, F.col("first_us") + active)
-    tcp_close = (F.col("proto") == 6) & ((F.col("rst_flag_count") > 0) | (F.col("fin_flag_count") >= 2))
-    own_active = F.lit(clock == "capture") & (F.col("last_us") - F.col("first_us") >= active)
-    # The ends table has one row per capture; AQE turns this into a broadcast
-    # join at runtime when it is under the broadcast threshold.
+    timer = f"least(last_us + {idle}, first_us + {active})"
+    tcp = "(proto = 6 AND (rst_flag_count > 0 OR fin_flag_count >= 2))"
+    own = f"(last_us - first_us >= {active})" if clock == "capture" else "FALSE"
+    reason = (f"CASE WHEN {tcp} THEN 'tcp_close' WHEN {own} THEN 'active' "
+              f"WHEN capture_end_us < {timer} THEN 'flush' "
+              f"WHEN last_us + {idle} <= first_us + {active} THEN 'idle' ELSE 'active' END")
+    emit = f"CAST(CASE WHEN {tcp} OR {own} THEN last_us ELSE {timer} END AS BIGINT)"
+    return {"close_reason": reason, "emit_us": emit}
+
+
+def with_close_reason(flows: DataFrame, ends: DataFrame, cfg: FlowConfig = DEFAULT_FLOW,
+                      clock: str = "key") -> DataFrame:
+    """Add ``close_reason`` and ``emit_us`` (see :func:`close_reason_sqls`).
+
+    ``ends`` has one row per capture; under AQE this join becomes a broadcast
+    hash join at runtime once its measured size is under the threshold.
+    """
     out = flows.join(ends, "capture_id", "left")
-    reason = (F.when(tcp_close, F.lit("tcp_close"))
-              .when(own_active, F.lit("active"))
-              .when(F.col("capture_end_us") < timer, F.lit("flush"))
-              .when(F.col("last_us") + idle <= F.col("first_us") + active, F.lit("idle"))
-              .otherwise(F.lit("active")))
-    emit = F.when(tcp_close | own_active, F.col("last_us")).otherwise(timer)
-    return out.withColumn("close_reason", reason).withColumn("emit_us", emit.cast("long")).drop("capture_end_us")
+    out = out.withColumns({k: F.expr(v) for k, v in close_reason_sqls(cfg, clock).items()})
+    return out.drop("capture_end_us")
 
 
 def min_packets(flows: DataFrame, n: int = 1) -> DataFrame:

@@ -67,23 +67,23 @@ AGG_EXPRS: dict[str, str] = {
 
 def _std(n: str, s: str, s2: str) -> str:
     return (f"CASE WHEN {n} > 0 THEN sqrt(greatest(CAST({n} AS DOUBLE) * CAST({s2} AS DOUBLE)"
-            f" - CAST({s} AS DOUBLE) * CAST({s} AS DOUBLE), 0.0)) / {n} ELSE 0.0 END")
+            f" - CAST({s} AS DOUBLE) * CAST({s} AS DOUBLE), 0e0)) / {n} ELSE 0e0 END")
 
 
 def _mean(n: str, s: str) -> str:
-    return f"CASE WHEN {n} > 0 THEN CAST({s} AS DOUBLE) / {n} ELSE 0.0 END"
+    return f"CASE WHEN {n} > 0 THEN CAST({s} AS DOUBLE) / {n} ELSE 0e0 END"
 
 
 def _z(x: str) -> str:
     return f"CAST(COALESCE({x}, 0) AS DOUBLE)"
 
 
-_DUR = "(CASE WHEN last_us > first_us THEN (last_us - first_us) / 1000000.0 ELSE 0.000001 END)"
+_DUR = "(CASE WHEN last_us > first_us THEN CAST(last_us - first_us AS DOUBLE) / 1e6 ELSE 1e-6 END)"
 _NB = "(n - nf)"
-_SEC = " / 1000000.0"
+_SEC = " / 1e6"
 
 FEATURE_EXPRS: dict[str, str] = {
-    "flow_duration": "CAST(greatest(last_us - first_us, 0) AS DOUBLE) / 1000000.0",
+    "flow_duration": "CAST(greatest(last_us - first_us, 0) AS DOUBLE) / 1e6",
     "total_fwd_packets": "CAST(nf AS DOUBLE)",
     "total_bwd_packets": f"CAST({_NB} AS DOUBLE)",
     "total_packets": "CAST(n AS DOUBLE)",
@@ -107,7 +107,7 @@ FEATURE_EXPRS: dict[str, str] = {
     "flow_pkts_per_s": f"CAST(n AS DOUBLE) / {_DUR}",
     "fwd_pkts_per_s": f"CAST(nf AS DOUBLE) / {_DUR}",
     "bwd_pkts_per_s": f"CAST({_NB} AS DOUBLE) / {_DUR}",
-    "down_up_ratio": f"CASE WHEN nf > 0 THEN CAST({_NB} AS DOUBLE) / nf ELSE 0.0 END",
+    "down_up_ratio": f"CASE WHEN nf > 0 THEN CAST({_NB} AS DOUBLE) / nf ELSE 0e0 END",
     "flow_iat_mean": f"({_mean('ga_n', 'ga_s')}){_SEC}",
     "flow_iat_std": f"({_std('ga_n', 'ga_s', 'ga_s2')}){_SEC}",
     "flow_iat_max": f"{_z('ga_max')}{_SEC}",

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import align_features
+from ..functions.scalar import align_features, round_sql
 from ..schema import FEATURES
 from ..settings import DEFAULT_FLOW, DEFAULT_THRESHOLDS, FlowConfig, Thresholds
 from .profile import Profile
@@ -45,7 +45,7 @@ def _num(x: float) -> str:
 
 
 def _sigmoid(x: str) -> str:
-    return f"(1.0 / (1.0 + exp(-greatest(least({x}, 60.0), -60.0))))"
+    return f"(1e0 / (1e0 + exp(-greatest(least({x}, 6e1), -6e1))))"
 
 
 def literal_profile(p: Profile) -> Callable[[int, str], tuple[str, str]]:
@@ -66,31 +66,31 @@ def _z(i: int, f: str, ref) -> str:
 def d2_sql(ref) -> str:
     """Mean squared z over the 52 features."""
     terms = " + ".join(f"{_z(i, f, ref)} * {_z(i, f, ref)}" for i, f in enumerate(FEATURES))
-    return f"(({terms}) / {len(FEATURES)}.0)"
+    return f"(({terms}) / {len(FEATURES)}e0)"
 
 
 def energy_sql(ref) -> str:
     """Mean of max(|z| - 1, 0)^2 over the 52 features."""
-    g = [f"greatest(abs({_z(i, f, ref)}) - 1.0, 0.0)" for i, f in enumerate(FEATURES)]
+    g = [f"greatest(abs({_z(i, f, ref)}) - 1e0, 0e0)" for i, f in enumerate(FEATURES)]
     terms = " + ".join(f"{x} * {x}" for x in g)
-    return f"(({terms}) / {len(FEATURES)}.0)"
+    return f"(({terms}) / {len(FEATURES)}e0)"
 
 
 def routine_sql(d: str = "dist") -> str:
     """M1: sigmoid(1.6 (d - 2.2))."""
-    return _sigmoid(f"1.6 * ({d} - 2.2)")
+    return _sigmoid(f"1.6e0 * ({d} - 2.2e0)")
 
 
 def anomaly_sql(energy: str = "energy") -> str:
     """M2: 0.5 tanh(energy / 6) + 1e-6."""
-    return f"(tanh({energy} / 6.0) * 0.5 + 0.000001)"
+    return f"(tanh({energy} / 6e0) * 5e-1 + 1e-6)"
 
 
 def context_sql(n: str = "ctx_n", mean: str = "ctx_mean", sd: str = "ctx_sd") -> str:
     """M3 over the frame's distances: drift, consistency, sigmoid; < 2 rows -> 0."""
-    cons = f"greatest(least(1.0 - {sd} / ({mean} + 0.000001), 1.0), 0.0)"
-    signal = f"({mean} * (0.6 + 0.4 * {cons}))"
-    return f"(CASE WHEN {n} < 2 THEN 0.0 ELSE {_sigmoid(f'1.4 * ({signal} - 2.2)')} END)"
+    cons = f"greatest(least(1e0 - {sd} / ({mean} + 1e-6), 1e0), 0e0)"
+    signal = f"({mean} * (6e-1 + 4e-1 * {cons}))"
+    return f"(CASE WHEN {n} < 2 THEN 0e0 ELSE {_sigmoid(f'1.4e0 * ({signal} - 2.2e0)')} END)"
 
 
 def gate_sqls(t: Thresholds, cfg: FlowConfig) -> dict[str, str]:
@@ -130,13 +130,13 @@ def verdict_sqls(t: Thresholds) -> dict[str, str]:
         return f"(CASE {whens} ELSE '{default}' END)"
 
     def clip01(x: str) -> str:
-        return f"greatest(least({x}, 1.0), 0.0)"
+        return f"greatest(least({x}, 1e0), 0e0)"
 
-    thr2 = f"(greatest({_num(t.autoencoder)}, 0.000000001) * 2.0)"
-    cands = [f"CASE WHEN routine_score IS NULL THEN -1.0 ELSE {clip01('routine_score')} END",
-             f"CASE WHEN context_score IS NULL THEN -1.0 ELSE {clip01('context_score')} END",
-             f"CASE WHEN anomaly_score IS NULL THEN -1.0 ELSE {clip01(f'anomaly_score / {thr2}')} END"]
-    threat = f"round(greatest(greatest({', '.join(cands)}), 0.0), 4)"
+    thr2 = f"(greatest({_num(t.autoencoder)}, 1e-9) * 2e0)"
+    cands = [f"CASE WHEN routine_score IS NULL THEN -1e0 ELSE {clip01('routine_score')} END",
+             f"CASE WHEN context_score IS NULL THEN -1e0 ELSE {clip01('context_score')} END",
+             f"CASE WHEN anomaly_score IS NULL THEN -1e0 ELSE {clip01(f'anomaly_score / {thr2}')} END"]
+    threat = round_sql(f"greatest({', '.join(cands)}, 0e0)", 4)
 
     def state(score: str, thr: float, waiting: str | None = None) -> str:
         none = f"CASE WHEN {waiting} THEN 'WAITING' ELSE 'UNAVAILABLE' END" if waiting else "'UNAVAILABLE'"
@@ -204,7 +204,7 @@ def score_flows(flows: DataFrame, profile: Profile, t: Thresholds = DEFAULT_THRE
     """M7: full three-barrier scoring of a flows table."""
     s = score_anomaly(score_routine(score_distances(flows, profile), profile), profile)
     s = with_host_context(s, cfg, host_col)
-    return with_verdict(s, t, cfg).drop("energy", "ctx_n", "ctx_mean", "ctx_sd")
+    return with_verdict(s, t, cfg).drop("energy", "ctx_mean", "ctx_sd")
 
 
 def score_table(df: DataFrame, profile: Profile, t: Thresholds = DEFAULT_THRESHOLDS,

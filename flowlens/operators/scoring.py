@@ -20,6 +20,7 @@ from ..functions.scalar import align_features, round_sql
 from ..schema import FEATURES
 from ..settings import DEFAULT_FLOW, DEFAULT_THRESHOLDS, FlowConfig, Thresholds
 from .profile import Profile
+from .windows import HOUR_US, sliding_frame
 
 # fixed values: verdict reasons, in decision order
 REASONS = {
@@ -175,20 +176,21 @@ def score_anomaly(flows: DataFrame, profile: Profile) -> DataFrame:
 
 
 def with_host_context(scored: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, host_col: str = "src_ip",
-                      order_cols: list[str] | None = None) -> DataFrame:
+                      order_cols: list[str] | None = None, bucket_us: int = HOUR_US,
+                      chunk_rows: int = 1 << 16) -> DataFrame:
     """W1 + M3: per host, over its last ``sequence_len`` flows in emission order,
     ``history_len`` (capped), frame count/mean/std of ``dist`` and ``ctx_raw``.
+
+    The frame is evaluated by :func:`sliding_frame`, so a host with a large
+    share of all flows is spread over time buckets and row chunks.
     """
     order = order_cols or EMIT_ORDER
     L = cfg.sequence_len
-    base = Window.partitionBy(host_col).orderBy(*order)
-    frame = base.rowsBetween(-(L - 1), 0)
-    return (scored
-            .withColumn("history_len", F.least(F.row_number().over(base), F.lit(L)).cast("int"))
-            .withColumn("ctx_n", F.count("dist").over(frame))
-            .withColumn("ctx_mean", F.avg("dist").over(frame))
-            .withColumn("ctx_sd", F.stddev_pop("dist").over(frame))
-            .withColumn("ctx_raw", F.expr(context_sql())))
+    out = sliding_frame(scored, [host_col], order, L,
+                        {"ctx_n": F.count("dist"), "ctx_mean": F.avg("dist"), "ctx_sd": F.stddev_pop("dist")},
+                        time_col=order[0], bucket_us=bucket_us, chunk_rows=chunk_rows, rank_col="_pos")
+    return (out.withColumn("history_len", F.least(F.col("_pos"), F.lit(L)).cast("int"))
+            .withColumn("ctx_raw", F.expr(context_sql())).drop("_pos"))
 
 
 def with_verdict(df: DataFrame, t: Thresholds = DEFAULT_THRESHOLDS,

@@ -23,48 +23,54 @@ _PACKET_EXPRS = {
     "_flags": "CAST(COALESCE(tcp_flags, 0) AS BIGINT)",
 }
 
-# Per-flow aggregates; every sum is an exact BIGINT.
+# Per-flow aggregates; every sum is an exact BIGINT. ``{w}`` follows every aggregate
+# call: empty for GROUP BY, an OVER clause for running (interim) aggregates.
 AGG_EXPRS: dict[str, str] = {
-    "first_us": "MIN(ts_us)",
-    "last_us": "MAX(ts_us)",
-    "n": "CAST(COUNT(*) AS BIGINT)",
-    "nf": "CAST(SUM(CASE WHEN fwd THEN 1 ELSE 0 END) AS BIGINT)",
-    "bf": "CAST(SUM(CASE WHEN fwd THEN _len ELSE 0 END) AS BIGINT)",
-    "bb": "CAST(SUM(CASE WHEN fwd THEN 0 ELSE _len END) AS BIGINT)",
-    "sf2": "CAST(SUM(CASE WHEN fwd THEN _len * _len ELSE 0 END) AS BIGINT)",
-    "sb2": "CAST(SUM(CASE WHEN fwd THEN 0 ELSE _len * _len END) AS BIGINT)",
-    "fmax": "MAX(CASE WHEN fwd THEN _len END)",
-    "fmin": "MIN(CASE WHEN fwd THEN _len END)",
-    "bmax": "MAX(CASE WHEN fwd THEN NULL ELSE _len END)",
-    "bmin": "MIN(CASE WHEN fwd THEN NULL ELSE _len END)",
-    "amax": "MAX(_len)",
-    "amin": "MIN(_len)",
-    "ga_n": "CAST(COUNT(gap_all) AS BIGINT)",
-    "ga_s": "CAST(SUM(gap_all) AS BIGINT)",
-    "ga_s2": "CAST(SUM(gap_all * gap_all) AS BIGINT)",
-    "ga_max": "MAX(gap_all)",
-    "ga_min": "MIN(gap_all)",
-    "gf_n": "CAST(COUNT(CASE WHEN fwd THEN gap_dir END) AS BIGINT)",
-    "gf_s": "CAST(SUM(CASE WHEN fwd THEN gap_dir END) AS BIGINT)",
-    "gf_s2": "CAST(SUM(CASE WHEN fwd THEN gap_dir * gap_dir END) AS BIGINT)",
-    "gf_max": "MAX(CASE WHEN fwd THEN gap_dir END)",
-    "gf_min": "MIN(CASE WHEN fwd THEN gap_dir END)",
-    "gb_n": "CAST(COUNT(CASE WHEN fwd THEN NULL ELSE gap_dir END) AS BIGINT)",
-    "gb_s": "CAST(SUM(CASE WHEN fwd THEN NULL ELSE gap_dir END) AS BIGINT)",
-    "gb_s2": "CAST(SUM(CASE WHEN fwd THEN NULL ELSE gap_dir * gap_dir END) AS BIGINT)",
-    "gb_max": "MAX(CASE WHEN fwd THEN NULL ELSE gap_dir END)",
-    "gb_min": "MIN(CASE WHEN fwd THEN NULL ELSE gap_dir END)",
-    "c_fin": "CAST(SUM(CASE WHEN (_flags & 1) <> 0 THEN 1 ELSE 0 END) AS BIGINT)",
-    "c_syn": "CAST(SUM(CASE WHEN (_flags & 2) <> 0 THEN 1 ELSE 0 END) AS BIGINT)",
-    "c_rst": "CAST(SUM(CASE WHEN (_flags & 4) <> 0 THEN 1 ELSE 0 END) AS BIGINT)",
-    "c_psh": "CAST(SUM(CASE WHEN (_flags & 8) <> 0 THEN 1 ELSE 0 END) AS BIGINT)",
-    "c_ack": "CAST(SUM(CASE WHEN (_flags & 16) <> 0 THEN 1 ELSE 0 END) AS BIGINT)",
-    "c_urg": "CAST(SUM(CASE WHEN (_flags & 32) <> 0 THEN 1 ELSE 0 END) AS BIGINT)",
-    "hf": "CAST(SUM(CASE WHEN fwd THEN _hdr ELSE 0 END) AS BIGINT)",
-    "hb": "CAST(SUM(CASE WHEN fwd THEN 0 ELSE _hdr END) AS BIGINT)",
+    "first_us": "MIN(ts_us){w}",
+    "last_us": "MAX(ts_us){w}",
+    "n": "CAST(COUNT(*){w} AS BIGINT)",
+    "nf": "CAST(SUM(CASE WHEN fwd THEN 1 ELSE 0 END){w} AS BIGINT)",
+    "bf": "CAST(SUM(CASE WHEN fwd THEN _len ELSE 0 END){w} AS BIGINT)",
+    "bb": "CAST(SUM(CASE WHEN fwd THEN 0 ELSE _len END){w} AS BIGINT)",
+    "sf2": "CAST(SUM(CASE WHEN fwd THEN _len * _len ELSE 0 END){w} AS BIGINT)",
+    "sb2": "CAST(SUM(CASE WHEN fwd THEN 0 ELSE _len * _len END){w} AS BIGINT)",
+    "fmax": "MAX(CASE WHEN fwd THEN _len END){w}",
+    "fmin": "MIN(CASE WHEN fwd THEN _len END){w}",
+    "bmax": "MAX(CASE WHEN fwd THEN NULL ELSE _len END){w}",
+    "bmin": "MIN(CASE WHEN fwd THEN NULL ELSE _len END){w}",
+    "amax": "MAX(_len){w}",
+    "amin": "MIN(_len){w}",
+    "ga_n": "CAST(COUNT(gap_all){w} AS BIGINT)",
+    "ga_s": "CAST(SUM(gap_all){w} AS BIGINT)",
+    "ga_s2": "CAST(SUM(gap_all * gap_all){w} AS BIGINT)",
+    "ga_max": "MAX(gap_all){w}",
+    "ga_min": "MIN(gap_all){w}",
+    "gf_n": "CAST(COUNT(CASE WHEN fwd THEN gap_dir END){w} AS BIGINT)",
+    "gf_s": "CAST(SUM(CASE WHEN fwd THEN gap_dir END){w} AS BIGINT)",
+    "gf_s2": "CAST(SUM(CASE WHEN fwd THEN gap_dir * gap_dir END){w} AS BIGINT)",
+    "gf_max": "MAX(CASE WHEN fwd THEN gap_dir END){w}",
+    "gf_min": "MIN(CASE WHEN fwd THEN gap_dir END){w}",
+    "gb_n": "CAST(COUNT(CASE WHEN fwd THEN NULL ELSE gap_dir END){w} AS BIGINT)",
+    "gb_s": "CAST(SUM(CASE WHEN fwd THEN NULL ELSE gap_dir END){w} AS BIGINT)",
+    "gb_s2": "CAST(SUM(CASE WHEN fwd THEN NULL ELSE gap_dir * gap_dir END){w} AS BIGINT)",
+    "gb_max": "MAX(CASE WHEN fwd THEN NULL ELSE gap_dir END){w}",
+    "gb_min": "MIN(CASE WHEN fwd THEN NULL ELSE gap_dir END){w}",
+    "c_fin": "CAST(SUM(CASE WHEN (_flags & 1) <> 0 THEN 1 ELSE 0 END){w} AS BIGINT)",
+    "c_syn": "CAST(SUM(CASE WHEN (_flags & 2) <> 0 THEN 1 ELSE 0 END){w} AS BIGINT)",
+    "c_rst": "CAST(SUM(CASE WHEN (_flags & 4) <> 0 THEN 1 ELSE 0 END){w} AS BIGINT)",
+    "c_psh": "CAST(SUM(CASE WHEN (_flags & 8) <> 0 THEN 1 ELSE 0 END){w} AS BIGINT)",
+    "c_ack": "CAST(SUM(CASE WHEN (_flags & 16) <> 0 THEN 1 ELSE 0 END){w} AS BIGINT)",
+    "c_urg": "CAST(SUM(CASE WHEN (_flags & 32) <> 0 THEN 1 ELSE 0 END){w} AS BIGINT)",
+    "hf": "CAST(SUM(CASE WHEN fwd THEN _hdr ELSE 0 END){w} AS BIGINT)",
+    "hb": "CAST(SUM(CASE WHEN fwd THEN 0 ELSE _hdr END){w} AS BIGINT)",
 }
 
 
+def agg_sql(name: str, over: str = "") -> str:
+    """Aggregate ``name`` as SQL; ``over`` (e.g. ``OVER w``) makes it a window aggregate."""
+    return AGG_EXPRS[name].replace("{w}", f" {over}" if over else "")
+
+
 def _std(n: str, s: str, s2: str) -> str:
     return (f"CASE WHEN {n} > 0 THEN sqrt(greatest(CAST({n} AS DOUBLE) * CAST({s2} AS DOUBLE)"
             f" - CAST({s} AS DOUBLE) * CAST({s} AS DOUBLE), 0e0)) / {n} ELSE 0e0 END")
@@ -156,7 +162,7 @@ def flow_aggregates(flow_packets: DataFrame, group_cols: list[str] | None = None
     """Exact per-flow moments (the inputs of :data:`FEATURE_EXPRS`)."""
     group = group_cols or (KEY_COLS + ["flow_no"])
     prepped = flow_packets.withColumns({k: F.expr(v) for k, v in _PACKET_EXPRS.items()})
-    return prepped.groupBy(*group).agg(*[F.expr(v).alias(k) for k, v in AGG_EXPRS.items()])
+    return prepped.groupBy(*group).agg(*[F.expr(agg_sql(k)).alias(k) for k in AGG_EXPRS])
 
 
 def features_from_aggregates(aggs: DataFrame, keep: list[str]) -> DataFrame:

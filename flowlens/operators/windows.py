@@ -25,13 +25,15 @@ def _bucket(time_col: str, bucket_us: int) -> Column:
 
 
 def running_sum(df: DataFrame, part: list[str], order: list[str], value: Column | str, out: str,
-                time_col: str, bucket_us: int = HOUR_US) -> DataFrame:
+                time_col: str | None = None, bucket_us: int = HOUR_US, bucket: Column | None = None) -> DataFrame:
     """``out`` = running sum of ``value`` per ``part`` in ``order`` (inclusive).
 
-    ``order`` must start with ``time_col`` so buckets follow the order.
+    Buckets are ``time_col`` // ``bucket_us``, or any ``bucket`` expression
+    that is non-decreasing along ``order`` (e.g. a prefix of the sort key).
     """
     v = F.col(value) if isinstance(value, str) else value
-    b = df.withColumn("_bkt", _bucket(time_col, bucket_us)).withColumn("_v", v.cast("long"))
+    bk = bucket if bucket is not None else _bucket(time_col, bucket_us)
+    b = df.withColumn("_bkt", bk).withColumn("_v", v.cast("long"))
     per = (b.groupBy(*part, "_bkt").agg(F.sum("_v").alias("_s"))
            .withColumn("_off", F.coalesce(F.sum("_s").over(
                Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -42,10 +44,11 @@ def running_sum(df: DataFrame, part: list[str], order: list[str], value: Column
             .drop("_bkt", "_v", "_off"))
 
 
-def global_rank(df: DataFrame, part: list[str], order: list[str], out: str, time_col: str,
-                bucket_us: int = HOUR_US) -> DataFrame:
-    """``out`` = 1-based position of the row in ``order`` within ``part``."""
-    return running_sum(df, part, order, F.lit(1), out, time_col, bucket_us)
+def global_rank(df: DataFrame, part: list[str], order: list[str], out: str, time_col: str | None = None,
+                bucket_us: int = HOUR_US, bucket: Column | None = None) -> DataFrame:
+    """``out`` = 1-based position of the row in ``order`` within ``part``
+    (``part`` may be empty: a global position without a single-task sort)."""
+    return running_sum(df, part, order, F.lit(1), out, time_col, bucket_us, bucket)
 
 
 def sliding_frame(df: DataFrame, part: list[str], order: list[str], width: int, aggs: dict[str, Column],
@@ -68,3 +71,76 @@ def sliding_frame(df: DataFrame, part: list[str], order: list[str], width: int,
     w = Window.partitionBy(*part, "_chunk").orderBy(rank_col).rowsBetween(-(width - 1), 0)
     out = both.withColumns({k: v.over(w) for k, v in aggs.items()})
     return out.filter(~F.col("_ctx")).drop("_chunk", "_ctx")
+
+
+
+def last_before(df: DataFrame, part: list[str], order: list[str], values: dict[str, Column],
+                time_col: str, bucket_us: int = HOUR_US) -> DataFrame:
+    """For each ``out -> value``: the last non-null ``value`` strictly before
+    each row (per ``part``, in ``order``), all in one pass.
+
+    Inside a (key, bucket) a running ``last(ignorenulls)`` frame; the first
+    rows of a bucket fall back to the last value of earlier buckets, carried
+    by a small table with one row per (key, bucket).
+    """
+    names = list(values)
+    b = df.withColumn("_bkt", _bucket(time_col, bucket_us))
+    b = b.withColumns({f"_val{i}": values[n] for i, n in enumerate(names)})
+    okey = [F.col(c).alias(f"_o{j}") for j, c in enumerate(order)]
+    per = b.groupBy(*part, "_bkt").agg(*[
+        F.max(F.when(F.col(f"_val{i}").isNotNull(), F.struct(*okey, F.col(f"_val{i}").alias("v"))))
+        .alias(f"_m{i}") for i in range(len(names))])
+    wb = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*part, "_bkt", *[F.last(F.col(f"_m{i}.v"), ignorenulls=True).over(wb).alias(f"_carry{i}")
+                                      for i in range(len(names))])
+    w = Window.partitionBy(*part, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumns({f"_inner{i}": F.last(f"_val{i}", ignorenulls=True).over(w) for i in range(len(names))})
+    out = b.join(per, part + ["_bkt"]).withColumns(
+        {n: F.coalesce(f"_inner{i}", f"_carry{i}") for i, n in enumerate(names)})
+    drop = ["_bkt"] + [f"_{p}{i}" for i in range(len(names)) for p in ("val", "inner", "carry")]
+    return out.drop(*drop)
+
+
+def monotone_bucket(x: Column, per_octave: int = 8) -> Column:
+    """A bucket id that never decreases as ``x`` grows (log-spaced, signed)."""
+    mag = F.floor(F.log2(F.abs(x) + F.lit(1.0)) * per_octave)
+    return F.when(x < 0, -mag - 1).otherwise(mag).cast("long")
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_col: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``).
+
+    Rows collapse to (value, count) first, a bucketed running count gives each
+    distinct value its position range, and the two values bracketing position
+    ``(n - 1) * p`` are looked up by a join with the small table of wanted
+    positions. No task holds all values; a frequent value is one row.
+    Output: ``[group_col,] p, value``.
+    """
+    part = [group_col] if group_col else []
+    v = df.select(*part, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    counts = v.groupBy(*part, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sum(counts, part, ["_x"], "_c", "_cum", bucket=monotone_bucket(F.col("_x")))
+    cum = cum.withColumn("_lo_pos", F.col("_cum") - F.col("_c"))
+    totals = counts.groupBy(*part).agg(F.sum("_c").alias("_n"))
+    # one row per (group, p): the wanted positions
+    want = totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    want = (want.withColumn("_h", (F.col("_n") - 1) * F.col("p"))
+            .withColumn("_i", F.floor("_h").cast("long"))
+            .withColumn("_j", F.least(F.col("_i") + 1, F.col("_n") - 1)))
+
+    def at(idx: str, name: str) -> DataFrame:
+        w_ = want.select(*[F.col(c).alias("_g") for c in part], "p", "_h", "_i", F.col(idx).alias("_k"))
+        cond = [cum["_lo_pos"] <= w_["_k"], w_["_k"] < cum["_cum"]]
+        if part:
+            # equi-join on the group; each group has len(probs) wanted rows
+            cond.append(cum[group_col] == w_["_g"])
+        else:
+            # no group: len(probs) rows in total, a proven-small broadcast side
+            w_ = F.broadcast(w_)
+        return (cum.join(w_, cond)
+                .select(*[cum[c] for c in part], "p", cum["_x"].alias(name), "_h", "_i"))
+
+    lo, hi = at("_i", "_a"), at("_j", "_b")
+    out = lo.join(hi.drop("_h", "_i"), part + ["p"])
+    value = F.col("_a") + (F.col("_h") - F.col("_i")) * (F.col("_b") - F.col("_a"))
+    return out.select(*part, "p", value.alias("value"))

@@ -1 +1,403 @@
-"""Further registered queries (added as operators land)."""
+"""Registered queries beyond the flow/scoring/analytics core: response,
+data quality, dataset building, training support, scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import response as R
+from ..operators.analytics import event_id
+from ..operators.scoring import EMIT_ORDER
+from ..schema import KEY_COLS
+from ..settings import Policy
+from . import context as C
+from .catalog import EVENT_ID_SQL, KF, KEYF, ORDER_ASC, register
+from .oracle import scored_ctes, with_ctes
+
+# Response policy of the registered queries: auto-block on, nothing enforced.
+POLICY = Policy(auto_block=True, dry_run=True, block_threshold=5, block_duration_seconds=300)
+DUR = POLICY.block_duration_seconds * 1_000_000
+ALERT_SQL = "src_ip IS NOT NULL AND status IN ('ATTACK', 'SUSPICIOUS')"
+
+
+def actions(spark, sf) -> DataFrame:
+    return C.actions(spark, sf, POLICY)
+
+
+def commands(acts: DataFrame) -> DataFrame:
+    """Manual commands derived from the data: unblock the first two alerting
+    sources 100 s after their first alert; block the quietest source at its
+    first event."""
+    first = (acts.filter(R.is_alert()).groupBy(F.col("src_ip").alias("ip"))
+             .agg(F.min("emit_us").alias("t")).orderBy("t", "ip").limit(2)
+             .select("ip", (F.col("t") + 100_000_000).alias("t_us"), F.lit("unblock").alias("command")))
+    quiet = (acts.groupBy(F.col("src_ip").alias("ip"))
+             .agg(F.count_if(R.is_alert()).alias("a"), F.min("emit_us").alias("t_us"))
+             .orderBy("a", "ip").limit(1).select("ip", "t_us", F.lit("block").alias("command")))
+    return first.unionByName(quiet)
+
+
+def _actions_ctes() -> list[str]:
+    p = POLICY
+    return scored_ctes() + [
+        f"""act1 AS (SELECT *, CAST(sum(CASE WHEN {ALERT_SQL} THEN 1 ELSE 0 END) OVER (PARTITION BY src_ip
+    ORDER BY {ORDER_ASC} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS alert_count FROM scored)""",
+        f"""act2 AS (SELECT *,
+    CASE WHEN src_ip IS NULL THEN 'observe' WHEN NOT ({ALERT_SQL}) THEN 'observe'
+         WHEN {str(p.auto_block).upper()} AND alert_count >= {p.block_threshold} THEN 'block' ELSE 'watch' END AS action_type,
+    CASE WHEN src_ip IS NULL THEN '{R.MSG_NO_SOURCE}' WHEN NOT ({ALERT_SQL}) THEN '{R.MSG_BELOW}'
+         WHEN {str(p.auto_block).upper()} AND alert_count >= {p.block_threshold} THEN concat('Block registered for ', src_ip, '.')
+         ELSE concat(CAST(alert_count AS VARCHAR), ' alert(s) from source.') END AS action_message
+  FROM act1)""",
+        """bev AS (SELECT src_ip AS ip, emit_us AS t_us, alert_count AS n,
+    concat(CAST(alert_count AS VARCHAR), ' alerts') AS reason, 0 AS kind FROM act2 WHERE action_type = 'block')""",
+    ]
+
+
+def _intervals_ctes() -> list[str]:
+    return _actions_ctes() + [
+        "b2 AS (SELECT *, lag(t_us) OVER (PARTITION BY ip ORDER BY t_us, n) AS prev FROM bev)",
+        f"""b3 AS (SELECT *, sum(CASE WHEN prev IS NULL OR t_us - prev >= {DUR} THEN 1 ELSE 0 END)
+    OVER (PARTITION BY ip ORDER BY t_us, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM b2)""",
+        f"""intervals AS (SELECT ip, max(struct_pack(t := t_us, n := n, r := reason)).r AS reason, TRUE AS dry_run,
+    min(t_us) AS blocked_us, CAST(max(t_us) + {DUR} AS BIGINT) AS expires_us, CAST(count(*) AS BIGINT) AS renewals
+  FROM b3 GROUP BY ip, isl)""",
+    ]
+
+
+# == W5 / R1 ==================================================================
+@register("response_actions", with_ctes(_actions_ctes(), f"SELECT {KF}, alert_count, action_type, action_message FROM act2"))
+def q_response_actions(spark, sf):
+    """R1+W5: running alert count per source and the observe/watch/block action."""
+    return actions(spark, sf).select(*KEYF, "alert_count", "action_type", "action_message")
+
+
+# == R2 =======================================================================
+@register("block_intervals", with_ctes(_intervals_ctes(), "SELECT * FROM intervals"))
+def q_block_intervals(spark, sf):
+    """R2: merged, renewing block intervals per source."""
+    return R.block_intervals(actions(spark, sf), POLICY)
+
+
+@register("active_blocks", with_ctes(_intervals_ctes(), """
+SELECT i.* FROM intervals i, (SELECT max(emit_us) AS t FROM scored) m WHERE i.blocked_us <= m.t AND m.t < i.expires_us"""))
+def q_active_blocks(spark, sf):
+    """R2: blocks in force at the latest emission time."""
+    acts = actions(spark, sf)
+    t = acts.agg(F.max("emit_us")).first()[0]
+    return R.active_blocks(R.block_intervals(acts, POLICY), t)
+
+
+# == R3 =======================================================================
+_CMD_CTES = [
+    f"""afirst AS (SELECT src_ip AS ip, min(emit_us) AS t FROM act2 WHERE {ALERT_SQL} GROUP BY src_ip)""",
+    """cmds AS (SELECT * FROM (SELECT ip, t + 100000000 AS t_us, 'unblock' AS command FROM afirst ORDER BY t, ip LIMIT 2) u
+  UNION ALL SELECT * FROM (SELECT src_ip AS ip, min(emit_us) AS t_us, 'block' AS command FROM act2 GROUP BY src_ip
+    ORDER BY sum(CASE WHEN """ + ALERT_SQL + """ THEN 1 ELSE 0 END), src_ip LIMIT 1) q)""",
+    """ev AS (SELECT ip, t_us, n, reason, kind FROM bev
+  UNION ALL SELECT ip, t_us, 0, 'manual', 0 FROM cmds WHERE command = 'block'
+  UNION ALL SELECT ip, t_us, 0, NULL, 1 FROM cmds WHERE command = 'unblock')""",
+    """e2 AS (SELECT *, max(CASE WHEN kind = 0 THEN t_us END) OVER w AS prev_b, max(CASE WHEN kind = 1 THEN t_us END) OVER w AS prev_u
+  FROM ev WINDOW w AS (PARTITION BY ip ORDER BY t_us, kind, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+    f"""e3 AS (SELECT *, sum(CASE WHEN kind = 0 AND (prev_b IS NULL OR t_us - prev_b >= {DUR}
+      OR (prev_u IS NOT NULL AND prev_u >= prev_b)) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY ip ORDER BY t_us, kind, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM e2)""",
+    """e4 AS (SELECT ip, isl, min(CASE WHEN kind = 0 THEN t_us END) AS blocked_us, max(CASE WHEN kind = 0 THEN t_us END) AS last_b,
+    min(CASE WHEN kind = 1 THEN t_us END) AS cut,
+    max(CASE WHEN kind = 0 THEN struct_pack(t := t_us, n := n, r := reason) END).r AS reason,
+    CAST(sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) AS BIGINT) AS renewals
+  FROM e3 WHERE isl > 0 GROUP BY ip, isl)""",
+]
+
+
+@register("block_commands", with_ctes(_actions_ctes() + _CMD_CTES, f"""
+SELECT ip, reason, TRUE AS dry_run, blocked_us,
+  CAST(CASE WHEN cut IS NOT NULL AND cut < last_b + {DUR} THEN cut ELSE last_b + {DUR} END AS BIGINT) AS expires_us, renewals
+FROM e4"""))
+def q_block_commands(spark, sf):
+    """Block intervals with manual block / unblock commands folded in."""
+    acts = actions(spark, sf)
+    return R.block_intervals(acts, POLICY, commands(acts))
+
+
+# == R4 =======================================================================
+@register("block_fixed", with_ctes(_actions_ctes() + [
+    "q AS (SELECT ip, t_us, n, reason, row_number() OVER (PARTITION BY ip ORDER BY t_us, n) AS rn FROM bev)",
+    f"""chain AS (SELECT ip, rn, t_us, reason, t_us + {DUR} AS cur_end, TRUE AS starts FROM q WHERE rn = 1
+  UNION ALL SELECT q.ip, q.rn, q.t_us, q.reason,
+    CASE WHEN q.t_us >= c.cur_end THEN q.t_us + {DUR} ELSE c.cur_end END, q.t_us >= c.cur_end
+  FROM chain c JOIN q ON q.ip = c.ip AND q.rn = c.rn + 1)"""],
+    f"SELECT ip, reason, TRUE AS dry_run, t_us AS blocked_us, CAST(t_us + {DUR} AS BIGINT) AS expires_us FROM chain WHERE starts"))
+def q_block_fixed(spark, sf):
+    """Legacy non-renewing blocks (alerts during a block are ignored)."""
+    return R.block_intervals_fixed(actions(spark, sf), POLICY)
+
+
+# == J2 =======================================================================
+@register("flag_blocked", with_ctes(_intervals_ctes(), f"""
+SELECT {', '.join('s.' + c for c in KEYF)}, i.ip IS NOT NULL AS blocked
+FROM scored s LEFT JOIN intervals i ON s.src_ip = i.ip AND i.blocked_us <= s.emit_us AND s.emit_us < i.expires_us"""))
+def q_flag_blocked(spark, sf):
+    """Was the event's source blocked at its emission time (interval join)."""
+    acts = actions(spark, sf)
+    return R.flag_blocked(acts, R.block_intervals(acts, POLICY)).select(*KEYF, "blocked")
+
+
+# =============================================================================
+# F6 interim snapshots
+# =============================================================================
+from ..functions.scalar import round_half_up, round_sql  # noqa: E402
+from ..operators.assemble import assign_flows  # noqa: E402
+from ..operators.features import _PACKET_EXPRS, AGG_EXPRS, FEATURE_EXPRS, agg_sql  # noqa: E402
+from ..operators.interim import interim_flows, snapshot_sql  # noqa: E402
+from ..schema import FEATURES  # noqa: E402
+from .oracle import K, flow_ctes, flow_packet_ctes  # noqa: E402
+
+_RUN_DUCK = f"OVER (PARTITION BY {K}, flow_no ORDER BY ts_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _interim_sql(clock: str) -> str:
+    pe = ", ".join(f"{v} AS {k}" for k, v in _PACKET_EXPRS.items())
+    ag = ", ".join(f"{agg_sql(k, _RUN_DUCK)} AS {k}" for k in AGG_EXPRS)
+    feats = ", ".join(f"{round_sql(v)} AS {k}" for k, v in FEATURE_EXPRS.items())
+    return with_ctes(flow_packet_ctes(clock) + [
+        f"ir AS (SELECT {K}, flow_no, seq, ts_us, {ag} FROM (SELECT *, {pe} FROM fpg) x)"],
+        f"SELECT {KF}, n AS packets, ts_us AS emit_us, FALSE AS final, {feats} FROM ir WHERE {snapshot_sql(clock=clock)}")
+
+
+def _interim(spark, sf, clock):
+    it = interim_flows(assign_flows(C.packets(spark, sf), clock=clock), clock=clock)
+    return it.select(*KEYF, "packets", "emit_us", "final", *[round_half_up(f).alias(f) for f in FEATURES])
+
+
+@register("interim_flows", _interim_sql("key"))
+def q_interim_flows(spark, sf):
+    """interim snapshots of open flows at packets 2, 8, 14, ..."""
+    return _interim(spark, sf, "key")
+
+
+@register("interim_flows_capture", _interim_sql("capture"))
+def q_interim_flows_capture(spark, sf):
+    """F6 under the capture clock."""
+    return _interim(spark, sf, "capture")
+
+
+# =============================================================================
+# D1-D9 data quality on a dirty copy of the flow dataset
+# =============================================================================
+from ..operators import quality as Q  # noqa: E402
+
+DIRTY_COLS = FEATURES + ["src_ip", "dst_ip", "attack_type", "label", "const_col"]
+_DIRTY_CTE = f"""dirty AS (
+  SELECT {', '.join(c for c in DIRTY_COLS)} FROM (
+    SELECT {', '.join(f for f in FEATURES if f not in ('bwd_iat_min', 'flow_iat_std', 'flow_bytes_per_s'))},
+      CASE WHEN total_bwd_packets = 0 THEN NULL ELSE bwd_iat_min END AS bwd_iat_min,
+      CASE WHEN total_packets = 1 THEN NULL ELSE flow_iat_std END AS flow_iat_std,
+      CASE WHEN flow_duration = 0 AND protocol = 1 THEN CAST('inf' AS DOUBLE) ELSE flow_bytes_per_s END AS flow_bytes_per_s,
+      src_ip, dst_ip, attack_type, label, CAST(1.0 AS DOUBLE) AS const_col, close_reason
+    FROM flows) b
+  UNION ALL
+  SELECT {', '.join(c for c in DIRTY_COLS)} FROM (
+    SELECT {', '.join(f for f in FEATURES if f not in ('bwd_iat_min', 'flow_iat_std', 'flow_bytes_per_s'))},
+      CASE WHEN total_bwd_packets = 0 THEN NULL ELSE bwd_iat_min END AS bwd_iat_min,
+      CASE WHEN total_packets = 1 THEN NULL ELSE flow_iat_std END AS flow_iat_std,
+      CASE WHEN flow_duration = 0 AND protocol = 1 THEN CAST('inf' AS DOUBLE) ELSE flow_bytes_per_s END AS flow_bytes_per_s,
+      src_ip, dst_ip, attack_type, label, CAST(1.0 AS DOUBLE) AS const_col, close_reason
+    FROM flows) d WHERE close_reason = 'tcp_close')"""
+
+
+def dirty_flows(spark, sf) -> DataFrame:
+    """Flow dataset with data-driven defects: nulls where a side has no gaps,
+    +inf rate on zero-duration ICMP flows, a constant column, and a second
+    copy of every TCP-closed flow."""
+    f = C.flows(spark, sf)
+    base = f.select(*FEATURES, "src_ip", "dst_ip", "attack_type", "label", "close_reason").withColumns({
+        "bwd_iat_min": F.when(F.col("total_bwd_packets") == 0, F.lit(None)).otherwise(F.col("bwd_iat_min")),
+        "flow_iat_std": F.when(F.col("total_packets") == 1, F.lit(None)).otherwise(F.col("flow_iat_std")),
+        "flow_bytes_per_s": F.when((F.col("flow_duration") == 0) & (F.col("protocol") == 1),
+                                   F.lit(float("inf"))).otherwise(F.col("flow_bytes_per_s")),
+        "const_col": F.lit(1.0)})
+    return base.unionByName(base.filter(F.col("close_reason") == "tcp_close")).select(*DIRTY_COLS)
+
+
+def _dq(select: str) -> str:
+    return with_ctes(flow_ctes("key") + [_DIRTY_CTE], select)
+
+
+@register("dq_schema")
+def q_dq_schema(spark, sf):
+    """Column names, types and row count of the dirty dataset."""
+    return Q.profile_schema(dirty_flows(spark, sf))
+
+
+@register("dq_missing", _dq("SELECT column_name, CAST(missing AS BIGINT) AS missing, " + round_sql(
+    "CASE WHEN _rows > 0 THEN missing * 100.0e0 / _rows ELSE 0e0 END", 4) + " AS missing_pct FROM (UNPIVOT (SELECT count(*) AS _rows, "
+    + ", ".join(f"sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS m__{c}" for c in DIRTY_COLS)
+    + " FROM dirty) ON " + ", ".join(f"m__{c} AS '{c}'" for c in DIRTY_COLS) + " INTO NAME column_name VALUE missing) u"))
+def q_dq_missing(spark, sf):
+    """Missing values per column and percentage."""
+    return Q.missing(dirty_flows(spark, sf))
+
+
+@register("dq_duplicates", _dq("SELECT CAST((SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty) x) AS BIGINT) AS duplicates"))
+def q_dq_duplicates(spark, sf):
+    """D3: duplicate rows (second and later copies)."""
+    return Q.duplicates(dirty_flows(spark, sf))
+
+
+def _describe_sql() -> str:
+    nums = FEATURES + ["label", "const_col"]
+    texts = ["src_ip", "dst_ip", "attack_type"]
+    parts = []
+    for c in nums:
+        x = f"CAST({c} AS DOUBLE)"
+        for stat, e in (("count", f"CAST(count({x}) AS DOUBLE)"), ("mean", f"avg({x})"), ("std", f"stddev_samp({x})"),
+                        ("min", f"min({x})"), ("max", f"max({x})"),
+                        ("25%", f"quantile_cont({x}, 0.25) FILTER (WHERE NOT isnan({x}))"),
+                        ("50%", f"quantile_cont({x}, 0.5) FILTER (WHERE NOT isnan({x}))"),
+                        ("75%", f"quantile_cont({x}, 0.75) FILTER (WHERE NOT isnan({x}))")):
+            parts.append(f"SELECT '{c}' AS column_name, '{stat}' AS stat, {round_sql(e, 4)} AS num, CAST(NULL AS VARCHAR) AS text FROM dirty")
+    for c in texts:
+        parts.append(f"SELECT '{c}', 'count', CAST(count({c}) AS DOUBLE), NULL FROM dirty")
+        parts.append(f"SELECT '{c}', 'unique', CAST(count(DISTINCT {c}) AS DOUBLE), NULL FROM dirty")
+        parts.append(f"SELECT '{c}', 'top', NULL, v FROM (SELECT {c} AS v, count(*) AS n FROM dirty WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1) t")
+        parts.append(f"SELECT '{c}', 'freq', CAST(n AS DOUBLE), NULL FROM (SELECT {c} AS v, count(*) AS n FROM dirty WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1) t")
+    return _dq("\nUNION ALL ".join(parts))
+
+
+@register("dq_describe", _describe_sql())
+def q_dq_describe(spark, sf):
+    """Describe (count, mean, std, min, quartiles, max; top/freq for text)."""
+    return Q.describe(dirty_flows(spark, sf))
+
+
+@register("dq_cardinality", _dq(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values FROM dirty" for c in DIRTY_COLS)))
+def q_dq_cardinality(spark, sf):
+    """Distinct values per column."""
+    return Q.cardinality(dirty_flows(spark, sf))
+
+
+@register("dq_infinities", _dq("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(sum(CASE WHEN abs({c}) = CAST('inf' AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS infinities FROM dirty"
+    for c in FEATURES + ["const_col"]) + ") x WHERE infinities > 0"))
+def q_dq_infinities(spark, sf):
+    """Infinite values per column."""
+    return Q.infinities(dirty_flows(spark, sf))
+
+
+@register("dq_constant_columns", _dq("SELECT column_name FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS d FROM dirty" for c in DIRTY_COLS) + ") x WHERE d = 1"))
+def q_dq_constant_columns(spark, sf):
+    """Constant columns."""
+    return Q.constant_columns(dirty_flows(spark, sf))
+
+
+def _corr_sql() -> str:
+    nums = FEATURES + ["label", "const_col"]
+    pairs = [(a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
+    sel = ", ".join(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r{j}" for j, (a, b) in enumerate(pairs))
+    un = ", ".join(f"r{j}" for j in range(len(pairs)))
+    names = " ".join(f"WHEN 'r{j}' THEN '{a}|{b}'" for j, (a, b) in enumerate(pairs))
+    return _dq(f"""SELECT split_part(k, '|', 1) AS column_a, split_part(k, '|', 2) AS column_b, {round_sql('r', 3)} AS corr
+FROM (SELECT CASE name {names} END AS k, r FROM (UNPIVOT (SELECT {sel} FROM dirty) ON {un} INTO NAME name VALUE r) u) x
+WHERE r IS NOT NULL AND NOT isnan(r) AND abs(r) > 0.95""")
+
+
+@register("dq_correlated_pairs", _corr_sql())
+def q_dq_correlated_pairs(spark, sf):
+    """Column pairs with |corr| > 0.95."""
+    return Q.correlated_pairs(dirty_flows(spark, sf), 0.95)
+
+
+@register("dq_dataset_gate", with_ctes(flow_ctes("key"), f"""
+SELECT 'normal_share' AS check, {round_sql('normal / greatest(rows, 1)', 4)} AS value, normal / greatest(rows, 1) >= 0.6 AND normal / greatest(rows, 1) <= 0.8 AS passed FROM g
+UNION ALL SELECT 'normal_flows', CAST(normal AS DOUBLE), normal >= 2000 FROM g
+UNION ALL SELECT 'attack_flows', CAST(attack AS DOUBLE), attack >= 2000 FROM g
+UNION ALL SELECT 'normal_distinct_ports', CAST(ports AS DOUBLE), ports >= 10 FROM g
+UNION ALL SELECT 'normal_distinct_sizes', CAST(sizes AS DOUBLE), sizes >= 10 FROM g""".replace(
+    "FROM g", "FROM (SELECT count(*) AS rows, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS normal, "
+    "sum(CASE WHEN label <> 0 THEN 1 ELSE 0 END) AS attack, count(DISTINCT CASE WHEN label = 0 THEN dst_port END) AS ports, "
+    "count(DISTINCT CASE WHEN label = 0 THEN round(avg_pkt_size, 0) END) AS sizes FROM flows) g")))
+def q_dq_dataset_gate(spark, sf):
+    """Dataset checklist (normal share, flows per class, normal diversity)."""
+    return Q.dataset_gate(C.flows(spark, sf))
+
+
+# =============================================================================
+# U1, S6, M13, M14 dataset building
+# =============================================================================
+from ..operators import dataset as DS  # noqa: E402
+
+ROW_ID_SQL = ("concat_ws('|', capture_id, a_ip, CAST(a_port AS VARCHAR), b_ip, CAST(b_port AS VARCHAR), "
+              "CAST(proto AS VARCHAR), CAST(flow_no AS VARCHAR))")
+
+
+def _row_id():
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in KEYF])
+
+
+@register("merge_flows", with_ctes(flow_ctes("key"), f"""
+SELECT {KF}, label, attack_type, md5(concat('42:', {ROW_ID_SQL})) AS shuffle_key FROM (
+  SELECT * FROM flows WHERE label = 0 UNION ALL SELECT * FROM flows WHERE label <> 0) u"""))
+def q_merge_flows(spark, sf):
+    """Merge per-class flow datasets, fill nulls, seeded shuffle key."""
+    f = C.flows(spark, sf)
+    m = DS.merge_flows([f.filter("label = 0"), f.filter("label <> 0")], 42, _row_id())
+    return m.select(*KEYF, "label", "attack_type", "shuffle_key")
+
+
+@register("replay_selection", with_ctes(flow_ctes("key"), f"""
+SELECT {KF}, label, src_ip, CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS replay_pos FROM (
+  SELECT *, md5(concat('42:', {ROW_ID_SQL})) AS k FROM flows WHERE label = 1 ORDER BY k LIMIT 100) s"""))
+def q_replay_selection(spark, sf):
+    """Attack-profile replay selection, seeded shuffle, limit 100."""
+    s = DS.select_profile(C.flows(spark, sf), "attack", 100, 42, _row_id())
+    return s.select(*KEYF, "label", "src_ip", "replay_pos")
+
+
+@register("stratified_split", with_ctes(flow_ctes("key"), f"""
+SELECT {KF}, label, r <= floor(n * 0.2 + 0.5) AS is_test FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', {ROW_ID_SQL}))) AS r,
+         count(*) OVER (PARTITION BY label) AS n FROM flows) s"""))
+def q_stratified_split(spark, sf):
+    """Exact stratified 20 % test split by seeded md5 order."""
+    return DS.stratified_split(C.flows(spark, sf), 0.2, 42, _row_id()).select(*KEYF, "label", "is_test")
+
+
+@register("class_weights", with_ctes(flow_ctes("key"), """
+SELECT negatives, positives, negatives / greatest(positives, 1) AS scale_pos_weight FROM (
+  SELECT CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives,
+         CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positives FROM flows) c"""))
+def q_class_weights(spark, sf):
+    """Class counts and scale_pos_weight = neg / max(pos, 1)."""
+    return DS.class_weights(C.flows(spark, sf))
+
+
+# =============================================================================
+# W2 sequences (long form with oracle; array form rows-only)
+# =============================================================================
+from ..operators.sequences import build_sequences, sequence_members  # noqa: E402
+
+
+@register("sequence_members", with_ctes(flow_ctes("key"), f"""
+SELECT src_ip, CAST(start_pos / 4 AS BIGINT) AS seq_no, CAST(start_pos AS BIGINT) AS start_pos,
+       CAST(slot AS INTEGER) AS slot, {KF} FROM (
+  SELECT f.*, s.start_pos, CASE WHEN f.n < 16 THEN f.pos + 16 - f.n ELSE f.pos - s.start_pos END AS slot FROM (
+    SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY {ORDER_ASC}) - 1 AS pos,
+           count(*) OVER (PARTITION BY src_ip) AS n FROM flows) f
+  JOIN (SELECT DISTINCT src_ip AS h, CAST(x AS BIGINT) AS start_pos FROM flows,
+          (SELECT unnest(range(0, 100000, 4)) AS x) r) s
+    ON s.h = f.src_ip AND ((f.n < 16 AND s.start_pos = 0)
+       OR (f.n >= 16 AND s.start_pos <= f.n - 16 AND s.start_pos <= f.pos AND f.pos < s.start_pos + 16))) z"""))
+def q_sequence_members(spark, sf):
+    """Flows per host window (length 16, stride 4, left-padded short hosts)."""
+    m = sequence_members(C.flows(spark, sf), 16, 4, "src_ip")
+    return m.select("src_ip", "seq_no", "start_pos", "slot", *KEYF)
+
+
+@register("flow_sequences")
+def q_flow_sequences(spark, sf):
+    """(host, seq_no, 16x52 window, label) training sequences."""
+    return build_sequences(C.flows(spark, sf), 16, 4, "src_ip")

@@ -44,9 +44,26 @@ def profile(spark: SparkSession, sf_dir: str, clock: str = "key") -> Profile:
 
 
 def events(spark: SparkSession, sf_dir: str, clock: str = "key") -> DataFrame:
-    """Scored flows (finals), the events table of the analytics queries."""
-    return score_flows(flows(spark, sf_dir, clock), profile(spark, sf_dir, clock),
-                       DEFAULT_THRESHOLDS, DEFAULT_FLOW)
+    """Scored flows (finals), the events table of the analytics queries.
+
+    Persisted like a materialised events table: later operators scan it
+    instead of re-planning the scoring chain.
+    """
+    k = _key(spark, sf_dir, "events", clock)
+    if k not in _CACHE:
+        _CACHE[k] = score_flows(flows(spark, sf_dir, clock), profile(spark, sf_dir, clock),
+                                DEFAULT_THRESHOLDS, DEFAULT_FLOW).persist(StorageLevel.MEMORY_AND_DISK)
+    return _CACHE[k]
+
+
+def actions(spark: SparkSession, sf_dir: str, policy, clock: str = "key") -> DataFrame:
+    """Events with the R1 action columns (persisted per policy)."""
+    from ..operators.response import with_action
+
+    k = _key(spark, sf_dir, "actions", clock, policy)
+    if k not in _CACHE:
+        _CACHE[k] = with_action(events(spark, sf_dir, clock), policy).persist(StorageLevel.MEMORY_AND_DISK)
+    return _CACHE[k]
 
 
 def clear() -> None:

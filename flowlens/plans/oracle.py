@@ -9,7 +9,7 @@ feature and scoring formulas reuse the same SQL text as the Spark side.
 from __future__ import annotations
 
 from ..operators.assemble import close_reason_sqls
-from ..operators.features import _PACKET_EXPRS, AGG_EXPRS, FEATURE_EXPRS
+from ..operators.features import _PACKET_EXPRS, AGG_EXPRS, FEATURE_EXPRS, agg_sql
 from ..operators.scoring import (EMIT_ORDER, column_profile, context_sql, d2_sql, energy_sql,
                                  gate_sqls, routine_sql, anomaly_sql, verdict_sqls)
 from ..schema import FEATURES, KEY_COLS
@@ -81,7 +81,7 @@ def flow_packet_ctes(clock: str = "key", cfg: FlowConfig = DEFAULT_FLOW) -> list
 def flow_ctes(clock: str = "key", cfg: FlowConfig = DEFAULT_FLOW) -> list[str]:
     """``flows``: the labelled flows table (same columns as ``build_flows``)."""
     pe = ", ".join(f"{v} AS {k}" for k, v in _PACKET_EXPRS.items())
-    ag = ",\n    ".join(f"{v} AS {k}" for k, v in AGG_EXPRS.items())
+    ag = ",\n    ".join(f"{agg_sql(k)} AS {k}" for k in AGG_EXPRS)
     fe = ",\n    ".join(f"{v} AS {k}" for k, v in FEATURE_EXPRS.items())
     cr = close_reason_sqls(cfg, clock)
     feats = ", ".join(FEATURES)
@@ -125,6 +125,4 @@ def scored_ctes(clock: str = "key", cfg: FlowConfig = DEFAULT_FLOW,
 
 
 def with_ctes(ctes: list[str], select: str) -> str:
-    recursive = any(c.startswith("walk AS") for c in ctes)
-    head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select

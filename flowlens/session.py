@@ -24,10 +24,13 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, **conf) -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int = 8, driver_memory: str = "8g",
+              **conf) -> SparkSession:
     builder = SparkSession.builder.appName("flowlens")
     if master:
         builder = builder.master(master)
+        # local mode: the driver JVM is the only executor (takes effect for a new JVM)
+        builder = builder.config("spark.driver.memory", driver_memory)
     settings = dict(DEFAULT_CONF)
     settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update({k: str(v) for k, v in conf.items()})

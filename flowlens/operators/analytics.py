@@ -239,6 +239,6 @@ def packet_row_features(packets: DataFrame) -> DataFrame:
     out = (b.join(counts, ["capture_id", "_bkt"])
            .withColumn("frame_number", (F.col("_off") + F.row_number().over(
                Window.partitionBy("capture_id", "_bkt").orderBy("ts_us", "seq"))).cast("long"))
-           .withColumn("time_delta", F.when(F.col("prev_cap_us").isNull(), F.lit(0.0))
-                       .otherwise((F.col("ts_us") - F.col("prev_cap_us")) / 1e6)))
+           .withColumn("delta_us", F.coalesce(F.col("ts_us") - F.col("prev_cap_us"), F.lit(0)).cast("long"))
+           .withColumn("time_delta", F.col("delta_us") / 1e6))
     return out.drop("_bkt", "_off", "prev_cap_us")

@@ -401,3 +401,142 @@ def q_sequence_members(spark, sf):
 def q_flow_sequences(spark, sf):
     """(host, seq_no, 16x52 window, label) training sequences."""
     return build_sequences(C.flows(spark, sf), 16, 4, "src_ip")
+
+
+# =============================================================================
+# Legacy per-packet path: S7 / P11 / P6 / P6b / P7 / W3, and P5 / P12
+# =============================================================================
+from ..functions.scalar import align_features, binary_verdict, clean_packets, to_number  # noqa: E402
+from ..operators.analytics import packet_row_features  # noqa: E402
+from ..schema import LEGACY_FEATURES  # noqa: E402
+from ..sources.legacy import align_packet_features, legacy_packets  # noqa: E402
+from .oracle import keyed_ctes, packets_ctes  # noqa: E402
+
+
+def _q(c: str) -> str:
+    return '"' + c + '"'
+
+
+def _us_sql(us: str, sep: str) -> str:
+    return f"concat(CAST(({us}) // 1000000 AS VARCHAR), {sep}, lpad(CAST(({us}) % 1000000 AS VARCHAR), 6, '0'))"
+
+
+_LEGACY_CTES = packets_ctes() + [
+    """pr AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ts_us, seq) AS frame_number,
+    COALESCE(ts_us - lag(ts_us) OVER (PARTITION BY capture_id ORDER BY ts_us, seq), 0) AS delta_us,
+    min(ts_us) OVER (PARTITION BY capture_id) AS t0 FROM packets)""",
+    f"""legacy AS (SELECT capture_id, seq,
+    CAST(frame_number AS VARCHAR) AS "frame.number",
+    {_us_sql('ts_us - t0', "'.'")} AS "frame.time_relative",
+    CAST(length AS VARCHAR) AS "frame.len",
+    {_us_sql('delta_us', "CASE WHEN frame_number % 3 = 0 THEN ',' ELSE '.' END")} AS "frame.time_delta",
+    CAST(proto AS VARCHAR) AS "ip.proto",
+    CASE WHEN proto = 6 THEN CAST(src_port AS VARCHAR) END AS "tcp.srcport",
+    CASE WHEN proto = 6 THEN CAST(dst_port AS VARCHAR) END AS "tcp.dstport",
+    CASE WHEN proto = 17 THEN CAST(src_port AS VARCHAR) END AS "udp.srcport",
+    CASE WHEN proto = 17 THEN CAST(dst_port AS VARCHAR) END AS "udp.dstport",
+    CASE WHEN proto = 6 AND frame_number % 5 <> 0 THEN concat('0x', lower(hex(tcp_flags))) END AS "tcp.flags",
+    CASE WHEN proto = 1 THEN '8' END AS "icmp.type",
+    CASE WHEN proto = 1 THEN CAST(frame_number AS VARCHAR) END AS "icmp.seq",
+    CASE WHEN proto = 6 THEN '0' END AS "mqtt.msgtype",
+    CASE WHEN capture_id = 'normal' THEN '0' ELSE '1' END AS label
+  FROM pr)""",
+]
+
+
+def _to_number_sql(c: str) -> str:
+    t = f"trim({c})"
+    low = f"lower({t})"
+    v = (f"CASE WHEN {c} IS NULL OR {t} = '' OR {low} IN ('nan', 'none', 'null') THEN 0e0 "
+         f"WHEN starts_with({low}, '0x') THEN COALESCE(CASE WHEN regexp_full_match(substr({low}, 3), '[0-9a-f]+') "
+         f"THEN CAST(TRY_CAST({low} AS BIGINT) AS DOUBLE) END, 0e0) "
+         f"ELSE TRY_CAST(replace({t}, ',', '.') AS DOUBLE) END")
+    return f"(CASE WHEN ({v}) IS NULL OR isnan({v}) OR isinf({v}) THEN 0e0 ELSE ({v}) END)"
+
+
+def _legacy(spark, sf):
+    return legacy_packets(C.packets(spark, sf))
+
+
+@register("legacy_packets", with_ctes(_LEGACY_CTES, "SELECT * FROM legacy"))
+def q_legacy_packets(spark, sf):
+    """S7+P11: legacy per-frame text table (frame number, relative time, delta, ports, hex flags)."""
+    return _legacy(spark, sf)
+
+
+@register("packet_row_features", with_ctes(_LEGACY_CTES, f"""
+SELECT capture_id, seq, CAST(frame_number AS BIGINT) AS frame_number, CAST(delta_us AS BIGINT) AS delta_us,
+  {round_sql('delta_us / 1e6', 6)} AS time_delta FROM pr"""))
+def q_packet_row_features(spark, sf):
+    """Frame number and seconds since the previous packet, per capture."""
+    r = packet_row_features(C.packets(spark, sf))
+    return r.select("capture_id", "seq", "frame_number", "delta_us", round_half_up("time_delta", 6).alias("time_delta"))
+
+
+@register("legacy_to_number", with_ctes(_LEGACY_CTES, "SELECT capture_id, seq, " + ", ".join(
+    f"{_to_number_sql(_q(c))} AS {_q(c)}" for c in LEGACY_FEATURES + ["label"]) + " FROM legacy"))
+def q_legacy_to_number(spark, sf):
+    """Lenient numeric coercion (blank/nan -> 0, 0x hex, comma decimals)."""
+    lg = _legacy(spark, sf)
+    return lg.select("capture_id", "seq", *[to_number(F.col(f"`{c}`")).alias(c) for c in LEGACY_FEATURES + ["label"]])
+
+
+def _seq_mode_sql(c: str) -> str:
+    if c == "tcp.flags":
+        inner = f"COALESCE({_q(c)}, '0')"
+        return (f"CASE WHEN starts_with({inner}, '0x') AND regexp_full_match(substr({inner}, 3), '[0-9a-fA-F]+') "
+                f"THEN CAST(TRY_CAST(concat('0x', lower(substr({inner}, 3))) AS BIGINT) AS DOUBLE) ELSE 0e0 END")
+    v = f"TRY_CAST({_q(c)} AS DOUBLE)"
+    return f"(CASE WHEN {v} IS NULL OR isnan({v}) OR isinf({v}) THEN 0e0 ELSE {v} END)"
+
+
+@register("legacy_clean_sequence", with_ctes(_LEGACY_CTES, "SELECT " + ", ".join(
+    f"{_seq_mode_sql(c)} AS {_q(c)}" for c in LEGACY_FEATURES) + ", CAST(label AS INTEGER) AS label FROM legacy"))
+def q_legacy_clean_sequence(spark, sf):
+    """Legacy sequence-builder cleaning (hex-or-0 flags, numeric-or-0 columns)."""
+    lg = _legacy(spark, sf).select(*[F.col(f"`{c}`") for c in LEGACY_FEATURES], "label")
+    return clean_packets(lg, "sequence")
+
+
+@register("legacy_aligned", with_ctes(_LEGACY_CTES, "SELECT capture_id, seq, " + ", ".join(
+    (f"{_to_number_sql(_q(c))} AS {_q(c)}" if c not in ("icmp.seq", "mqtt.msgtype") else f"0e0 AS {_q(c)}")
+    for c in LEGACY_FEATURES) + " FROM legacy"))
+def q_legacy_aligned(spark, sf):
+    """Align a frame table missing two columns to the legacy feature order (missing -> 0)."""
+    lg = _legacy(spark, sf)
+    partial = lg.select("capture_id", "seq", *[to_number(F.col(f"`{c}`")).alias(c) for c in LEGACY_FEATURES
+                                              if c not in ("icmp.seq", "mqtt.msgtype")])
+    return align_packet_features(partial, LEGACY_FEATURES, keep=["capture_id", "seq"])
+
+
+@register("legacy_sequences", with_ctes(_LEGACY_CTES, """
+SELECT capture_id, CAST(start_pos / 10 AS BIGINT) AS seq_no, CAST(start_pos AS BIGINT) AS start_pos,
+       CAST(pos - start_pos AS INTEGER) AS slot, seq FROM (
+  SELECT p.capture_id, p.seq, p.frame_number - 1 AS pos, s.start_pos FROM pr p
+  JOIN (SELECT capture_id AS c, n, CAST(x AS BIGINT) AS start_pos FROM
+          (SELECT capture_id, count(*) AS n FROM pr GROUP BY capture_id) g, (SELECT unnest(range(0, 1000000, 10)) AS x) r
+        WHERE x < n - 50) s
+    ON s.c = p.capture_id AND s.start_pos <= p.frame_number - 1 AND p.frame_number - 1 < s.start_pos + 50) z"""))
+def q_legacy_sequences(spark, sf):
+    """Legacy packet windows per capture (length 50, stride 10, last window dropped)."""
+    p = C.packets(spark, sf)
+    m = sequence_members(p, 50, 10, "capture_id", ["ts_us", "seq"], drop_last=True, pad_short=False, time_col="ts_us")
+    return m.select("capture_id", "seq_no", "start_pos", "slot", "seq")
+
+
+@register("align_features", with_ctes(flow_ctes("key"), f"""
+SELECT {KF}, {', '.join((round_sql(f) if f in FEATURES[:10] else '0e0') + ' AS ' + f for f in FEATURES)} FROM flows"""))
+def q_align_features(spark, sf):
+    """P5: align a table holding the first 10 features to all 52 (missing -> 0)."""
+    f = C.flows(spark, sf).select(*KEYF, *[round_half_up(c).alias(c) for c in FEATURES[:10]])
+    return align_features(f, keep=KEYF)
+
+
+@register("binary_verdict", with_ctes(scored_ctes(), f"""
+SELECT {KF}, CASE WHEN routine_score > 0.55 THEN 1 ELSE 0 END AS pred,
+  {round_sql('CASE WHEN routine_score > 0.55 THEN routine_score ELSE 1 - routine_score END', 6)} AS pred_score FROM scored"""))
+def q_binary_verdict(spark, sf):
+    """Binary cut at P(attack) > 0.55 with the chosen class's probability."""
+    e = C.events(spark, sf).withColumn("attack_proba", F.col("routine_score"))
+    b = binary_verdict(e, "attack_proba", 0.55)
+    return b.select(*KEYF, "pred", round_half_up("pred_score", 6).alias("pred_score"))

@@ -540,3 +540,167 @@ def q_binary_verdict(spark, sf):
     e = C.events(spark, sf).withColumn("attack_proba", F.col("routine_score"))
     b = binary_verdict(e, "attack_proba", 0.55)
     return b.select(*KEYF, "pred", round_half_up("pred_score", 6).alias("pred_score"))
+
+
+# =============================================================================
+# M11, M12, M15, M16 (oracle) and M8-M10, M17, M18, O2 (rows-only)
+# =============================================================================
+from ..operators import evaluation as EV  # noqa: E402
+from ..operators import models as MD  # noqa: E402
+
+
+@register("anomaly_threshold", with_ctes(scored_ctes(), f"""
+SELECT p, {round_sql('v', 6)} AS value FROM (
+  SELECT 0.95 AS p, quantile_cont(anomaly_score, 0.95) AS v FROM scored WHERE label = 0
+  UNION ALL SELECT 0.99, quantile_cont(anomaly_score, 0.99) FROM scored WHERE label = 0) q"""))
+def q_anomaly_threshold(spark, sf):
+    """p95 / p99 (linear) of the anomaly score on normal flows."""
+    t = EV.fit_threshold(C.events(spark, sf), "anomaly_score")
+    return t.select("p", round_half_up("value", 6).alias("value"))
+
+
+@register("detection_rate", with_ctes(scored_ctes(), f"""
+SELECT CAST(count(*) AS BIGINT) AS attacks, {round_sql('avg(CASE WHEN anomaly_score >= t THEN 1e0 ELSE 0e0 END)', 4)} AS detected_share,
+       {round_sql('avg(anomaly_score)', 6)} AS mean_attack_score
+FROM scored, (SELECT quantile_cont(anomaly_score, 0.99) AS t FROM scored WHERE label = 0) q WHERE label = 1"""))
+def q_detection_rate(spark, sf):
+    """Share of attacks at or above the normal p99 and their mean score."""
+    e = C.events(spark, sf)
+    thr = EV.fit_threshold(e, "anomaly_score", probs=(0.99,)).first()["value"]
+    d = EV.detection_rate(e, "anomaly_score", thr)
+    return d.select("attacks", round_half_up("detected_share", 4).alias("detected_share"),
+                    round_half_up("mean_attack_score", 6).alias("mean_attack_score"))
+
+
+def _scaled_sql(kind: str) -> str:
+    if kind == "standard":
+        stats = ", ".join(f"avg({f}) AS a_{f}, CASE WHEN stddev_pop({f}) = 0 THEN 1e0 ELSE stddev_pop({f}) END AS b_{f}" for f in FEATURES)
+    else:
+        stats = ", ".join(f"min({f}) AS a_{f}, CASE WHEN max({f}) - min({f}) = 0 THEN 1e0 ELSE max({f}) - min({f}) END AS b_{f}" for f in FEATURES)
+    cols = ", ".join(f"{round_sql(f'({f} - st.a_{f}) / st.b_{f}', 4)} AS {f}" for f in FEATURES)
+    return with_ctes(flow_ctes("key") + [f"st AS (SELECT {stats} FROM flows)"], f"SELECT {KF}, {cols} FROM flows, st")
+
+
+def _scaled(spark, sf, kind):
+    f = C.flows(spark, sf)
+    s = EV.scale(f, FEATURES, kind)
+    return s.select(*KEYF, *[round_half_up(c).alias(c) for c in FEATURES])
+
+
+@register("standard_scaled", _scaled_sql("standard"))
+def q_standard_scaled(spark, sf):
+    """Standard scaling (mean, population std; zero variance -> 1)."""
+    return _scaled(spark, sf, "standard")
+
+
+@register("minmax_scaled", _scaled_sql("minmax"))
+def q_minmax_scaled(spark, sf):
+    """Min-max scaling (constant column -> 0)."""
+    return _scaled(spark, sf, "minmax")
+
+
+def _evaluate_sql() -> str:
+    base = ("SELECT label AS y, CASE WHEN status IN ('ATTACK', 'SUSPICIOUS') THEN 1 ELSE 0 END AS p, "
+            "threat_score AS s FROM scored")
+    c = ("SELECT sum(CASE WHEN y = 0 AND p = 0 THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN y = 0 AND p = 1 THEN 1 ELSE 0 END) AS fp, "
+         "sum(CASE WHEN y = 1 AND p = 0 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END) AS tp FROM ev")
+
+    def div(a, b):
+        return f"CASE WHEN ({b}) = 0 THEN NULL ELSE CAST({a} AS DOUBLE) / ({b}) END"
+    m = (f"SELECT *, {div('tp', 'tp + fp')} AS p1, {div('tp', 'tp + fn')} AS r1, {div('tn', 'tn + fn')} AS p0, "
+         f"{div('tn', 'tn + fp')} AS r0, tp + fn AS s1, tn + fp AS s0, {div('tp + tn', 'tp + tn + fp + fn')} AS acc FROM c")
+    f1 = "COALESCE(CASE WHEN {p} + {r} = 0 THEN NULL ELSE 2 * {p} * {r} / ({p} + {r}) END, 0e0)"
+    m2 = f"SELECT *, {f1.format(p='p1', r='r1')} AS f1_1, {f1.format(p='p0', r='r0')} AS f1_0 FROM m"
+    rows = {"tn": "tn", "fp": "fp", "fn": "fn", "tp": "tp", "precision_0": "COALESCE(p0, 0e0)",
+            "recall_0": "COALESCE(r0, 0e0)", "f1_0": "f1_0", "support_0": "s0", "precision_1": "COALESCE(p1, 0e0)",
+            "recall_1": "COALESCE(r1, 0e0)", "f1_1": "f1_1", "support_1": "s1", "accuracy": "COALESCE(acc, 0e0)",
+            "macro_precision": "(COALESCE(p0, 0e0) + COALESCE(p1, 0e0)) / 2",
+            "macro_recall": "(COALESCE(r0, 0e0) + COALESCE(r1, 0e0)) / 2", "macro_f1": "(f1_0 + f1_1) / 2",
+            "weighted_f1": div("f1_0 * s0 + f1_1 * s1", "s0 + s1")}
+    sel = " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({v} AS DOUBLE) AS value FROM m2" for k, v in rows.items())
+    auc = ("SELECT 'roc_auc', sum(np * (cn - nn + nn * 0.5)) / (sum(np) * sum(nn)) FROM ("
+           "SELECT s, np, nn, sum(nn) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM ("
+           "SELECT CAST(s AS DOUBLE) AS s, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS np, "
+           "sum(CASE WHEN y <> 1 THEN 1 ELSE 0 END) AS nn FROM ev GROUP BY 1) a) b")
+    return with_ctes(scored_ctes() + [f"ev AS ({base})", f"c AS ({c})", f"m AS ({m})", f"m2 AS ({m2})"],
+                     f"SELECT metric, {round_sql('value', 4)} AS value FROM ({sel} UNION ALL {auc}) z")
+
+
+@register("evaluate_verdicts", _evaluate_sql())
+def q_evaluate_verdicts(spark, sf):
+    """Confusion matrix, per-class metrics and ROC AUC of the verdicts vs labels."""
+    e = C.events(spark, sf).withColumn("pred", F.col("status").isin("ATTACK", "SUSPICIOUS").cast("int"))
+    return EV.evaluate(e, "label", "pred", "threat_score")
+
+
+def _train_test(spark, sf):
+    return MD.holdout(C.flows(spark, sf), 0.2, 42, _row_id())
+
+
+@register("train_routine")
+def q_train_routine(spark, sf):
+    """M8+M16: GBT routine classifier (400 trees, depth 7) on an 80/20 stratified split; hold-out metrics."""
+    train, test = _train_test(spark, sf)
+    model = MD.train_routine(train)
+    scored = MD.routine_scores(model, test).withColumn("pred", (F.col("routine_score") >= 0.5).cast("int"))
+    return EV.evaluate(scored, "label", "pred", "routine_score")
+
+
+@register("feature_importances")
+def q_feature_importances(spark, sf):
+    """O2: top-12 feature importances of the routine GBT."""
+    train, _ = _train_test(spark, sf)
+    return MD.feature_importances(MD.train_routine(train), 12)
+
+
+@register("train_anomaly")
+def q_train_anomaly(spark, sf):
+    """M9+M11+M12: PCA(12) reconstruction-error detector fitted on normal flows; threshold p99; detection."""
+    f = C.flows(spark, sf)
+    model = MD.train_anomaly(f, 12, 0.99)
+    errs = MD.reconstruction_error(f, model)
+    return EV.detection_rate(errs, "anomaly_error", model.threshold).withColumn("threshold", F.lit(model.threshold))
+
+
+@register("train_context")
+def q_train_context(spark, sf):
+    """M10+M16: sequence classifier (pooled features -> MLP) on an 80/20 split of the windows."""
+    seqs = build_sequences(C.flows(spark, sf), 16, 4, "src_ip")
+    rid = F.concat_ws("|", F.col("host"), F.col("seq_no").cast("string"))
+    s = DS.stratified_split(seqs, 0.2, 42, rid)
+    model = MD.train_context(s.filter(~F.col("is_test")))
+    out = MD.context_scores(model, s.filter(F.col("is_test")))
+    return EV.evaluate(out.withColumn("pred", F.col("prediction").cast("int")), "label", "pred", "context_score")
+
+
+@register("train_forest")
+def q_train_forest(spark, sf):
+    """Legacy random forest (100 trees) on cleaned legacy frames, 70/30 stratified split."""
+    lg = clean_packets(_legacy(spark, sf).drop("capture_id"), "forest")
+    rid = F.col("`frame.number`").cast("string")
+    lg = lg.withColumn("_rid", F.concat_ws("|", F.col("`seq`").cast("string")))
+    s = DS.stratified_split(lg, 0.3, 42, F.col("_rid"))
+    feats = [c for c in LEGACY_FEATURES]
+    safe = {c: c.replace(".", "_") for c in feats}
+    s = s.select(*[F.col(f"`{c}`").alias(safe[c]) for c in feats], "label", "is_test")
+    model = MD.train_forest(s.filter(~F.col("is_test")), list(safe.values()))
+    out = model.transform(s.filter(F.col("is_test")))
+    out = out.withColumn("forest_score", vector_to_array_col(out)).withColumn("pred", F.col("prediction").cast("int"))
+    del rid
+    return EV.evaluate(out, "label", "pred", "forest_score")
+
+
+def vector_to_array_col(df):
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(F.col("probability"))[1]
+
+
+@register("detector_health")
+def q_detector_health(spark, sf):
+    """Per barrier, trained model or surrogate (no saved models here -> surrogate)."""
+    from ..session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark)
+    return MD.load_detectors(spark, os.path.join(root.replace("file:", ""), "flowlens-models-absent"))
+
+
+import os  # noqa: E402

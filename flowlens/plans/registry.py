@@ -7,6 +7,6 @@ from . import catalog
 
 def all_queries() -> dict:
     # importing the modules registers their queries
-    from . import catalog_more  # noqa: F401
+    from . import catalog_more, catalog_stream  # noqa: F401
 
     return dict(catalog.REGISTRY)

@@ -704,3 +704,45 @@ def q_detector_health(spark, sf):
 
 
 import os  # noqa: E402
+
+
+# =============================================================================
+# S2 / S3 / S4 / S5 file round trips (written under the shared checkpoint folder)
+# =============================================================================
+from ..sources import files as FS  # noqa: E402
+from ..streaming.replay import work_dir  # noqa: E402
+
+
+@register("flows_csv_roundtrip", with_ctes(flow_ctes("key"), "SELECT " + ", ".join(
+    [round_sql(f) + f" AS {f}" for f in FEATURES] + ["src_ip", "dst_ip", "attack_type", "label"]) + " FROM flows"))
+def q_flows_csv_roundtrip(spark, sf):
+    """S3+S2: write the flow dataset as CSV (fixed column order), read it back with the schema."""
+    path = os.path.join(work_dir(spark, "flows-csv"), "flows")
+    FS.write_flows(C.flows(spark, sf), path, "csv")
+    back = FS.read_flows(spark, path)
+    return back.select(*[round_half_up(f).alias(f) for f in FEATURES], "src_ip", "dst_ip", "attack_type", "label")
+
+
+@register("sequences_csv_roundtrip")
+def q_sequences_csv_roundtrip(spark, sf):
+    """Flattened 16x52 sequences written as CSV (832 columns + label) and read back."""
+    path = os.path.join(work_dir(spark, "seq-csv"), "seqs")
+    FS.write_sequences(build_sequences(C.flows(spark, sf), 16, 4, "src_ip"), path)
+    back = FS.read_sequences(spark, path)
+    return back.select(F.size("window").alias("rows"), F.size(F.col("window")[0]).alias("features"), "label")
+
+
+@register("events_ndjson", with_ctes(scored_ctes(), f"""
+SELECT {EVENT_ID_SQL} AS id, status, severity, threat_score, src_ip AS flow_key, history_len AS seq_length,
+  CASE WHEN proto = 1 THEN 'ICMP' WHEN proto = 6 THEN 'TCP' WHEN proto = 17 THEN 'UDP' ELSE CAST(proto AS VARCHAR) END AS protocol
+FROM scored"""))
+def q_events_ndjson(spark, sf):
+    """Export scored events as NDJSON documents; read back and flatten key fields."""
+    path = os.path.join(work_dir(spark, "events-json"), "events")
+    ev = C.events(spark, sf)
+    FS.export_events(ev, path, event_id=event_id(ev))
+    back = spark.read.json(path)
+    return back.select("id", F.col("result.status").alias("status"), F.col("result.severity").alias("severity"),
+                       F.col("result.threat_score").alias("threat_score"), F.col("result.flow_key").alias("flow_key"),
+                       F.col("result.sequence.length").cast("int").alias("seq_length"),
+                       F.col("metadata.protocol").alias("protocol"))

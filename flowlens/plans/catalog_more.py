@@ -35,7 +35,9 @@ def commands(acts: DataFrame) -> DataFrame:
     quiet = (acts.groupBy(F.col("src_ip").alias("ip"))
              .agg(F.count_if(R.is_alert()).alias("a"), F.min("emit_us").alias("t_us"))
              .orderBy("a", "ip").limit(1).select("ip", "t_us", F.lit("block").alias("command")))
-    return first.unionByName(quiet)
+    # three rows by construction: materialise them once instead of re-planning the chain
+    rows = first.unionByName(quiet).collect()
+    return acts.sparkSession.createDataFrame(rows, "ip string, t_us long, command string")
 
 
 def _actions_ctes() -> list[str]:
@@ -746,3 +748,76 @@ def q_events_ndjson(spark, sf):
                        F.col("result.threat_score").alias("threat_score"), F.col("result.flow_key").alias("flow_key"),
                        F.col("result.sequence.length").cast("int").alias("seq_length"),
                        F.col("metadata.protocol").alias("protocol"))
+
+
+# =============================================================================
+# P4 finite guard, P9 packet filter, X1 ad-hoc scoring of a partial table
+# =============================================================================
+from ..functions.scalar import finite  # noqa: E402
+from ..operators.analytics import filter_packets  # noqa: E402
+from ..operators.scoring import anomaly_sql, column_profile, d2_sql, energy_sql, routine_sql, score_table  # noqa: E402
+from .oracle import profile_cte  # noqa: E402
+
+_RAW_SQL = ("CASE capture_id WHEN 'portscan' THEN CAST('nan' AS DOUBLE) WHEN 'synflood' THEN CAST('inf' AS DOUBLE) "
+            "WHEN 'udpflood' THEN CAST('-inf' AS DOUBLE) WHEN 'slowdos' THEN NULL ELSE CAST(length AS DOUBLE) END")
+
+
+@register("finite_guard", with_ctes(packets_ctes(), f"""
+SELECT seq, CASE WHEN ({_RAW_SQL}) IS NULL OR isnan({_RAW_SQL}) OR isinf({_RAW_SQL}) THEN 0e0 ELSE {_RAW_SQL} END AS value
+FROM packets"""))
+def q_finite_guard(spark, sf):
+    """NaN / +-inf / null -> 0 (values made non-finite per attack capture)."""
+    p = C.packets(spark, sf)
+    raw = (F.when(F.col("capture_id") == "portscan", F.lit(float("nan")))
+           .when(F.col("capture_id") == "synflood", F.lit(float("inf")))
+           .when(F.col("capture_id") == "udpflood", F.lit(float("-inf")))
+           .when(F.col("capture_id") == "slowdos", F.lit(None).cast("double"))
+           .otherwise(F.col("length").cast("double")))
+    return p.select("seq", finite(raw).alias("value"))
+
+
+@register("filter_packets", with_ctes(packets_ctes(), "SELECT * FROM packets WHERE proto = 6 AND src_ip = '10.10.2.5'"))
+def q_filter_packets(spark, sf):
+    """Packet predicate from protocol name and source host (pushed into the scan)."""
+    return filter_packets(C.packets(spark, sf), source_ip="10.10.2.5", protocol="tcp")
+
+
+_X1_KEEP = FEATURES[:20]
+
+
+def _x1_sql() -> str:
+    ref = column_profile("p.")
+    cols = ", ".join([f"{f}" if f in _X1_KEEP else f"0e0 AS {f}" for f in FEATURES])
+    g = gate_sqls_default()
+    v = verdict_sqls_default()
+    return with_ctes(flow_ctes("key") + [
+        profile_cte(),
+        f"x0 AS (SELECT {KF}, {cols} FROM flows)",
+        f"x1 AS (SELECT x0.*, sqrt({d2_sql(ref)}) AS dist, {energy_sql(ref)} AS energy FROM x0 CROSS JOIN prof p)",
+        f"x2 AS (SELECT *, {routine_sql()} AS routine_score, {anomaly_sql()} AS anomaly_score, 1 AS history_len, "
+        "CAST(NULL AS DOUBLE) AS ctx_raw FROM x1)",
+        "x3 AS (SELECT *, " + ", ".join(f"{x} AS {k}" for k, x in g.items()) + " FROM x2)",
+        "x4 AS (SELECT *, " + ", ".join(f"{x} AS {k}" for k, x in v.items()) + " FROM x3)"],
+        f"SELECT {KF}, status, severity, threat_score, {round_sql('routine_score', 6)} AS routine_score, "
+        f"{round_sql('anomaly_score', 6)} AS anomaly_score, context_state FROM x4")
+
+
+def gate_sqls_default():
+    from ..operators.scoring import gate_sqls
+    from ..settings import DEFAULT_FLOW, DEFAULT_THRESHOLDS
+    return gate_sqls(DEFAULT_THRESHOLDS, DEFAULT_FLOW)
+
+
+def verdict_sqls_default():
+    from ..operators.scoring import verdict_sqls
+    from ..settings import DEFAULT_THRESHOLDS
+    return verdict_sqls(DEFAULT_THRESHOLDS)
+
+
+@register("score_table", _x1_sql())
+def q_score_table(spark, sf):
+    """Ad-hoc scoring of a table holding only 20 of the 52 features (missing -> 0)."""
+    part = C.flows(spark, sf).select(*KEYF, *_X1_KEEP)
+    s = score_table(part, C.profile(spark, sf), keep=KEYF)
+    return s.select(*KEYF, "status", "severity", "threat_score", round_half_up("routine_score", 6).alias("routine_score"),
+                    round_half_up("anomaly_score", 6).alias("anomaly_score"), "context_state")

@@ -54,7 +54,9 @@ def event_struct(events: DataFrame, source: str = "capture", event_id: Column |
     """The event document: id, timestamp, source, final, metadata, flow (4 dp),
     result (status, severity, reason, threat_score, flow_key, sequence, barriers), action."""
     final = F.col("final") if "final" in events.columns else F.lit(True)
-    ts = F.date_format(F.timestamp_micros(F.lit(BASE_US) + F.col("emit_us")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    # UTC wall clock from an NTZ value: independent of the session time zone
+    ts = F.expr(f"date_format(timestampadd(MICROSECOND, {BASE_US} + emit_us, TIMESTAMP_NTZ'1970-01-01 00:00:00'), "
+                "\"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'\")")
     action = F.struct((F.col("action_type") if "action_type" in events.columns else F.lit("observe")).alias("type"),
                       (F.col("action_message") if "action_message" in events.columns else F.lit(None).cast("string"))
                       .alias("message"))

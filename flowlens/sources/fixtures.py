@@ -14,7 +14,7 @@ from ..session import table_path
 _PACKETS_SQL = """
 WITH e AS (
   SELECT event_id, event_type, value, CAST(user_id % 16 AS INT) AS hst,
-         CAST({k} AS INT) AS k, {us} - 1704067200000000 AS off_us
+         CAST({k} AS INT) AS k, {off} AS off_us
   FROM {events}),
 c AS (
   SELECT event_id AS seq, hst,
@@ -46,15 +46,21 @@ SELECT CAST(seq AS BIGINT) AS seq, capture_id, CAST(ts_us AS BIGINT) AS ts_us,
 FROM s
 """
 
+# Offset from 2024-01-01 in µs, independent of the session time zone: a
+# wall-clock (NTZ) column is differenced against an NTZ literal; an instant
+# column (LTZ) is converted with unix_micros.
+_OFF_NTZ = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
+_OFF_LTZ = "unix_micros(ts) - 1704067200000000"
+
 _SPARK = {
-    "us": "unix_micros(CAST(ts AS TIMESTAMP))",
+    "off": _OFF_NTZ,
     "k": "get_json_object(props, '$.k')",
     "idiv": "div",
     "events": "{events}",
     "str": "STRING",
 }
 _DUCK = {
-    "us": "epoch_us(ts)",
+    "off": "epoch_us(ts) - 1704067200000000",
     "k": "json_extract_string(props, '$.k')",
     "idiv": "//",
     "events": "events",
@@ -62,9 +68,11 @@ _DUCK = {
 }
 
 
-def packets_sql(dialect: str = "duckdb") -> str:
+def packets_sql(dialect: str = "duckdb", ts_ntz: bool = True) -> str:
     """The packets view as SQL text for ``spark`` or ``duckdb``."""
-    subs = _SPARK if dialect == "spark" else _DUCK
+    subs = dict(_SPARK if dialect == "spark" else _DUCK)
+    if dialect == "spark" and not ts_ntz:
+        subs["off"] = _OFF_LTZ
     return _PACKETS_SQL.format(**subs)
 
 
@@ -74,7 +82,10 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets_from_events(events: DataFrame) -> DataFrame:
     """Derive the ``packets`` table from an ``events`` DataFrame."""
-    return events.sparkSession.sql(packets_sql("spark"), events=events)
+    from pyspark.sql.types import TimestampNTZType
+
+    ntz = isinstance(events.schema["ts"].dataType, TimestampNTZType)
+    return events.sparkSession.sql(packets_sql("spark", ntz), events=events)
 
 
 def read_packets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,15 @@ def test_sum_of_packets(spark):
     p = read_packets(spark, SF001)
     f = build_flows(p)
     assert f.agg(F.sum("total_packets")).first()[0] == p.count()
+
+
+def test_packet_times_ignore_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        sums = []
+        for tz in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            sums.append(read_packets(spark, SF001).agg(F.sum("ts_us")).first()[0])
+        assert sums[0] == sums[1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

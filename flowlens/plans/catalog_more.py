@@ -639,20 +639,28 @@ def _train_test(spark, sf):
     return MD.holdout(C.flows(spark, sf), 0.2, 42, _row_id())
 
 
+def _routine_model(spark, sf):
+    """The routine GBT, fitted once per session and scale (shared by M8 and O2)."""
+    k = C._key(spark, sf, "routine-model")
+    if k not in C._CACHE:
+        train, _ = _train_test(spark, sf)
+        C._CACHE[k] = MD.train_routine(train)
+    return C._CACHE[k]
+
+
 @register("train_routine")
 def q_train_routine(spark, sf):
     """M8+M16: GBT routine classifier (400 trees, depth 7) on an 80/20 stratified split; hold-out metrics."""
-    train, test = _train_test(spark, sf)
-    model = MD.train_routine(train)
-    scored = MD.routine_scores(model, test).withColumn("pred", (F.col("routine_score") >= 0.5).cast("int"))
+    _, test = _train_test(spark, sf)
+    scored = MD.routine_scores(_routine_model(spark, sf), test)
+    scored = scored.withColumn("pred", (F.col("routine_score") >= 0.5).cast("int"))
     return EV.evaluate(scored, "label", "pred", "routine_score")
 
 
 @register("feature_importances")
 def q_feature_importances(spark, sf):
     """O2: top-12 feature importances of the routine GBT."""
-    train, _ = _train_test(spark, sf)
-    return MD.feature_importances(MD.train_routine(train), 12)
+    return MD.feature_importances(_routine_model(spark, sf), 12)
 
 
 @register("train_anomaly")

@@ -90,3 +90,28 @@ def unflatten_sequences(flat: DataFrame, n_features: int = len(FEATURES), label_
     window = F.transform(F.sequence(F.lit(0), F.lit(seq_len - 1)),
                          lambda i: F.slice(arr, i * n_features + 1, n_features))
     return flat.select(window.alias("window"), F.col(label_col).cast("int").alias("label"))
+
+
+def fit_sequence_standardizer(seqs: DataFrame, mask_padding: bool = False, min_sd: float = 1e-6) -> DataFrame:
+    """M15 (sequences): per-feature mean and population std (+``min_sd``) over
+    every row of every window. Padding rows count (as in the reference) unless
+    ``mask_padding``. One aggregate over the exploded rows; 52 rows out."""
+    rows = seqs.select(F.explode("window").alias("r"))
+    if mask_padding:
+        rows = rows.filter(F.exists("r", lambda x: x != 0))
+    n = len(FEATURES)
+    aggs = []
+    for i in range(n):
+        aggs += [F.avg(F.col("r")[i]).alias(f"m{i}"), (F.stddev_pop(F.col("r")[i]) + min_sd).alias(f"s{i}")]
+    wide = rows.agg(*aggs)
+    body = ", ".join(f"'{f}', m{i}, s{i}" for i, f in enumerate(FEATURES))
+    return wide.selectExpr(f"stack({n}, {body}) AS (feature, mean, sd)")
+
+
+def standardize_sequences(seqs: DataFrame, stats: DataFrame) -> DataFrame:
+    """Apply fitted (mean, sd) per feature to every row of ``window``."""
+    st = {r["feature"]: (float(r["mean"]), float(r["sd"])) for r in stats.collect()}   # 52 rows
+    mu = F.array(*[F.lit(st[f][0]) for f in FEATURES])
+    sd = F.array(*[F.lit(st[f][1]) for f in FEATURES])
+    return seqs.withColumn("window", F.transform(
+        "window", lambda r: F.transform(r, lambda x, i: (x - mu[i]) / sd[i])))

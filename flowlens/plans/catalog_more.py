@@ -829,3 +829,35 @@ def q_score_table(spark, sf):
     s = score_table(part, C.profile(spark, sf), keep=KEYF)
     return s.select(*KEYF, "status", "severity", "threat_score", round_half_up("routine_score", 6).alias("routine_score"),
                     round_half_up("anomaly_score", 6).alias("anomaly_score"), "context_state")
+
+
+# =============================================================================
+# M15 (sequences): per-feature standardiser over all window rows, padding included
+# =============================================================================
+from ..operators.sequences import fit_sequence_standardizer  # noqa: E402
+
+
+def _seq_std_sql() -> str:
+    """Window membership from the W2 oracle; padding slots add zeros, so
+    sums run over members and the divisor is windows x 16."""
+    from .catalog import REGISTRY
+
+    members = REGISTRY["sequence_members"].sql
+    cut = members.index("SELECT src_ip, CAST(start_pos / 4")
+    ctes, inner = members[:cut].rstrip(), members[cut:]
+    sums = ", ".join(f"sum(f.{f}) AS s_{f}, sum(f.{f} * f.{f}) AS q_{f}" for f in FEATURES)
+    return (ctes + f""",
+sm AS ({inner}),
+nw AS (SELECT count(*) * 16 AS n FROM (SELECT DISTINCT src_ip, seq_no FROM sm) w),
+tot AS (SELECT {sums} FROM sm JOIN flows f USING ({KF}))
+SELECT feature, {round_sql('s / n', 4)} AS mean, {round_sql('sqrt(greatest(q / n - (s / n) * (s / n), 0e0)) + 1e-6', 4)} AS sd
+FROM (SELECT feature, s, q, nw.n FROM (SELECT unnest([{', '.join(f"'{f}'" for f in FEATURES)}]) AS feature,
+  unnest([{', '.join(f's_{f}' for f in FEATURES)}]) AS s, unnest([{', '.join(f'q_{f}' for f in FEATURES)}]) AS q
+  FROM tot) u, nw) z""")
+
+
+@register("sequence_standardizer", _seq_std_sql())
+def q_sequence_standardizer(spark, sf):
+    """Per-feature mean / std over all 16x52 window rows (padding rows included, Q16)."""
+    st = fit_sequence_standardizer(build_sequences(C.flows(spark, sf), 16, 4, "src_ip"))
+    return st.select("feature", round_half_up("mean").alias("mean"), round_half_up("sd").alias("sd"))

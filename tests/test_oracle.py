@@ -8,9 +8,15 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF001
 
-NAMES = ["flow_split_key", "flow_split_capture", "flow_features", "flow_close", "verdicts", "host_context",
-         "top_sources", "alert_feed", "block_intervals", "block_fixed", "interim_flows", "dq_missing",
-         "legacy_to_number", "sequence_members", "evaluate_verdicts"]
+NAMES = ["packets_keyed", "flow_split_key", "flow_split_capture", "flow_features", "flow_features_capture",
+         "flow_close", "flow_close_capture", "labelled_flows", "normal_profile", "surrogate_scores", "verdicts",
+         "host_context", "status_summary", "recent_rate", "by_protocol", "barrier_alerts", "top_sources",
+         "alert_feed", "host_latest", "throughput", "status_by_minute", "separation", "response_actions",
+         "block_intervals", "block_commands", "block_fixed", "flag_blocked", "interim_flows", "dq_missing",
+         "dq_duplicates", "dq_describe", "dq_cardinality", "dq_correlated_pairs", "merge_flows", "replay_selection",
+         "stratified_split", "sequence_members", "legacy_packets", "legacy_to_number", "legacy_sequences",
+         "anomaly_threshold", "standard_scaled", "evaluate_verdicts", "finite_guard", "score_table",
+         "flows_csv_roundtrip", "events_ndjson"]
 
 
 @pytest.fixture(scope="module")

@@ -79,7 +79,7 @@ def q_response_actions(spark, sf):
 @register("block_intervals", with_ctes(_intervals_ctes(), "SELECT * FROM intervals"))
 def q_block_intervals(spark, sf):
     """R2: merged, renewing block intervals per source."""
-    return R.block_intervals(actions(spark, sf), POLICY)
+    return C.block_intervals(spark, sf, POLICY)
 
 
 @register("active_blocks", with_ctes(_intervals_ctes(), """
@@ -88,7 +88,7 @@ def q_active_blocks(spark, sf):
     """R2: blocks in force at the latest emission time."""
     acts = actions(spark, sf)
     t = acts.agg(F.max("emit_us")).first()[0]
-    return R.active_blocks(R.block_intervals(acts, POLICY), t)
+    return R.active_blocks(C.block_intervals(spark, sf, POLICY), t)
 
 
 # == R3 =======================================================================
@@ -143,7 +143,7 @@ FROM scored s LEFT JOIN intervals i ON s.src_ip = i.ip AND i.blocked_us <= s.emi
 def q_flag_blocked(spark, sf):
     """Was the event's source blocked at its emission time (interval join)."""
     acts = actions(spark, sf)
-    return R.flag_blocked(acts, R.block_intervals(acts, POLICY)).select(*KEYF, "blocked")
+    return R.flag_blocked(acts, C.block_intervals(spark, sf, POLICY)).select(*KEYF, "blocked")
 
 
 # =============================================================================

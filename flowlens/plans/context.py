@@ -71,3 +71,13 @@ def clear() -> None:
         if isinstance(v, DataFrame):
             v.unpersist()
     _CACHE.clear()
+
+
+def block_intervals(spark: SparkSession, sf_dir: str, policy, clock: str = "key") -> DataFrame:
+    """R2 intervals for a policy (persisted: read by the interval join J2 and the as-of lookup)."""
+    from ..operators.response import block_intervals as build
+
+    k = _key(spark, sf_dir, "intervals", clock, policy)
+    if k not in _CACHE:
+        _CACHE[k] = build(actions(spark, sf_dir, policy, clock), policy).persist(StorageLevel.MEMORY_AND_DISK)
+    return _CACHE[k]

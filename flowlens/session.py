@@ -45,9 +45,34 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, driver_mem
             except Exception:  # static conf of an already running session
                 pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``flowlens`` importable in Python workers (like ``--py-files``).
+
+    Arrow / pandas-state operators pickle module-level helpers by reference,
+    so workers import the package. The package is zipped on the driver and
+    handed to ``SparkContext.addPyFile``, which distributes it to executors;
+    once per application.
+    """
+    import shutil
+    import tempfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="flowlens-pyfiles-")
+    archive = shutil.make_archive(os.path.join(staging, "flowlens"), "zip", os.path.dirname(pkg), "flowlens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
     sc = spark.sparkContext

@@ -3,6 +3,8 @@ data quality, dataset building, training support, scalar functions."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -687,8 +689,7 @@ def q_train_context(spark, sf):
 def q_train_forest(spark, sf):
     """Legacy random forest (100 trees) on cleaned legacy frames, 70/30 stratified split."""
     lg = clean_packets(_legacy(spark, sf).drop("capture_id"), "forest")
-    rid = F.col("`frame.number`").cast("string")
-    lg = lg.withColumn("_rid", F.concat_ws("|", F.col("`seq`").cast("string")))
+    lg = lg.withColumn("_rid", F.col("`seq`").cast("string"))
     s = DS.stratified_split(lg, 0.3, 42, F.col("_rid"))
     feats = [c for c in LEGACY_FEATURES]
     safe = {c: c.replace(".", "_") for c in feats}
@@ -696,7 +697,6 @@ def q_train_forest(spark, sf):
     model = MD.train_forest(s.filter(~F.col("is_test")), list(safe.values()))
     out = model.transform(s.filter(F.col("is_test")))
     out = out.withColumn("forest_score", vector_to_array_col(out)).withColumn("pred", F.col("prediction").cast("int"))
-    del rid
     return EV.evaluate(out, "label", "pred", "forest_score")
 
 
@@ -713,8 +713,6 @@ def q_detector_health(spark, sf):
     return MD.load_detectors(spark, os.path.join(root.replace("file:", ""), "flowlens-models-absent"))
 
 
-import os  # noqa: E402
-
 
 # =============================================================================
 # S2 / S3 / S4 / S5 file round trips (written under the shared checkpoint folder)

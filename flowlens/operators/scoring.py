@@ -34,6 +34,7 @@ REASONS = {
     "none": "No model was available to score this flow.",
     "normal": "All available barriers are below policy thresholds.",
 }
+# fixed values: barrier names of the event document
 BARRIERS = ["routine_xgboost", "context_transformer", "zero_day_autoencoder"]
 
 # Emission order of flows (total): drives host history.

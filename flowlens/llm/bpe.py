@@ -24,6 +24,8 @@ from .common import prepare
 
 #: Distinct pieces a worker remembers, and pieces of documents per replay.
 KNOWN, PIECES = 3 << 18, 1 << 21
+#: Documents per step.
+ROWS = 2000
 NONE = np.int64(1) << 40
 
 
@@ -205,42 +207,33 @@ def decode(ids: np.ndarray, tokens: dict[int, bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_out: bool = False) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, ids (array of int) and decoded (binary): the tokens and the bytes they stand for.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``docs(doc_id, text)`` -> doc_id, n_tokens, ids, ids_sha256, decoded_sha256; a row per document.
 
-    The driver reads the rank file and broadcasts it (a vocabulary of bounded size). Pieces are the matches of
-    ``pattern``; text between matches is dropped, as by the reference library. A null text counts as empty and has no
-    ids. Repeated rows and null ids are rows like others; other columns are ignored; no rows give no rows.
+    ``ids_sha256`` is of the ids as little-endian unsigned 32-bit integers, ``decoded_sha256`` of the bytes that they
+    decode to; both are taken where the tokens are. The driver reads the rank file and broadcasts it (a vocabulary of
+    bounded size). Pieces are the matches of ``pattern``; text between matches is dropped, as by the reference library.
+    A null text counts as empty and has no ids. Repeated rows and null ids are rows like others; other columns are
+    ignored; no rows give no rows.
     """
-    return _encoded(docs, ranks_path, pattern, "doc_id long, ids array<int>, decoded binary", lambda d, ids, raw: [
-        pa.array(d, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(raw, pa.binary())])
-
-
-def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit) and decoded_sha256 of the same encoding.
-
-    The digests are taken where the tokens are, so that neither tokens nor decoded texts leave the Python worker.
-    """
-    return _encoded(docs, ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-                    lambda d, ids, raw: [
-                        pa.array(d, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())])
-
-
-def _encoded(docs: DataFrame, ranks_path: str, pattern: str, schema: str, columns) -> DataFrame:
     spark = prepare(docs)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(ranks.value, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                part = batch.slice(k, 4000)
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
                 ids = encoder.encode(part.column(1).to_pylist())
-                raw = [decode(x, encoder.merges.tokens) for x in ids]
-                yield pa.RecordBatch.from_arrays(columns(part.column(0).to_pylist(), ids, raw), names=names)
+                end = np.cumsum([0, *map(len, ids)])
+                raw = [hashlib.sha256(decode(x, encoder.merges.tokens)).hexdigest() for x in ids]
+                flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array(np.diff(end).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), pa.array(flat.astype(np.int32))),
+                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+                    pa.array(raw, pa.string())], names=names)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

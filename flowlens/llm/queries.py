@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lines, mix, simhash, sql, toxicity, warc
+from . import ann, bpe, chat, fingerprint, lines, mix, simhash, sql, substring, toxicity, warc
 from .common import new_path, read_table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -56,11 +56,26 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("_fl_pos").alias("pos"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return chat.rotate_perspectives(read_table(spark, sf_dir, "conversations")).select(
+        "conv_id", "speaker", "part", "slice", "n_turns", "text", spans.alias("mask"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_document_fingerprints, op3_toxicity, op4_byte_bpe, op5_line_dedup,
-        op6_warc, op7_mix_sources)}
+        op6_warc, op7_mix_sources, op8_nearest_neighbours, op9_chat_perspectives, op10_substring_dedup)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
-    "op5_line_dedup": sql.LINE_DEDUP, "op7_mix_sources": sql.mix(SHARES, OTHER_SHARE, mix.BLOCK_DOCS, "mix")}
+    "op5_line_dedup": sql.LINE_DEDUP, "op9_chat_perspectives": sql.CHAT,
+    "op7_mix_sources": sql.mix(SHARES, OTHER_SHARE, mix.BLOCK_DOCS, "mix")}

@@ -22,6 +22,33 @@ FROM decided GROUP BY doc_id
 """
 
 
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown'
+      ELSE regexp_replace(trim(role), '[\s<>|]+', '_', 'g') END AS who,
+    replace(coalesce(text, ''), '<|', '< |') AS said
+  FROM conversations),
+talk AS (SELECT DISTINCT conv_id, who AS speaker FROM turns WHERE who <> 'system'),
+views AS (
+  SELECT t.*, p.speaker, coalesce(t.who = p.speaker, false) AS own, t.turn // 512 AS part
+  FROM turns t LEFT JOIN talk p ON t.conv_id = p.conv_id),
+headed AS (
+  SELECT *, '<|im_start|>' || CASE WHEN own THEN 'assistant' WHEN who = 'system' THEN 'system'
+    ELSE 'user name=' || who END || chr(10) AS head
+  FROM views),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(said) + 11) OVER (
+    PARTITION BY conv_id, speaker, part ORDER BY turn, who, said
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at
+  FROM headed)
+SELECT conv_id, speaker, CAST(part AS BIGINT) AS part, CAST(0 AS BIGINT) AS slice, count(*) AS n_turns,
+  string_agg(head || said || '<|im_end|>' || chr(10), '' ORDER BY begin_at) AS text,
+  coalesce(string_agg(CAST(begin_at + length(head) AS BIGINT) || '-' || CAST(begin_at + length(head) + length(said) + 10 AS BIGINT), ','
+    ORDER BY begin_at) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, speaker, part
+"""
+
+
 def mix(shares: dict[str, int], other: int, block_docs: int, seed: str) -> str:
     """Blocks of each class in hash order, and a slot-by-slot earliest-deadline-first run over one period."""
     rows = [*sorted(shares.items()), (None, other)]

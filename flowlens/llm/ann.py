@@ -154,6 +154,8 @@ def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -
     few = vectors.withColumn("r", F.row_number().over(by)).where(F.col("r") <= copies)
     nodes = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("embedding"))
     nodes = written(nodes, "vectors")
+    # a task for each shard: a graph takes far longer than its few megabytes suggest
+    tasks = max(1, -(-nodes.count() // shard_rows)) * 2
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
     nodes = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
 
@@ -164,7 +166,7 @@ def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -
                              "embedding": pdf.embedding, "ids": pdf.ids, "links": [x[x >= 0] for x in links]})
 
     schema = "dim int, shard int, node int, entry int, embedding array<double>, ids array<long>, links array<int>"
-    return written(nodes.select("dim", "shard", "ids", "embedding").groupBy("dim", "shard").applyInPandas(build, schema), "graph")
+    return written(nodes.select("dim", "shard", "ids", "embedding").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, schema), "graph")
 
 
 def search(queries: DataFrame, index: DataFrame, k: int, beam: int = SEARCH_BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -179,6 +181,8 @@ def search(queries: DataFrame, index: DataFrame, k: int, beam: int = SEARCH_BEAM
     q = queries.select("vec_id", "embedding", F.size("embedding").alias("q_dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("q_block"))
     q = q.join(index.select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard")).distinct(), "q_dim")
     nodes = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tasks = 2 * blocks * max(1, index.select("dim", "shard").distinct().count())
+    q, nodes = q.repartition(tasks, "q_dim", "q_shard", "q_block"), nodes.repartition(tasks, "dim", "shard", "block")
 
     def find(key: tuple, asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import shuffle_partitions
+
 BLOCK_DOCS = 8
 MAX_PERIOD = 100_000
 #: Documents that one task ranks.
@@ -50,7 +52,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], other: int, block_docs
     slots stay empty, and the others keep their pace among themselves. Every row is kept, repeated rows and null ids
     too, and (_fl_slot, _fl_pos) is different for each. No rows give no rows.
 
-    A class is ranked in hash ranges of about ``rank_rows`` rows with counted offsets, so that a hot source is many tasks.
+    A class is ranked in hash ranges of ``rank_rows`` rows of the table or fewer, with counted offsets, so that a hot source is many tasks.
     """
     spark = docs.sparkSession
     names = sorted(weights)
@@ -58,7 +60,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], other: int, block_docs
     cls = F.lit(len(names))
     for i, n in enumerate(names):
         cls = F.when(F.col("source") == n, i).otherwise(cls)
-    ranges = max(1, -(-docs.count() // rank_rows))
+    ranges = max(4 * shuffle_partitions(spark), -(-docs.count() // rank_rows))
     rows = docs.withColumns({
         "_fl_class": cls, "_fl_order": F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))),
         "_fl_tie": F.xxhash64("text")})

@@ -29,6 +29,8 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _bounds(docs: DataFrame, batches: int) -> list[int]:
+    if batches < 2:
+        return []
     cut = docs.where("doc_id IS NOT NULL").approxQuantile("did", [i / batches for i in range(1, batches)], 0.01)
     return sorted({int(c) for c in cut})
 

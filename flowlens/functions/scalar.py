@@ -94,7 +94,7 @@ def to_number(x) -> Column:
     """
     t = F.trim(_c(x).cast("string"))
     low = F.lower(t)
-    hex_digits = F.substring(low, 3, 1 << 20)
+    hex_digits = low.substr(F.lit(3), F.length(low))
     hex_ok = hex_digits.rlike("^[0-9a-f]+$")
     hex_val = F.conv(hex_digits, 16, 10).try_cast("double")
     dec_val = F.regexp_replace(t, ",", ".").try_cast("double")
@@ -107,7 +107,7 @@ def to_number(x) -> Column:
 def hex_or_zero(x) -> Column:
     """Legacy sequence-builder flags: '0x..' -> int, other text -> 0 (null -> 0)."""
     t = F.coalesce(_c(x).cast("string"), F.lit("0"))
-    digits = F.substring(t, 3, 1 << 20)
+    digits = t.substr(F.lit(3), F.length(t))
     return F.when(t.startswith("0x") & digits.rlike("^[0-9a-fA-F]+$"),
                   F.conv(digits, 16, 10).try_cast("double")).otherwise(F.lit(0.0))
 
@@ -115,7 +115,7 @@ def hex_or_zero(x) -> Column:
 def hex_or_int(x) -> Column:
     """Legacy forest flags: null -> '0x0'; '0x..' -> hex value, else integer text."""
     t = F.coalesce(_c(x).cast("string"), F.lit("0x0"))
-    digits = F.substring(t, 3, 1 << 20)
+    digits = t.substr(F.lit(3), F.length(t))
     return F.when(t.startswith("0x"), F.conv(digits, 16, 10).try_cast("double")) \
             .otherwise(t.try_cast("double"))
 

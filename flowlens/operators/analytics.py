@@ -102,7 +102,7 @@ def top_sources(events: DataFrame, n: int = 10, host_col: str = "src_ip") -> Dat
 # -- A6 ---------------------------------------------------------------------
 def alert_feed(events: DataFrame, limit: int = 500, min_severity: str = "suspicious",
                host_col: str = "src_ip") -> DataFrame:
-    """Last ``limit`` (<= 500) alerts; ``min_severity='attack'`` keeps attacks only."""
+    """Last ``limit`` alerts; ``min_severity='attack'`` keeps attacks only."""
     rank = SEVERITY_RANK.get(min_severity, 1)
     allowed = ["ATTACK"] if rank >= 2 else ["ATTACK", "SUSPICIOUS"]
     action = F.col("action_type") if "action_type" in events.columns else F.lit("watch")
@@ -112,7 +112,7 @@ def alert_feed(events: DataFrame, limit: int = 500, min_severity: str = "suspici
                    F.coalesce(F.col("dst_ip"), F.lit("unknown")).alias("dst_ip"),
                    protocol_name(F.col("proto")).alias("protocol"), "threat_score", "reason",
                    F.col(host_col).alias("flow_key"), action.alias("action")))
-    return out.orderBy(*_desc(EMIT_ORDER)).limit(min(limit, 500)).drop(*[c for c in EMIT_ORDER if c != "emit_us"])
+    return out.orderBy(*_desc(EMIT_ORDER)).limit(limit).drop(*[c for c in EMIT_ORDER if c != "emit_us"])
 
 
 # -- A7 ---------------------------------------------------------------------
@@ -189,8 +189,8 @@ def separation(events: DataFrame, label_col: str = "label") -> DataFrame:
 
 # -- P10 --------------------------------------------------------------------
 def query_events(events: DataFrame, status: str | None = None, source: str | None = None,
-                 limit: int = 100, event_limit: int = 1000, host_col: str = "src_ip") -> DataFrame:
-    """Filter by status / source, then the last ``min(limit, event_limit)`` events."""
+                 limit: int = 100, host_col: str = "src_ip") -> DataFrame:
+    """Filter by status / source, then the last ``limit`` events."""
     out = events
     if status and status != "all":
         out = out.filter(F.col("status") == status)
@@ -198,7 +198,7 @@ def query_events(events: DataFrame, status: str | None = None, source: str | Non
         out = out.filter(F.col(host_col) == source)
     return (out.select(event_id(events).alias("id"), *EMIT_ORDER, "status", "severity", "threat_score",
                        F.col(host_col).alias("src_ip"), "dst_ip")
-            .orderBy(*_desc(EMIT_ORDER)).limit(min(limit, event_limit))
+            .orderBy(*_desc(EMIT_ORDER)).limit(limit)
             .drop(*[c for c in EMIT_ORDER if c != "emit_us"]))
 
 
@@ -227,6 +227,7 @@ def packet_row_features(packets: DataFrame) -> DataFrame:
     capture into time buckets with a carry.
     """
     from .assemble import with_capture_prev
+    from .windows import _join_buckets
 
     with_prev = with_capture_prev(packets)
     # frame number: rank inside the bucket + packets in earlier buckets
@@ -236,7 +237,7 @@ def packet_row_features(packets: DataFrame) -> DataFrame:
                   Window.partitionBy("capture_id").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)),
                   F.lit(0)))
               .drop("_n"))
-    out = (b.join(counts, ["capture_id", "_bkt"])
+    out = (_join_buckets(b, counts, ["capture_id"])
            .withColumn("frame_number", (F.col("_off") + F.row_number().over(
                Window.partitionBy("capture_id", "_bkt").orderBy("ts_us", "seq"))).cast("long"))
            .withColumn("delta_us", F.coalesce(F.col("ts_us") - F.col("prev_cap_us"), F.lit(0)).cast("long"))

@@ -46,7 +46,7 @@ def merge_flows(dfs: list[DataFrame], seed: int = 42, row_id: Column | None = No
 
 
 def select_profile(df: DataFrame, profile: str = "mixed", limit: int | None = None, seed: int = 42,
-                   row_id: Column | None = None, label_col: str = LABEL) -> DataFrame:
+                   row_id: Column | None = None, label_col: str = LABEL, digits: int = 4) -> DataFrame:
     """Replay selection. ``attack`` / ``normal`` keep one class, ``mixed``
     keeps both; rows come in seeded shuffled order (``replay_pos`` from 0),
     cut to ``limit``. A missing source host becomes
@@ -61,7 +61,7 @@ def select_profile(df: DataFrame, profile: str = "mixed", limit: int | None = No
     out = out.withColumn("shuffle_key", shuffle_key(seed, rid))
     if limit is not None:
         out = out.orderBy("shuffle_key").limit(limit)
-    ranked = global_rank(out, [], ["shuffle_key"], "_pos", bucket=F.substring("shuffle_key", 1, 2))
+    ranked = global_rank(out, [], ["shuffle_key"], "_pos", bucket=F.substring("shuffle_key", 1, digits))
     pos = F.col("_pos") - 1
     fallback = F.concat(F.lit("10.10."), F.when(F.col(label_col) == 1, F.lit("1")).otherwise(F.lit("2")),
                         F.lit("."), (pos % 8 + 10).cast("string"))
@@ -71,17 +71,20 @@ def select_profile(df: DataFrame, profile: str = "mixed", limit: int | None = No
 
 
 def stratified_split(df: DataFrame, test_frac: float, seed: int = 42, row_id: Column | None = None,
-                     label_col: str = LABEL) -> DataFrame:
+                     label_col: str = LABEL, digits: int = 4) -> DataFrame:
     """Exact stratified split; adds ``is_test``.
 
     Per class, the first ``round(frac * n_class)`` rows in seeded md5 order go
-    to the test side (class counts: one tiny aggregate).
+    to the test side (class counts: one tiny aggregate). Ranks are taken in
+    ranges of the first ``digits`` hex digits of the order key.
     """
     rid = row_id if row_id is not None else F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
     keyed = df.withColumn("_k", shuffle_key(seed, rid))
-    ranked = global_rank(keyed, [label_col], ["_k"], "_r", bucket=F.substring("_k", 1, 2))
+    ranked = global_rank(keyed, [label_col], ["_k"], "_r", bucket=F.substring("_k", 1, digits))
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    out = ranked.join(counts, label_col)
+    # rows without a label are a class of their own
+    counts = counts.withColumnRenamed(label_col, "_label")
+    out = ranked.join(counts, F.col(label_col).eqNullSafe(F.col("_label"))).drop("_label")
     cut = F.floor(F.col("_n") * F.lit(float(test_frac)) + F.lit(0.5))
     return out.withColumn("is_test", F.col("_r") <= cut).drop("_k", "_r", "_n")
 

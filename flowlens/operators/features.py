@@ -23,7 +23,7 @@ _PACKET_EXPRS = {
     "_flags": "CAST(COALESCE(tcp_flags, 0) AS BIGINT)",
 }
 
-# Per-flow aggregates; every sum is an exact BIGINT. ``{w}`` follows every aggregate
+# Per-flow aggregates; every sum is exact (BIGINT; squared gaps DECIMAL, as a gap has no bound). ``{w}`` follows every aggregate
 # call: empty for GROUP BY, an OVER clause for running (interim) aggregates.
 AGG_EXPRS: dict[str, str] = {
     "first_us": "MIN(ts_us){w}",
@@ -42,17 +42,17 @@ AGG_EXPRS: dict[str, str] = {
     "amin": "MIN(_len){w}",
     "ga_n": "CAST(COUNT(gap_all){w} AS BIGINT)",
     "ga_s": "CAST(SUM(gap_all){w} AS BIGINT)",
-    "ga_s2": "CAST(SUM(gap_all * gap_all){w} AS BIGINT)",
+    "ga_s2": "CAST(SUM(CAST(gap_all AS DECIMAL(19,0)) * CAST(gap_all AS DECIMAL(19,0))){w} AS DECIMAL(38,0))",
     "ga_max": "MAX(gap_all){w}",
     "ga_min": "MIN(gap_all){w}",
     "gf_n": "CAST(COUNT(CASE WHEN fwd THEN gap_dir END){w} AS BIGINT)",
     "gf_s": "CAST(SUM(CASE WHEN fwd THEN gap_dir END){w} AS BIGINT)",
-    "gf_s2": "CAST(SUM(CASE WHEN fwd THEN gap_dir * gap_dir END){w} AS BIGINT)",
+    "gf_s2": "CAST(SUM(CASE WHEN fwd THEN CAST(gap_dir AS DECIMAL(19,0)) * CAST(gap_dir AS DECIMAL(19,0)) END){w} AS DECIMAL(38,0))",
     "gf_max": "MAX(CASE WHEN fwd THEN gap_dir END){w}",
     "gf_min": "MIN(CASE WHEN fwd THEN gap_dir END){w}",
     "gb_n": "CAST(COUNT(CASE WHEN fwd THEN NULL ELSE gap_dir END){w} AS BIGINT)",
     "gb_s": "CAST(SUM(CASE WHEN fwd THEN NULL ELSE gap_dir END){w} AS BIGINT)",
-    "gb_s2": "CAST(SUM(CASE WHEN fwd THEN NULL ELSE gap_dir * gap_dir END){w} AS BIGINT)",
+    "gb_s2": "CAST(SUM(CASE WHEN fwd THEN NULL ELSE CAST(gap_dir AS DECIMAL(19,0)) * CAST(gap_dir AS DECIMAL(19,0)) END){w} AS DECIMAL(38,0))",
     "gb_max": "MAX(CASE WHEN fwd THEN NULL ELSE gap_dir END){w}",
     "gb_min": "MIN(CASE WHEN fwd THEN NULL ELSE gap_dir END){w}",
     "c_fin": "CAST(SUM(CASE WHEN (_flags & 1) <> 0 THEN 1 ELSE 0 END){w} AS BIGINT)",

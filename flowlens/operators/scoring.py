@@ -187,8 +187,12 @@ def with_host_context(scored: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, host_co
     """
     order = order_cols or EMIT_ORDER
     L = cfg.sequence_len
+    # a frame's statistics leave out rows whose features are all zero
+    dist = F.col("dist")
+    if all(f in scored.columns for f in FEATURES):
+        dist = F.when(F.greatest(*[F.abs(F.col(f)) for f in FEATURES]) > 0, dist)
     out = sliding_frame(scored, [host_col], order, L,
-                        {"ctx_n": F.count("dist"), "ctx_mean": F.avg("dist"), "ctx_sd": F.stddev_pop("dist")},
+                        {"ctx_n": F.count(dist), "ctx_mean": F.avg(dist), "ctx_sd": F.stddev_pop(dist)},
                         time_col=order[0], bucket_us=bucket_us, chunk_rows=chunk_rows, rank_col="_pos")
     return (out.withColumn("history_len", F.least(F.col("_pos"), F.lit(L)).cast("int"))
             .withColumn("ctx_raw", F.expr(context_sql())).drop("_pos"))

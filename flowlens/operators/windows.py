@@ -20,6 +20,15 @@ from pyspark.sql import functions as F
 HOUR_US = 3_600_000_000
 
 
+def _join_buckets(rows: DataFrame, per: DataFrame, part: list[str]) -> DataFrame:
+    """Join on key and bucket; a null key is a key like any other, so that its rows are kept."""
+    keys = [*part, "_bkt"]
+    right = per.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+                       *[c for c in per.columns if c not in keys])
+    cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return rows.join(right, cond).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def _bucket(time_col: str, bucket_us: int) -> Column:
     return F.floor(F.col(time_col) / F.lit(bucket_us)).cast("long")
 
@@ -39,7 +48,7 @@ def running_sum(df: DataFrame, part: list[str], order: list[str], value: Column
                Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
            .drop("_s"))
     w = Window.partitionBy(*part, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (b.join(per, part + ["_bkt"])
+    return (_join_buckets(b, per, part)
             .withColumn(out, (F.col("_off") + F.sum("_v").over(w)).cast("long"))
             .drop("_bkt", "_v", "_off"))
 
@@ -95,7 +104,7 @@ def last_before(df: DataFrame, part: list[str], order: list[str], values: dict[s
                                       for i in range(len(names))])
     w = Window.partitionBy(*part, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumns({f"_inner{i}": F.last(f"_val{i}", ignorenulls=True).over(w) for i in range(len(names))})
-    out = b.join(per, part + ["_bkt"]).withColumns(
+    out = _join_buckets(b, per, part).withColumns(
         {n: F.coalesce(f"_inner{i}", f"_carry{i}") for i, n in enumerate(names)})
     drop = ["_bkt"] + [f"_{p}{i}" for i in range(len(names)) for p in ("val", "inner", "carry")]
     return out.drop(*drop)

@@ -391,8 +391,8 @@ SELECT src_ip, CAST(start_pos / 4 AS BIGINT) AS seq_no, CAST(start_pos AS BIGINT
   SELECT f.*, s.start_pos, CASE WHEN f.n < 16 THEN f.pos + 16 - f.n ELSE f.pos - s.start_pos END AS slot FROM (
     SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY {ORDER_ASC}) - 1 AS pos,
            count(*) OVER (PARTITION BY src_ip) AS n FROM flows) f
-  JOIN (SELECT DISTINCT src_ip AS h, CAST(x AS BIGINT) AS start_pos FROM flows,
-          (SELECT unnest(range(0, 100000, 4)) AS x) r) s
+  JOIN (SELECT h, CAST(unnest(range(0, n, 4)) AS BIGINT) AS start_pos FROM
+          (SELECT src_ip AS h, count(*) AS n FROM flows GROUP BY src_ip) c) s
     ON s.h = f.src_ip AND ((f.n < 16 AND s.start_pos = 0)
        OR (f.n >= 16 AND s.start_pos <= f.n - 16 AND s.start_pos <= f.pos AND f.pos < s.start_pos + 16))) z"""))
 def q_sequence_members(spark, sf):
@@ -517,9 +517,8 @@ def q_legacy_aligned(spark, sf):
 SELECT capture_id, CAST(start_pos / 10 AS BIGINT) AS seq_no, CAST(start_pos AS BIGINT) AS start_pos,
        CAST(pos - start_pos AS INTEGER) AS slot, seq FROM (
   SELECT p.capture_id, p.seq, p.frame_number - 1 AS pos, s.start_pos FROM pr p
-  JOIN (SELECT capture_id AS c, n, CAST(x AS BIGINT) AS start_pos FROM
-          (SELECT capture_id, count(*) AS n FROM pr GROUP BY capture_id) g, (SELECT unnest(range(0, 1000000, 10)) AS x) r
-        WHERE x < n - 50) s
+  JOIN (SELECT c, CAST(unnest(range(0, greatest(n - 50, 0), 10)) AS BIGINT) AS start_pos FROM
+          (SELECT capture_id AS c, count(*) AS n FROM pr GROUP BY capture_id) g) s
     ON s.c = p.capture_id AND s.start_pos <= p.frame_number - 1 AND p.frame_number - 1 < s.start_pos + 50) z"""))
 def q_legacy_sequences(spark, sf):
     """Legacy packet windows per capture (length 50, stride 10, last window dropped)."""

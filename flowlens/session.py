@@ -3,7 +3,8 @@
 Library code never creates its own session; these helpers are for tests,
 the bench and the entry module. ``checkpoint_dir`` reads the cluster's
 ``spark.checkpoint.dir`` and only falls back to a local folder when the
-setting is absent (tests on one machine).
+setting is absent and the master is local (tests on one machine); on a
+cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -74,13 +75,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The shared checkpoint folder; only a local master (tests) may go without the setting."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="flowlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -57,6 +57,9 @@ def decode_frame(link: int, frame: bytes):
     dst = ".".join(str(b) for b in frame[off + 16:off + 20])
     l4 = off + ihl
     sport = dport = flags = l4len = 0
+    later = (frame[off + 6] & 0x1F) | frame[off + 7]  # a later fragment has no transport header
+    if later:
+        return proto, src, dst, 0, 0, ihl, 0
     if proto == 6 and len(frame) >= l4 + 14:
         sport, dport = struct.unpack(">HH", frame[l4:l4 + 4])
         l4len = (frame[l4 + 12] >> 4) * 4 or 20

@@ -16,9 +16,12 @@ FLOW_CSV_COLS = FEATURES + ["src_ip", "dst_ip", "attack_type", LABEL]
 
 # -- S2 / S3 ----------------------------------------------------------------
 def read_flows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Flow CSV with an explicit schema; numeric nulls -> 0, attack_type -> ''."""
-    df = spark.read.option("header", True).schema(FLOW_CSV_SCHEMA).csv(paths)
-    return fill_missing(df)
+    """Flow CSV read by the names in its header, in any order; numeric nulls -> 0, attack_type -> ''."""
+    raw = spark.read.option("header", True).csv(paths)
+    missing = [c for c in FLOW_CSV_COLS if c not in raw.columns]
+    if missing:
+        raise ValueError(f"flow file misses columns: {missing}")
+    return fill_missing(raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in FLOW_CSV_SCHEMA.fields]))
 
 
 def write_flows(flows: DataFrame, path: str, fmt: str = "csv", partition_by: str | None = None,

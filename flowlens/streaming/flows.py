@@ -16,6 +16,7 @@ is ``(key, first_us)``; per-key state is dropped when its flow closes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,18 +35,25 @@ STATE_FIELDS = _INT_AGGS + ["lf_us", "lb_us"]   # + last forward / backward pack
 _KEY_TYPES = {"capture_id": T.StringType(), "a_ip": T.StringType(), "a_port": T.IntegerType(),
               "b_ip": T.StringType(), "b_port": T.IntegerType(), "proto": T.IntegerType()}
 
+SQUARES = ("ga_s2", "gf_s2", "gb_s2")     # sums of squared gaps
+
+
+def _agg_type(name: str) -> T.DataType:
+    return T.DecimalType(38, 0) if name in SQUARES else T.LongType()
+
+
 FLOW_STREAM_SCHEMA = T.StructType(
     [T.StructField(k, t) for k, t in _KEY_TYPES.items()]
-    + [T.StructField(k, T.LongType()) for k in _INT_AGGS]
+    + [T.StructField(k, _agg_type(k)) for k in _INT_AGGS]
     + [T.StructField("emit_us", T.LongType()), T.StructField("close_reason", T.StringType()),
        T.StructField("final", T.BooleanType()), T.StructField("ts", T.TimestampType())])
-STATE_SCHEMA = T.StructType([T.StructField(k, T.LongType()) for k in STATE_FIELDS])
+STATE_SCHEMA = T.StructType([T.StructField(k, _agg_type(k)) for k in STATE_FIELDS])
 
 
 def _new(t: int) -> dict:
     s = {k: None for k in STATE_FIELDS}
-    s.update(first_us=t, last_us=t, n=0, nf=0, bf=0, bb=0, sf2=0, sb2=0, ga_n=0, ga_s=0, ga_s2=0,
-             gf_n=0, gf_s=0, gf_s2=0, gb_n=0, gb_s=0, gb_s2=0, c_fin=0, c_syn=0, c_rst=0, c_psh=0,
+    s.update(first_us=t, last_us=t, n=0, nf=0, bf=0, bb=0, sf2=0, sb2=0, ga_n=0, ga_s=0, ga_s2=Decimal(0),
+             gf_n=0, gf_s=0, gf_s2=Decimal(0), gb_n=0, gb_s=0, gb_s2=Decimal(0), c_fin=0, c_syn=0, c_rst=0, c_psh=0,
              c_ack=0, c_urg=0, hf=0, hb=0)
     return s
 
@@ -137,7 +145,7 @@ def _flow_state_fn(cfg: FlowConfig):
                     state.setTimeoutTimestamp((BASE_US + timer) // 1000 + 1)
         if out:
             df = pd.DataFrame(out)
-            for k in _INT_AGGS + ["emit_us"]:
+            for k in [*(k for k in _INT_AGGS if k not in SQUARES), "emit_us"]:
                 df[k] = df[k].astype("Int64")
             df["ts"] = pd.to_datetime(BASE_US + df["emit_us"].astype("int64"), unit="us")
             yield df[[f.name for f in FLOW_STREAM_SCHEMA.fields]]

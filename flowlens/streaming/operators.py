@@ -142,6 +142,9 @@ def _response_fn(policy: Policy):
         else:
             pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(EMIT_ORDER)
             for t, status in zip(pdf["emit_us"], pdf["status"]):
+                if until is not None and t >= until:  # it ran out before this row
+                    rows.append((key[0], until, alerts, "unblock", until))
+                    until = None
                 if status not in ("ATTACK", "SUSPICIOUS"):
                     continue
                 alerts += 1
@@ -150,11 +153,14 @@ def _response_fn(policy: Policy):
                     rows.append((key[0], int(t), alerts, "block", until))
                 else:
                     rows.append((key[0], int(t), alerts, "watch", None))
-            state.update((alerts, until))
             if until is not None:
                 ms = (BASE_US + until) // 1000
                 if ms > state.getCurrentWatermarkMs():
                     state.setTimeoutTimestamp(ms)
+                else:  # no timer can fire for it any more
+                    rows.append((key[0], until, alerts, "unblock", until))
+                    until = None
+            state.update((alerts, until))
         if rows:
             yield pd.DataFrame(rows, columns=[f.name for f in RESPONSE_SCHEMA.fields]).astype(
                 {"t_us": "Int64", "alert_count": "Int64", "expires_us": "Int64"})

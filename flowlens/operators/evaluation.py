@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import round_sql
 from ..schema import LABEL
-from .windows import exact_quantiles, monotone_bucket, running_sum
+from .windows import exact_quantiles, running_sum
 
 
 # -- M11 / M12 --------------------------------------------------------------
@@ -68,7 +68,7 @@ def roc_auc(df: DataFrame, label_col: str, score_col: str) -> DataFrame:
     """
     per = (df.groupBy(F.col(score_col).cast("double").alias("_s"))
            .agg(F.count_if(F.col(label_col) == 1).alias("_p"), F.count_if(F.col(label_col) != 1).alias("_n")))
-    cum = running_sum(per, [], ["_s"], "_n", "_cn", bucket=monotone_bucket(F.col("_s")))
+    cum = running_sum(per, [], ["_s"], "_n", "_cn")
     won = F.col("_p") * (F.col("_cn") - F.col("_n") + F.col("_n") * 0.5)
     return cum.agg(F.try_divide(F.sum(won), F.sum("_p") * F.sum("_n")).alias("roc_auc"))
 

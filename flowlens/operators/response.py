@@ -29,14 +29,14 @@ def is_alert(host_col: str = "src_ip"):
 
 
 # -- W5 / R1 ----------------------------------------------------------------
-def with_alert_count(events: DataFrame, host_col: str = "src_ip", bucket_us: int = HOUR_US) -> DataFrame:
+def with_alert_count(events: DataFrame, host_col: str = "src_ip", bucket_us: int | None = None) -> DataFrame:
     """Running alert count per source in emission order (never reset)."""
     return running_sum(events, [host_col], EMIT_ORDER, is_alert(host_col).cast("int"), "alert_count",
                        time_col="emit_us", bucket_us=bucket_us)
 
 
 def with_action(events: DataFrame, policy: Policy = DEFAULT_POLICY, host_col: str = "src_ip",
-                bucket_us: int = HOUR_US) -> DataFrame:
+                bucket_us: int | None = None) -> DataFrame:
     """``action_type`` observe / watch / block and ``action_message``."""
     df = with_alert_count(events, host_col, bucket_us)
     src = F.col(host_col)
@@ -63,7 +63,7 @@ def block_events(actions: DataFrame, host_col: str = "src_ip") -> DataFrame:
 
 # -- R2 / R3 ----------------------------------------------------------------
 def block_intervals(actions: DataFrame, policy: Policy = DEFAULT_POLICY, commands: DataFrame | None = None,
-                    host_col: str = "src_ip", bucket_us: int = HOUR_US) -> DataFrame:
+                    host_col: str = "src_ip", bucket_us: int | None = None) -> DataFrame:
     """R2 (+R3): merged block intervals ``ip, reason, dry_run, blocked_us,
     expires_us, renewals``.
 

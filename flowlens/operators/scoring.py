@@ -20,7 +20,7 @@ from ..functions.scalar import align_features, round_sql
 from ..schema import FEATURES
 from ..settings import DEFAULT_FLOW, DEFAULT_THRESHOLDS, FlowConfig, Thresholds
 from .profile import Profile
-from .windows import HOUR_US, sliding_frame
+from .windows import sliding_frame
 
 # fixed values: verdict reasons, in decision order
 REASONS = {
@@ -177,13 +177,13 @@ def score_anomaly(flows: DataFrame, profile: Profile) -> DataFrame:
 
 
 def with_host_context(scored: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, host_col: str = "src_ip",
-                      order_cols: list[str] | None = None, bucket_us: int = HOUR_US,
+                      order_cols: list[str] | None = None, bucket_us: int | None = None,
                       chunk_rows: int = 1 << 16) -> DataFrame:
     """W1 + M3: per host, over its last ``sequence_len`` flows in emission order,
     ``history_len`` (capped), frame count/mean/std of ``dist`` and ``ctx_raw``.
 
     The frame is evaluated by :func:`sliding_frame`, so a host with a large
-    share of all flows is spread over time buckets and row chunks.
+    share of all flows is spread over buckets and row chunks.
     """
     order = order_cols or EMIT_ORDER
     L = cfg.sequence_len

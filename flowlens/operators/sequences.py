@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from ..schema import FEATURES, LABEL
 from .scoring import EMIT_ORDER
-from .windows import HOUR_US, global_rank
+from .windows import global_rank
 
 
 def sequence_members(df: DataFrame, seq_len: int = 16, stride: int = 4, group_col: str = "src_ip",
                      order_cols: list[str] | None = None, drop_last: bool = False, pad_short: bool = True,
-                     time_col: str | None = None, bucket_us: int = HOUR_US) -> DataFrame:
+                     time_col: str | None = None, bucket_us: int | None = None) -> DataFrame:
     """Long form: one row per (group, window start, slot) with the row's position.
 
     ``pos`` is 0-based in group order; window starts are 0, stride, ... up to
@@ -30,9 +30,8 @@ def sequence_members(df: DataFrame, seq_len: int = 16, stride: int = 4, group_co
     """
     order = order_cols or EMIT_ORDER
     tcol = time_col or order[0]
-    ranked = global_rank(df, [group_col], order, "_pos1", tcol, bucket_us).withColumn("pos", F.col("_pos1") - 1)
-    n = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
-    r = ranked.join(n, group_col)
+    r = (global_rank(df, [group_col], order, "_pos1", tcol, bucket_us, total="_n")
+         .withColumn("pos", F.col("_pos1") - 1))
     last_start = (F.col("_n") - seq_len - (1 if drop_last else 0))
     k = math.ceil(seq_len / stride)
     # candidate starts containing pos: the multiples of stride in [pos - len + 1, pos]
@@ -69,10 +68,9 @@ def build_sequences(df: DataFrame, seq_len: int = 16, stride: int = 4, group_col
     g = m.groupBy(group_col, "seq_no", "start_pos").agg(
         F.sort_array(F.collect_list(F.struct("slot", "_row"))).alias("_rows"),
         F.max(F.col(label_col).cast("int")).alias("label"))
+    # the rows of a window are contiguous and end at its last slot: short groups are padded on the left
     zero = F.array_repeat(F.lit(0.0), len(feats))
-    # left padding for short groups: slots start at seq_len - n
-    window = F.transform(F.sequence(F.lit(0), F.lit(seq_len - 1)),
-                         lambda i: F.coalesce(F.try_element_at(F.filter("_rows", lambda x: x["slot"] == i), F.lit(1))["_row"], zero))
+    window = F.concat(F.array_repeat(zero, seq_len - F.size("_rows")), F.transform("_rows", lambda x: x["_row"]))
     return g.select(F.col(group_col).alias("host"), "seq_no", "start_pos", window.alias("window"), "label")
 
 

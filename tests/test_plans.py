@@ -3,10 +3,14 @@
 import re
 
 from flowlens.operators.assemble import assign_flows
+from flowlens.operators import windows
 from flowlens.operators.features import flow_features
+from flowlens.operators.flows import build_flows
+from flowlens.operators.response import block_intervals, with_action
 from flowlens.operators.scoring import score_flows
+from flowlens.operators.sequences import build_sequences
 from flowlens.plans import context as C
-from flowlens.sources.fixtures import read_packets
+from flowlens.sources.fixtures import manifest_from_packets, read_packets
 
 from conftest import SF001
 
@@ -33,3 +37,23 @@ def test_scan_prunes_columns(spark):
 def test_scoring_has_no_single_partition(spark):
     plan = _plan(score_flows(C.flows(spark, SF001), C.profile(spark, SF001)))
     assert "SinglePartition" not in plan
+
+
+def test_uncached_chains_fold_flows_once(spark, monkeypatch):
+    written = []
+    whole = windows.materialised
+
+    def recorded(df, name):
+        written.append(_plan(df))
+        return whole(df, name)
+
+    monkeypatch.setattr(windows, "materialised", recorded)
+    packets = read_packets(spark, SF001).filter("seq >= 0")   # not the plan that other tests persist
+    flows = build_flows(packets, manifest=manifest_from_packets(packets))
+    prof = C.profile(spark, SF001)
+    for build in (lambda: with_action(score_flows(flows, prof)),
+                  lambda: block_intervals(with_action(score_flows(flows, prof))),
+                  lambda: build_sequences(flows)):
+        written.clear()
+        plans = [_plan(build()), *written]
+        assert sum(p.count("MapInArrow") for p in plans) == 1

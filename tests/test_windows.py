@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.windows import exact_quantiles, global_rank, last_before, running_sum, sliding_frame
+from flowlens.operators.windows import (exact_quantiles, global_rank, last_before, running_sum, size_buckets,
+                                        sliding_frame)
 
 
 def _df(spark):
@@ -46,3 +47,32 @@ def test_exact_quantiles_match_numpy(spark):
     got = {r["p"]: r["value"] for r in exact_quantiles(df, "x", [0.25, 0.5, 0.99]).collect()}
     for p in (0.25, 0.5, 0.99):
         assert abs(got[p] - float(np.quantile(xs, p))) < 1e-9
+
+
+def test_one_hour_of_one_host_uses_many_tasks(spark):
+    df = spark.range(4000).select(F.lit("h").alias("h"), (F.col("id") * 10).alias("t"))
+    sizes = [r["count"] for r in size_buckets(df, "t", 16).groupBy("h", "_bkt").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 500
+    got = global_rank(df, ["h"], ["t"], "rk", total="n")
+    assert got.filter((F.col("rk") != F.col("t") / 10 + 1) | (F.col("n") != 4000)).count() == 0
+
+
+def test_size_buckets_keep_null_nan_ties_and_empty(spark):
+    xs = [None, float("nan"), float("-inf"), float("inf"), 1.0, 1.0, 2.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = size_buckets(df, "x", 4).orderBy("x").collect()
+    assert [r._bkt for r in got] == sorted(r._bkt for r in got) and len(got) == len(xs)
+    assert size_buckets(df.limit(0), "x", 4).count() == 0
+
+
+def test_exact_quantiles_by_group(spark):
+    rng = np.random.default_rng(5)
+    rows = [("small", float(v)) for v in rng.random(300)] + [("big", float(v)) for v in rng.normal(size=77) * 1e9]
+    df = spark.createDataFrame([*rows, ("one", 3.0), ("none", None)], "g string, x double")
+    got = {(r["g"], r["p"]): r["value"] for r in exact_quantiles(df, "x", [0.0, 0.3, 1.0], "g").collect()}
+    assert len(got) == 9
+    for g in ("small", "big"):
+        xs = [x for k, x in rows if k == g]
+        for p in (0.0, 0.3, 1.0):
+            assert np.isclose(got[g, p], np.quantile(xs, p), rtol=1e-12)
+    assert got["one", 0.3] == 3.0

@@ -98,6 +98,8 @@ def evaluate(df: DataFrame, label_col: str = LABEL, pred_col: str = "pred", scor
         "macro_precision": "(COALESCE(p0, 0e0) + COALESCE(p1, 0e0)) / 2",
         "macro_recall": "(COALESCE(r0, 0e0) + COALESCE(r1, 0e0)) / 2",
         "macro_f1": "(f1_0 + f1_1) / 2",
+        "weighted_precision": "try_divide(COALESCE(p0, 0e0) * s0 + COALESCE(p1, 0e0) * s1, s0 + s1)",
+        "weighted_recall": "try_divide(COALESCE(r0, 0e0) * s0 + COALESCE(r1, 0e0) * s1, s0 + s1)",
         "weighted_f1": "try_divide(f1_0 * s0 + f1_1 * s1, s0 + s1)",
     }
     stack = ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in rows.items())

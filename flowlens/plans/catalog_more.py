@@ -14,7 +14,7 @@ from ..operators.scoring import EMIT_ORDER
 from ..schema import KEY_COLS
 from ..settings import Policy
 from . import context as C
-from .catalog import EVENT_ID_SQL, KF, KEYF, ORDER_ASC, register
+from .catalog import EVENT_ID_SQL, KF, KEYF, ORDER_ASC, REGISTRY, register
 from .oracle import scored_ctes, with_ctes
 
 # Response policy of the registered queries: auto-block on, nothing enforced.
@@ -225,11 +225,17 @@ def dirty_flows(spark, sf) -> DataFrame:
     return base.unionByName(base.filter(F.col("close_reason") == "tcp_close")).select(*DIRTY_COLS)
 
 
+# The flow schema of FIXTURES.md: what is not text or a whole number is double.
+_DIRTY_TYPES = {"src_ip": "string", "dst_ip": "string", "attack_type": "string", "label": "int"}
+
+
 def _dq(select: str) -> str:
     return with_ctes(flow_ctes("key") + [_DIRTY_CTE], select)
 
 
-@register("dq_schema")
+@register("dq_schema", _dq("SELECT s.*, r.rows FROM (VALUES " + ", ".join(
+    f"({i}, '{c}', '{_DIRTY_TYPES.get(c, 'double')}')" for i, c in enumerate(DIRTY_COLS))
+    + ") s(position, column_name, type), (SELECT CAST(count(*) AS BIGINT) AS rows FROM dirty) r"))
 def q_dq_schema(spark, sf):
     """Column names, types and row count of the dirty dataset."""
     return Q.profile_schema(dirty_flows(spark, sf))
@@ -401,10 +407,37 @@ def q_sequence_members(spark, sf):
     return m.select("src_ip", "seq_no", "start_pos", "slot", *KEYF)
 
 
-@register("flow_sequences")
+def _sequence_ctes() -> list[str]:
+    """``seq_rows``: every slot of every window, padding included."""
+    members = REGISTRY["sequence_members"].sql
+    cut = members.index("SELECT src_ip, CAST(start_pos / 4")
+    vals = ", ".join(f"f.{c}" for c in FEATURES)
+    slots = ", ".join(f"COALESCE(v.{c}, 0) AS {c}" for c in FEATURES)
+    return [members[:cut].rstrip().removeprefix("WITH RECURSIVE "), f"sm AS ({members[cut:]})",
+            f"""sv AS (SELECT sm.src_ip AS host, sm.seq_no, sm.start_pos, sm.slot, f.label, {vals}
+  FROM sm JOIN flows f ON {' AND '.join(f'sm.{c} = f.{c}' for c in KEYF)})""",
+            """sg AS (SELECT *, CAST(unnest(range(16)) AS INTEGER) AS slot FROM (
+  SELECT host, seq_no, start_pos, max(label) AS label FROM sv GROUP BY 1, 2, 3) w)""",
+            f"""seq_rows AS (SELECT g.*, {slots} FROM sg g LEFT JOIN sv v
+  ON v.host = g.host AND v.seq_no = g.seq_no AND v.slot = g.slot)"""]
+
+
+def _rounded_sql() -> str:
+    return ", ".join(f"{round_sql(c)} AS {c}" for c in FEATURES)
+
+
+def _slots(seqs: DataFrame, *keys: str) -> DataFrame:
+    """Windows in long form: a row for each slot, the features rounded."""
+    rows = seqs.select(*keys, "label", F.posexplode("window").alias("slot", "_row"))
+    wide = rows.select(*keys, "label", "slot", *[F.col("_row")[i].alias(c) for i, c in enumerate(FEATURES)])
+    return wide.select(*keys, "label", "slot", *[round_half_up(c).alias(c) for c in FEATURES])
+
+
+@register("flow_sequences", with_ctes(_sequence_ctes(), f"""
+SELECT host, seq_no, start_pos, label, slot, {_rounded_sql()} FROM seq_rows"""))
 def q_flow_sequences(spark, sf):
-    """(host, seq_no, 16x52 window, label) training sequences."""
-    return build_sequences(C.flows(spark, sf), 16, 4, "src_ip")
+    """The 16x52 training sequences, a row for each slot (host, seq_no, slot), padding included."""
+    return _slots(build_sequences(C.flows(spark, sf), 16, 4, "src_ip"), "host", "seq_no", "start_pos")
 
 
 # =============================================================================
@@ -619,6 +652,8 @@ def _evaluate_sql() -> str:
             "recall_1": "COALESCE(r1, 0e0)", "f1_1": "f1_1", "support_1": "s1", "accuracy": "COALESCE(acc, 0e0)",
             "macro_precision": "(COALESCE(p0, 0e0) + COALESCE(p1, 0e0)) / 2",
             "macro_recall": "(COALESCE(r0, 0e0) + COALESCE(r1, 0e0)) / 2", "macro_f1": "(f1_0 + f1_1) / 2",
+            "weighted_precision": div("COALESCE(p0, 0e0) * s0 + COALESCE(p1, 0e0) * s1", "s0 + s1"),
+            "weighted_recall": div("COALESCE(r0, 0e0) * s0 + COALESCE(r1, 0e0) * s1", "s0 + s1"),
             "weighted_f1": div("f1_0 * s0 + f1_1 * s1", "s0 + s1")}
     sel = " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({v} AS DOUBLE) AS value FROM m2" for k, v in rows.items())
     auc = ("SELECT 'roc_auc', sum(np * (cn - nn + nn * 0.5)) / (sum(np) * sum(nn)) FROM ("
@@ -730,13 +765,13 @@ def q_flows_csv_roundtrip(spark, sf):
     return back.select(*[round_half_up(f).alias(f) for f in FEATURES], "src_ip", "dst_ip", "attack_type", "label")
 
 
-@register("sequences_csv_roundtrip")
+@register("sequences_csv_roundtrip", with_ctes(_sequence_ctes(), f"SELECT label, slot, {_rounded_sql()} FROM seq_rows"))
 def q_sequences_csv_roundtrip(spark, sf):
     """Flattened 16x52 sequences written as CSV (832 columns + label) and read back."""
     path = os.path.join(work_dir(spark, "seq-csv"), "seqs")
     FS.write_sequences(build_sequences(C.flows(spark, sf), 16, 4, "src_ip"), path)
     back = FS.read_sequences(spark, path)
-    return back.select(F.size("window").alias("rows"), F.size(F.col("window")[0]).alias("features"), "label")
+    return _slots(back)
 
 
 @register("events_ndjson", with_ctes(scored_ctes(), f"""
@@ -837,8 +872,6 @@ from ..operators.sequences import fit_sequence_standardizer  # noqa: E402
 def _seq_std_sql() -> str:
     """Window membership from the W2 oracle; padding slots add zeros, so
     sums run over members and the divisor is windows x 16."""
-    from .catalog import REGISTRY
-
     members = REGISTRY["sequence_members"].sql
     cut = members.index("SELECT src_ip, CAST(start_pos / 4")
     ctes, inner = members[:cut].rstrip(), members[cut:]

@@ -189,3 +189,12 @@ def fan_out(root: str):
         finally:
             batch.unpersist()
     return write
+
+
+def fan_out_blocks(root: str):
+    """T5: a ``foreachBatch`` function writing the block and unblock rows of each
+    batch of T4 to ``root/blocks/batch_id=<id>`` (overwrite: retries are idempotent)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.filter(F.col("action_type").isin("block", "unblock"))
+         .write.mode("overwrite").parquet(os.path.join(root, "blocks", f"batch_id={batch_id}")))
+    return write

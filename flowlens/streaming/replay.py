@@ -24,22 +24,25 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def write_slices(table: DataFrame, path: str, order: list[str], files: int = 8) -> DataFrame:
+    """Write ``table`` as ``files`` slices in ``order``, one after another (the
+    file source takes files in modification order); returns the first slice."""
+    at = order[0]
+    cuts = table.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 10000).alias("q")).first()["q"]
+    edges = [None, *sorted({int(x) for x in cuts or []}), None]
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        part = table if lo is None else table.filter(F.col(at) >= lo)
+        part = part if hi is None else part.filter(F.col(at) < hi)
+        (part.coalesce(1).sortWithinPartitions(*order)
+         .write.mode("overwrite").parquet(os.path.join(path, f"part{i:04d}")))
+    return table.sparkSession.read.parquet(os.path.join(path, "part0000"))
+
+
 def write_ordered(packets: DataFrame, path: str, files: int = 8, sentinel_gap_us: int = 400_000_000) -> None:
-    """Write ``packets`` as ``files`` time slices, one after another (the file
-    source takes files in modification order), then one sentinel file."""
+    """Write ``packets`` as ordered time slices, then one sentinel file."""
     spark = packets.sparkSession
-    qs = packets.agg(F.percentile_approx("ts_us", [i / files for i in range(1, files)], 10000).alias("q"),
-                     F.max("ts_us").alias("last")).first()
-    cuts = [None] + sorted(set(int(x) for x in qs["q"])) + [None]
-    for i in range(len(cuts) - 1):
-        lo, hi = cuts[i], cuts[i + 1]
-        part = packets
-        if lo is not None:
-            part = part.filter(F.col("ts_us") >= lo)
-        if hi is not None:
-            part = part.filter(F.col("ts_us") < hi)
-        (part.coalesce(1).sortWithinPartitions("ts_us", "seq")
-         .write.mode("overwrite").parquet(os.path.join(path, f"part{i:04d}")))
+    write_slices(packets, path, ["ts_us", "seq"], files)
+    qs = packets.agg(F.max("ts_us").alias("last")).first()
     last = qs["last"] or 0
     sentinel = spark.createDataFrame(
         [(-1, "__sentinel__", int(last) + sentinel_gap_us, 0, 0, "0.0.0.0", "0.0.0.0", 0, 0, 0, 0)],

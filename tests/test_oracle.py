@@ -16,7 +16,8 @@ NAMES = ["packets_keyed", "flow_split_key", "flow_split_capture", "flow_features
          "dq_duplicates", "dq_describe", "dq_cardinality", "dq_correlated_pairs", "merge_flows", "replay_selection",
          "stratified_split", "sequence_members", "legacy_packets", "legacy_to_number", "legacy_sequences",
          "anomaly_threshold", "standard_scaled", "evaluate_verdicts", "finite_guard", "score_table",
-         "flows_csv_roundtrip", "events_ndjson"]
+         "flows_csv_roundtrip", "events_ndjson", "dq_schema", "flow_sequences", "sequences_csv_roundtrip",
+         "stream_flows", "stream_scores", "stream_status", "stream_response", "stream_fanout"]
 
 
 @pytest.fixture(scope="module")

@@ -15,6 +15,7 @@ the normal-profile surrogates when a model is absent.
 
 from __future__ import annotations
 
+import dataclasses
 import os
 from dataclasses import dataclass
 
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import FEATURES, LABEL
+from ..settings import DEFAULT_FLOW, DEFAULT_THRESHOLDS, FlowConfig, Thresholds
 from .dataset import class_weights, stratified_split
 from .evaluation import evaluate, exact_quantiles
+from .scoring import score_flows
 
 
 def _proba1(df: DataFrame, col: str = "probability") -> F.Column:
@@ -164,22 +167,80 @@ def train_forest(train: DataFrame, feature_cols: list[str], seed: int = 42, tree
     return _fit_persisted(pipe, train.select(*feature_cols, LABEL))
 
 
-# -- M18 --------------------------------------------------------------------
+# -- M18 / M7 with trained models ---------------------------------------------
+@dataclass(frozen=True)
+class Detectors:
+    """Trained models of the routine and anomaly barriers; None takes the surrogate."""
+    routine: PipelineModel | None = None
+    anomaly: AnomalyModel | None = None
+
+
+def save_detectors(spark, detectors: Detectors, model_dir: str) -> None:
+    """Write the models under ``model_dir`` (shared storage); the anomaly threshold lies in the model's row."""
+    if detectors.routine is not None:
+        detectors.routine.write().overwrite().save(os.path.join(model_dir, "routine"))
+    if detectors.anomaly is not None:
+        row = dataclasses.asdict(detectors.anomaly)
+        (spark.createDataFrame([tuple(row[f.name] for f in _ANOMALY_SCHEMA)], _ANOMALY_SCHEMA)
+         .write.mode("overwrite").parquet(os.path.join(model_dir, "anomaly")))
+
+
+_ANOMALY_SCHEMA = T.StructType([
+    *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("lo", "span", "mean")],
+    T.StructField("components", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("threshold", T.DoubleType())])
+
+
+def _load_anomaly(spark, path: str) -> AnomalyModel:
+    row = spark.read.schema(_ANOMALY_SCHEMA).parquet(path).first()
+    return AnomalyModel(tuple(row.lo), tuple(row.span), tuple(row.mean), tuple(map(tuple, row.components)),
+                        row.threshold)
+
+
+def _load(spark, model_dir: str) -> dict:
+    """Per saved model its value, or the error that loading raised."""
+    found = {}
+    for sub, read in (("routine", PipelineModel.load), ("context", PipelineModel.load),
+                      ("anomaly", lambda path: _load_anomaly(spark, path))):
+        try:
+            found[sub] = read(os.path.join(model_dir, sub))
+        except Exception as exc:  # noqa: BLE001 - reported in the health table; the surrogate takes over
+            found[sub] = exc
+    return found
+
+
+def read_detectors(spark, model_dir: str) -> Detectors:
+    """The saved models; a barrier whose model doesn't load takes its surrogate."""
+    found = {k: None if isinstance(v, Exception) else v for k, v in _load(spark, model_dir).items()}
+    return Detectors(found["routine"], found["anomaly"])
+
+
 def load_detectors(spark, model_dir: str) -> DataFrame:
-    """Health table: per barrier, ``model`` when a saved pipeline loads,
-    otherwise ``surrogate`` with the load error."""
+    """Health table: per barrier, ``model`` when a saved model loads, otherwise ``surrogate`` with the error."""
+    found = _load(spark, model_dir)
     rows = []
     for name, sub in (("routine_xgboost", "routine"), ("context_transformer", "context"),
                       ("zero_day_autoencoder", "anomaly")):
-        path = os.path.join(model_dir, sub)
-        try:
-            PipelineModel.load(path)
-            rows.append((name, True, "model", None))
-        except Exception as exc:  # noqa: BLE001 - report, fall back to the surrogate
-            rows.append((name, True, "surrogate", str(exc).splitlines()[0][:200]))
+        bad = isinstance(found[sub], Exception)
+        rows.append((name, True, "surrogate" if bad else "model",
+                     str(found[sub]).splitlines()[0][:200] if bad else None))
     return spark.createDataFrame(rows, "name string, available boolean, mode string, error string")
 
 
+def score_with_models(flows: DataFrame, profile, detectors: Detectors, t: Thresholds = DEFAULT_THRESHOLDS,
+                      cfg: FlowConfig = DEFAULT_FLOW) -> DataFrame:
+    """M7 with the trained models there are; the anomaly model brings its own threshold."""
+    routine = anomaly = None
+    if detectors.routine is not None:
+        def routine(df):
+            return routine_scores(detectors.routine, df).drop("prediction")
+    if detectors.anomaly is not None:
+        def anomaly(df):
+            return reconstruction_error(df, detectors.anomaly).withColumnRenamed("anomaly_error", "anomaly_score")
+        if detectors.anomaly.threshold is not None:
+            t = dataclasses.replace(t, autoencoder=detectors.anomaly.threshold)
+    return score_flows(flows, profile, t, cfg, routine=routine, anomaly=anomaly)
+
+
 def holdout(flows: DataFrame, test_frac: float = 0.2, seed: int = 42, row_id: F.Column | None = None):
     s = stratified_split(flows, test_frac, seed, row_id)
     return s.filter(~F.col("is_test")).drop("is_test"), s.filter(F.col("is_test")).drop("is_test")
@@ -187,4 +248,5 @@ def holdout(flows: DataFrame, test_frac: float = 0.2, seed: int = 42, row_id: F.
 
 __all__ = ["train_routine", "routine_scores", "feature_importances", "train_anomaly", "reconstruction_error",
            "pooled_sequences", "train_context", "context_scores", "train_forest", "load_detectors", "holdout",
+           "Detectors", "save_detectors", "read_detectors", "score_with_models",
            "evaluate", "MinMaxScaler", "StandardScaler"]

@@ -207,9 +207,18 @@ def with_verdict(df: DataFrame, t: Thresholds = DEFAULT_THRESHOLDS,
 
 
 def score_flows(flows: DataFrame, profile: Profile, t: Thresholds = DEFAULT_THRESHOLDS,
-                cfg: FlowConfig = DEFAULT_FLOW, host_col: str = "src_ip") -> DataFrame:
-    """M7: full three-barrier scoring of a flows table."""
-    s = score_anomaly(score_routine(score_distances(flows, profile), profile), profile)
+                cfg: FlowConfig = DEFAULT_FLOW, host_col: str = "src_ip",
+                routine: Callable[[DataFrame], DataFrame] | None = None,
+                anomaly: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """M7: full three-barrier scoring of a flows table.
+
+    ``routine`` / ``anomaly`` are scorers of trained models that add
+    ``routine_score`` / ``anomaly_score``; without one the barrier takes its
+    surrogate (``models.score_with_models`` passes saved models).
+    """
+    s = score_distances(flows, profile)
+    s = routine(s) if routine else score_routine(s, profile)
+    s = anomaly(s) if anomaly else score_anomaly(s, profile)
     s = with_host_context(s, cfg, host_col)
     return with_verdict(s, t, cfg).drop("energy", "ctx_mean", "ctx_sd")
 

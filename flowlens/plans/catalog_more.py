@@ -583,6 +583,7 @@ def q_binary_verdict(spark, sf):
 # =============================================================================
 from ..operators import evaluation as EV  # noqa: E402
 from ..operators import models as MD  # noqa: E402
+from ..streaming.replay import work_dir  # noqa: E402
 
 
 @register("anomaly_threshold", with_ctes(scored_ctes(), f"""
@@ -739,20 +740,35 @@ def vector_to_array_col(df):
     return vector_to_array(F.col("probability"))[1]
 
 
+def _saved_detectors(spark, sf) -> str:
+    """Folder of a small routine GBT (20 trees) and the anomaly model, both trained on the flows."""
+    k = C._key(spark, sf, "detectors")
+    if k not in C._CACHE:
+        path = work_dir(spark, "detectors")
+        f = C.flows(spark, sf)
+        MD.save_detectors(spark, MD.Detectors(MD.train_routine(f, max_iter=20, max_depth=4), MD.train_anomaly(f)), path)
+        C._CACHE[k] = path
+    return C._CACHE[k]
+
+
 @register("detector_health")
 def q_detector_health(spark, sf):
-    """Per barrier, trained model or surrogate (no saved models here -> surrogate)."""
-    from ..session import ensure_checkpoint_dir
-    root = ensure_checkpoint_dir(spark)
-    return MD.load_detectors(spark, os.path.join(root.replace("file:", ""), "flowlens-models-absent"))
+    """Per barrier, saved model or surrogate, for models trained on the flows."""
+    return MD.load_detectors(spark, _saved_detectors(spark, sf))
+
 
+@register("model_verdicts")
+def q_model_verdicts(spark, sf):
+    """M7: verdicts of the saved routine and anomaly models, read back."""
+    e = MD.score_with_models(C.flows(spark, sf), C.profile(spark, sf),
+                             MD.read_detectors(spark, _saved_detectors(spark, sf)))
+    return e.select(*KEYF, "routine_score", "anomaly_score", "status", "severity", "threat_score")
 
 
 # =============================================================================
 # S2 / S3 / S4 / S5 file round trips (written under the shared checkpoint folder)
 # =============================================================================
 from ..sources import files as FS  # noqa: E402
-from ..streaming.replay import work_dir  # noqa: E402
 
 
 @register("flows_csv_roundtrip", with_ctes(flow_ctes("key"), "SELECT " + ", ".join(

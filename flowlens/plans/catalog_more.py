@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import response as R
 from ..operators.analytics import event_id
 from ..operators.scoring import EMIT_ORDER
+from ..operators.windows import global_rank
 from ..schema import KEY_COLS
 from ..settings import Policy
 from . import context as C
@@ -768,6 +769,7 @@ def q_model_verdicts(spark, sf):
 # =============================================================================
 # S2 / S3 / S4 / S5 file round trips (written under the shared checkpoint folder)
 # =============================================================================
+from ..sources import captures as CAP  # noqa: E402
 from ..sources import files as FS  # noqa: E402
 
 
@@ -781,6 +783,18 @@ def q_flows_csv_roundtrip(spark, sf):
     return back.select(*[round_half_up(f).alias(f) for f in FEATURES], "src_ip", "dst_ip", "attack_type", "label")
 
 
+@register("captures_roundtrip", with_ctes(packets_ctes(), """
+SELECT capture_id, CAST(ROW_NUMBER() OVER (PARTITION BY capture_id ORDER BY ts_us, seq) AS BIGINT) AS position, ts_us,
+  length, proto, src_ip, dst_ip, src_port, dst_port, header_len, tcp_flags
+FROM packets"""))
+def q_captures_roundtrip(spark, sf):
+    """Packets written as capture files, several for a capture, and decoded again in their order."""
+    path = os.path.join(work_dir(spark, "captures"), "pcap")
+    CAP.write_captures(C.packets(spark, sf), path)
+    back = global_rank(CAP.read_captures(spark, path), ["capture_id"], ["ts_us", "seq"], "position")
+    return back.drop("seq", "wire_length")
+
+
 @register("sequences_csv_roundtrip", with_ctes(_sequence_ctes(), f"SELECT label, slot, {_rounded_sql()} FROM seq_rows"))
 def q_sequences_csv_roundtrip(spark, sf):
     """Flattened 16x52 sequences written as CSV (832 columns + label) and read back."""

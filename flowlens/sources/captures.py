@@ -1,22 +1,28 @@
-"""Capture-file (pcap) scan as a Spark data source.
+"""Capture files (pcap, pcapng) as a Spark data source.
 
 ``spark.read.format("pcap").load(path_or_glob)`` returns the ``packets``
 schema. Files are listed by Spark (any Hadoop file system); each file is one
 input partition, read as a stream of records through ``pyarrow.fs`` and
 emitted as Arrow batches, so memory per task is one batch, never a whole
-file. Decoding keeps IPv4 over Ethernet (with VLAN tags), Linux cooked
-capture v1/v2 and raw IP link types; other frames are skipped.
+file. Decoding keeps IPv4 over Ethernet (with VLAN tags), loopback, Linux
+cooked capture v1/v2 and raw IP link types; other frames are skipped.
 
 Fields: TCP header = data offset x 4 (0 -> 5 words), UDP / ICMP 8 bytes;
 ``header_len`` = IHL x 4 (0 -> 5 words) + L4 header; ``length`` = captured
 record length (``wire_length`` keeps the original length).
+
+:func:`write_captures` writes a packets table as capture files, several for a
+large capture; all files in a folder ``capture_id=<id>`` are one capture.
 """
 
 from __future__ import annotations
 
 import struct
+import urllib.parse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PCAP_SCHEMA = ("capture_id string, seq bigint, ts_us bigint, length int, wire_length int, proto int, "
                "src_ip string, dst_ip string, src_port int, dst_port int, header_len int, tcp_flags int")
@@ -28,6 +34,11 @@ MAGIC = {
 }
 # fixed values: link types
 LINK_ETHERNET, LINK_RAW, LINK_RAW_ALT, LINK_SLL, LINK_SLL2 = 1, 101, 12, 113, 276
+LINK_NULL, LINK_LOOP = 0, 108
+# fixed values: pcapng block types, byte-order magic and option codes
+NG_SECTION, NG_INTERFACE, NG_OLD_PACKET, NG_SIMPLE, NG_PACKET = 0x0A0D0D0A, 1, 2, 3, 6
+NG_ORDER = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
+NG_TSRESOL, NG_TSOFFSET = 9, 14
 
 
 def _ip_offset(link: int, frame: bytes) -> int | None:
@@ -39,6 +50,8 @@ def _ip_offset(link: int, frame: bytes) -> int | None:
         return off if etype == b"\x08\x00" else None
     if link in (LINK_RAW, LINK_RAW_ALT):
         return 0
+    if link in (LINK_NULL, LINK_LOOP):  # address family in the byte order of the capturing host
+        return 4 if frame[:4] in (b"\x02\x00\x00\x00", b"\x00\x00\x00\x02") else None
     if link == LINK_SLL:
         return 16 if frame[14:16] == b"\x08\x00" else None
     if link == LINK_SLL2:
@@ -72,41 +85,139 @@ def decode_frame(link: int, frame: bytes):
     return proto, src, dst, sport, dport, ihl + l4len, flags
 
 
-def iter_records(stream, batch_rows: int = 8192):
-    """Yield lists of (seq, ts_us, caplen, wirelen, decoded) from a pcap byte stream.
-
-    Stops at a truncated last record. Raises ValueError on an unknown magic.
-    """
-    head = stream.read(24)
+def _pcap_frames(head: bytes, stream):
+    """(ts_us, caplen, wirelen, link, frame) of each pcap record; stops at a truncated last one."""
+    head += stream.read(20)
     if len(head) < 24:
         return
-    if head[:4] not in MAGIC:
-        raise ValueError("not a pcap file")
     order, div = MAGIC[head[:4]]
     link = struct.unpack(order + "I", head[20:24])[0] & 0x0FFFFFFF
     rec = struct.Struct(order + "IIII")
-    out, seq = [], 0
-    while True:
-        h = stream.read(16)
-        if len(h) < 16:
-            break
+    while len(h := stream.read(16)) == 16:
         sec, frac, caplen, wirelen = rec.unpack(h)
         frame = stream.read(caplen)
         if len(frame) < caplen:
+            return
+        yield sec * 1_000_000 + frac // div, caplen, wirelen, link, frame
+
+
+def _interface(order: str, body: bytes) -> tuple[int, int, int, int]:
+    """(link, snap length, ticks per second, offset in seconds) of an interface description."""
+    link, _, snap = struct.unpack(order + "HHI", body[:8])
+    ticks, offset, at = 1_000_000, 0, 8
+    while at + 4 <= len(body):
+        code, size = struct.unpack(order + "HH", body[at:at + 4])
+        value = body[at + 4:at + 4 + size]
+        if code == 0:
             break
+        if code == NG_TSRESOL and size >= 1:
+            ticks = 2 ** (value[0] & 0x7F) if value[0] & 0x80 else 10 ** value[0]
+        elif code == NG_TSOFFSET and size >= 8:
+            offset = struct.unpack(order + "q", value[:8])[0]
+        at += 4 + (size + 3) // 4 * 4
+    return link, snap, ticks, offset
+
+
+def _pcapng_frames(head: bytes, stream):
+    """As :func:`_pcap_frames` for pcapng. A simple packet block carries no time: its ``ts_us`` is 0."""
+    order, faces, start = "<", [], head
+    while len(start) == 4 and len(size_bytes := stream.read(4)) == 4:
+        body = b""
+        if start == b"\x0a\x0d\x0d\x0a":  # a new section sets the byte order and forgets the interfaces
+            body = stream.read(4)
+            if body not in NG_ORDER:
+                return
+            order, faces = NG_ORDER[body], []
+        kind, size = struct.unpack(order + "I", start)[0], struct.unpack(order + "I", size_bytes)[0]
+        want = size - 12 - len(body)
+        if want < 0:
+            return
+        body += stream.read(want)
+        if len(body) < size - 12 or len(stream.read(4)) < 4:
+            return
+        if kind == NG_INTERFACE and len(body) >= 8:
+            faces.append(_interface(order, body))
+        elif kind in (NG_PACKET, NG_OLD_PACKET) and len(body) >= 20:
+            face, high, low, caplen, wirelen = struct.unpack(order + "IIIII", body[:20])
+            if kind == NG_OLD_PACKET:
+                face = struct.unpack(order + "H", body[:2])[0]
+            if face < len(faces):
+                link, _, ticks, offset = faces[face]
+                ts_us = ((high << 32) | low) * 1_000_000 // ticks + offset * 1_000_000
+                yield ts_us, caplen, wirelen, link, body[20:20 + caplen]
+        elif kind == NG_SIMPLE and len(body) >= 4 and faces:
+            wirelen = struct.unpack(order + "I", body[:4])[0]
+            caplen = min(wirelen, faces[0][1] or wirelen, len(body) - 4)
+            yield 0, caplen, wirelen, faces[0][0], body[4:4 + caplen]
+        start = stream.read(4)
+
+
+def iter_records(stream, batch_rows: int = 8192):
+    """Yield lists of (seq, ts_us, caplen, wirelen, decoded) from a pcap or pcapng byte stream.
+
+    Stops at a truncated last record. Raises ValueError on an unknown magic.
+    """
+    head = stream.read(4)
+    if len(head) < 4:
+        return
+    if head == b"\x0a\x0d\x0d\x0a":
+        frames = _pcapng_frames(head, stream)
+    elif head in MAGIC:
+        frames = _pcap_frames(head, stream)
+    else:
+        raise ValueError("neither a pcap nor a pcapng file")
+    out = []
+    for seq, (ts_us, caplen, wirelen, link, frame) in enumerate(frames):
         d = decode_frame(link, frame)
         if d is not None:
-            out.append((seq, sec * 1_000_000 + frac // div, caplen, wirelen, d))
+            out.append((seq, ts_us, caplen, wirelen, d))
             if len(out) >= batch_rows:
                 yield out
                 out = []
-        seq += 1
     if out:
         yield out
 
 
+def encode_frame(length: int, proto: int, src: str, dst: str, sport: int, dport: int, header_len: int,
+                 flags: int) -> bytes:
+    """A raw IPv4 frame of ``length`` bytes that decodes to these fields; the payload is zeros.
+
+    The IP header has no options; what ``header_len`` holds beyond it is the
+    TCP header. A frame shorter than its headers is cut, as a snap length does.
+    """
+    l4 = b""
+    if proto == 6:
+        words = min(max((header_len - 20) // 4, 5), 15)
+        l4 = struct.pack(">HHIIBBHHH", sport, dport, 0, 0, words << 4 | flags >> 8 & 1, flags & 0xFF, 0, 0, 0)
+    elif proto == 17:
+        l4 = struct.pack(">HHHH", sport, dport, max(length - 20, 8) & 0xFFFF, 0)
+    address = bytes(int(x) for x in src.split(".")) + bytes(int(x) for x in dst.split("."))
+    ip = struct.pack(">BBHHHBBH", 0x45, 0, min(length, 0xFFFF), 0, 0, 64, proto, 0) + address
+    return (ip + l4)[:length].ljust(length, b"\x00")
+
+
+def _file_system(path: str):
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+def _capture_of(path: str) -> str:
+    """The id in the name of the folder ``capture_id=<id>``, or the file's base name."""
+    folder, _, name = path.rpartition("/")
+    last = folder.rpartition("/")[2]
+    if last.startswith("capture_id="):
+        return urllib.parse.unquote(last[len("capture_id="):])
+    return name.rsplit(".", 1)[0]
+
+
 try:  # the Python data source API (Spark 4)
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+    from pyspark.sql.datasource import (
+        DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage)
 
     class _FilePartition(InputPartition):
         def __init__(self, path: str, capture_id: str, index: int):
@@ -119,24 +230,19 @@ try:  # the Python data source API (Spark 4)
             self.capture = options.get("capture_id")
 
         def partitions(self):
-            out = []
-            for i, f in enumerate(self.files):
-                cid = self.capture or f.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                out.append(_FilePartition(f, cid, i))
+            # records of a capture are numbered over its files, in the order of their names
+            out, count = [], {}
+            for f in self.files:
+                cid = self.capture or _capture_of(f)
+                out.append(_FilePartition(f, cid, count.setdefault(cid, 0)))
+                count[cid] += 1
             return out
 
         def read(self, partition):
             import pyarrow as pa
-            import pyarrow.fs as pafs
-
-            p = partition.path
-            if p.startswith("file:"):
-                fs, path = pafs.LocalFileSystem(), "/" + p[5:].lstrip("/")
-            elif "://" in p:
-                fs, path = pafs.FileSystem.from_uri(p)
-            else:
-                fs, path = pafs.LocalFileSystem(), p
-            base = partition.index << 40 if self.capture else 0
+
+            fs, path = _file_system(partition.path)
+            base = partition.index << 40
             with fs.open_input_stream(path) as fh:
                 for rows in iter_records(fh):
                     cols = list(zip(*[(partition.capture_id, base + s, t, c, w, *d) for s, t, c, w, d in rows]))
@@ -146,6 +252,55 @@ try:  # the Python data source API (Spark 4)
                              pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
 
+    class _Written(WriterCommitMessage):
+        def __init__(self, files: list[tuple[str, str]]):
+            self.files = files
+
+    class PcapWriter(DataSourceArrowWriter):
+        """A task writes its rows, sorted by capture, as one file for each capture under ``_temporary``;
+        the files of successful attempts move into place when all tasks are done."""
+
+        def __init__(self, path: str, columns: list[str]):
+            self.path, self.columns = path.rstrip("/"), columns
+
+        def write(self, batches):
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            fs, root = _file_system(self.path)
+            pending = f"{root}/_temporary/{uuid.uuid4().hex}"
+            files, current, out = [], None, None
+            try:
+                for batch in batches:
+                    cols = {n: batch.column(i).to_pylist() for i, n in enumerate(self.columns)}
+                    for cid, ts, length, wire, *frame in zip(*[cols[c] for c in _WRITE_COLS]):
+                        if out is None or cid != current:
+                            if out is not None:
+                                out.close()
+                            current, name = cid, f"{pending}-{len(files)}.pcap"
+                            folder = "capture_id=" + urllib.parse.quote(cid, safe="")
+                            files.append((name, f"{root}/{folder}/part-{part:08d}.pcap"))
+                            fs.create_dir(f"{root}/_temporary", recursive=True)
+                            out = fs.open_output_stream(name)
+                            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 0x40000, LINK_RAW))
+                        out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, length, wire))
+                        out.write(encode_frame(length, *frame))
+            finally:
+                if out is not None:
+                    out.close()
+            return _Written(files)
+
+        def commit(self, messages):
+            fs, root = _file_system(self.path)
+            for name, final in (f for m in messages if m is not None for f in m.files):
+                fs.create_dir(final.rpartition("/")[0], recursive=True)
+                fs.move(name, final)
+
+        def abort(self, messages):
+            fs, root = _file_system(self.path)
+            for name, _ in (f for m in messages if m is not None for f in m.files):
+                fs.delete_file(name)
+
     class PcapDataSource(DataSource):
         @classmethod
         def name(cls):
@@ -157,6 +312,9 @@ try:  # the Python data source API (Spark 4)
         def reader(self, schema):
             return PcapReader(self.options)
 
+        def writer(self, schema, overwrite):
+            return PcapWriter(self.options["path"], schema.fieldNames())
+
     HAVE_DATASOURCE = True
 except ImportError:  # pragma: no cover - older Spark
     HAVE_DATASOURCE = False
@@ -165,15 +323,48 @@ except ImportError:  # pragma: no cover - older Spark
 def read_captures(spark: SparkSession, path: str, capture_id: str | None = None) -> DataFrame:
     """Decode capture files under ``path`` (file, folder or glob).
 
-    ``capture_id``: one id for all files (one conversion run: ``seq`` then
-    orders files by name, records within); default is the file's base name.
+    ``capture_id``: one id for all files (one conversion run); default is the
+    folder ``capture_id=<id>`` a file lies in, else the file's base name.
+    ``seq`` orders the files of a capture by name, and records within a file.
     """
     if not HAVE_DATASOURCE:
         raise RuntimeError("the capture scan needs the Spark 4 Python data source API")
     # listing only: the binaryFile scan prunes the content column
-    files = sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    files = sorted(r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                   .select("path").collect())
     spark.dataSource.register(PcapDataSource)
     reader = spark.read.format("pcap").option("files", "\n".join(files))
     if capture_id:
         reader = reader.option("capture_id", capture_id)
     return reader.load()
+
+
+_WRITE_COLS = ["capture_id", "ts_us", "length", "wire_length", "proto", "src_ip", "dst_ip", "src_port", "dst_port",
+               "header_len", "tcp_flags"]
+_DOTTED = r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"
+
+
+def write_captures(packets: DataFrame, path: str) -> None:
+    """Write ``packets`` as pcap files (raw IPv4 frames), the inverse of :func:`read_captures`.
+
+    Rows are ranged by (capture, time, sequence), so a large capture becomes
+    several files whose names are in the order of time and no task holds a
+    whole one. ``path`` is a new folder that driver and executors share. A
+    capture file can't hold rows without time (0 to 2^32 seconds), dotted
+    addresses or protocol, or shorter than an IP header: they are left out.
+    Null ports, flags and header lengths are written as 0, a null length as
+    20, a null capture as ``unknown``.
+    """
+    if not HAVE_DATASOURCE:
+        raise RuntimeError("writing captures needs the Spark 4 Python data source API")
+    length = F.coalesce(F.col("length"), F.lit(20))
+    wire = F.coalesce(F.col("wire_length"), length) if "wire_length" in packets.columns else length
+    cols = {"capture_id": F.coalesce("capture_id", F.lit("unknown")), "length": length.cast("int"),
+            "wire_length": wire.cast("int")}
+    cols |= {c: F.coalesce(F.col(c), F.lit(0)) for c in ("src_port", "dst_port", "header_len", "tcp_flags")}
+    fits = (F.col("src_ip").rlike(_DOTTED) & F.col("dst_ip").rlike(_DOTTED) & F.col("proto").between(0, 255)
+            & F.col("ts_us").between(0, (1 << 32) * 1_000_000 - 1) & (length >= 20))
+    rows = packets.filter(fits).withColumns(cols).select(*_WRITE_COLS, "seq")
+    packets.sparkSession.dataSource.register(PcapDataSource)
+    (rows.repartitionByRange("capture_id", "ts_us", "seq").sortWithinPartitions("capture_id", "ts_us", "seq")
+     .drop("seq").write.format("pcap").mode("append").save(path))

@@ -2,7 +2,7 @@
 
 import struct
 
-from flowlens.sources.captures import decode_frame, iter_records, read_captures
+from flowlens.sources.captures import decode_frame, encode_frame, iter_records, read_captures, write_captures
 
 
 def ipv4(proto, src, dst, payload):
@@ -65,3 +65,75 @@ def test_read_captures_as_table(spark, tmp_path):
     df = read_captures(spark, str(tmp_path / "*.pcap"))
     rows = sorted((r["seq"], r["capture_id"], r["ts_us"], r["src_port"], r["tcp_flags"]) for r in df.collect())
     assert rows == [(0, "cap", 1_000_000, 1, 2), (1, "cap", 1_000_010, 80, 18)]
+
+
+def block(kind, body, order="<"):
+    body += b"\x00" * (-len(body) % 4)
+    return struct.pack(order + "II", kind, len(body) + 12) + body + struct.pack(order + "I", len(body) + 12)
+
+
+def test_pcapng_sections_interfaces_and_time_units():
+    f = eth(ipv4(6, [10, 0, 0, 1], [10, 0, 0, 2], tcp(1, 2, 0x02)))
+    raw = ipv4(17, [10, 0, 0, 3], [8, 8, 8, 8], struct.pack(">HHHH", 5353, 53, 8, 0))
+    for order in ("<", ">"):
+        section = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1), order)
+        nano = struct.pack(order + "HHB3x", 9, 1, 9) + struct.pack(order + "HHq", 14, 8, 100) + b"\x00" * 4
+        faces = (block(1, struct.pack(order + "HHI", 1, 0, 0), order)
+                 + block(1, struct.pack(order + "HHI", 101, 0, 0) + nano, order))
+        t = 7 << 32 | 5
+        packets = (block(6, struct.pack(order + "IIIII", 0, t >> 32, t & 0xFFFFFFFF, len(f), 99) + f, order)
+                   + block(5, b"\x00" * 8, order)
+                   + block(6, struct.pack(order + "IIIII", 1, 0, 3_000, len(raw), len(raw)) + raw, order)
+                   + block(3, struct.pack(order + "I", len(f)) + f, order))
+        rows = [r for b in iter_records(_Stream(section + faces + packets + section + packets[:-3])) for r in b]
+        assert [(s, ts, w) for s, ts, _, w, _ in rows] == [(0, t, 99), (1, 100_000_003, len(raw)), (2, 0, len(f))]
+        assert rows[1][4] == (17, "10.0.0.3", "8.8.8.8", 5353, 53, 28, 0)
+
+
+def test_pcapng_with_a_wrong_block_length_stops():
+    section = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+    assert list(iter_records(_Stream(section + struct.pack("<II", 6, 3) + b"\x00" * 40))) == []
+
+
+def test_loopback_frames():
+    ip = ipv4(17, [127, 0, 0, 1], [127, 0, 0, 1], struct.pack(">HHHH", 1, 2, 8, 0))
+    want = (17, "127.0.0.1", "127.0.0.1", 1, 2, 28, 0)
+    assert decode_frame(0, b"\x02\x00\x00\x00" + ip) == decode_frame(108, b"\x00\x00\x00\x02" + ip) == want
+    assert decode_frame(0, b"\x1e\x00\x00\x00" + ip) is None
+
+
+def test_encoded_frames_decode_to_their_fields():
+    for length, proto, sport, dport, header, flags in [(60, 6, 1, 65535, 52, 0x112), (40, 6, 0, 0, 40, 0),
+                                                       (1500, 17, 53, 9, 28, 0), (28, 1, 0, 0, 28, 0),
+                                                       (20, 47, 0, 0, 20, 0)]:
+        frame = encode_frame(length, proto, "1.2.3.4", "255.0.0.9", sport, dport, header, flags)
+        assert len(frame) == length
+        assert decode_frame(101, frame) == (proto, "1.2.3.4", "255.0.0.9", sport, dport, header, flags)
+
+
+def test_written_captures_read_back_in_order(spark, tmp_path):
+    schema = ("seq long, capture_id string, ts_us long, length int, proto int, src_ip string, dst_ip string, "
+              "src_port int, dst_port int, header_len int, tcp_flags int")
+    rows = [(i, "a b/%41=é" if i % 3 else None, 5_000_000 - i // 2, 60, 6, "10.0.0.1", "10.0.0.2", i, 80, 40, 2)
+            for i in range(400)]
+    lost = [(900, "x", None, 60, 6, "10.0.0.1", "10.0.0.2", 1, 2, 40, 2), (901, "x", 1, 60, 6, None, "1.1.1.1", 1, 2, 40, 2),
+            (902, "x", 1, 60, 6, "10.0.0.256", "1.1.1.1", 1, 2, 40, 2)]
+    sparse = [(903, "y", 7, None, 17, "10.0.0.1", "10.0.0.2", None, None, None, None)]
+    df = spark.createDataFrame(rows + lost + sparse, schema).repartition(7)
+    write_captures(df, str(tmp_path / "out"))
+    got = {}
+    for r in sorted(read_captures(spark, str(tmp_path / "out")).collect(), key=lambda r: r["seq"]):
+        got.setdefault(r["capture_id"], []).append((r["ts_us"], r["src_port"], r["length"]))
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        want.setdefault(r[1] or "unknown", []).append((r[2], r[7], 60))
+    want["y"] = [(7, 0, 20)]
+    assert got == want
+
+
+def test_no_packets_write_no_captures(spark, tmp_path):
+    schema = ("seq long, capture_id string, ts_us long, length int, proto int, src_ip string, dst_ip string, "
+              "src_port int, dst_port int, header_len int, tcp_flags int")
+    write_captures(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    (tmp_path / "none").mkdir(exist_ok=True)
+    assert read_captures(spark, str(tmp_path / "none")).count() == 0

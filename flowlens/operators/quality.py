@@ -127,8 +127,20 @@ def cardinality(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
-    """Columns with exactly one distinct non-null value."""
-    return cardinality(df).filter(F.col("distinct_values") == 1).select("column_name")
+    """Columns with exactly one distinct non-null value: one aggregate of each column's smallest and largest.
+
+    A column whose type has no order (a map) is compared as text.
+    """
+    def value(f):
+        return _q(f.name) if not isinstance(f.dataType, (T.MapType, T.VariantType)) else _q(f.name).cast("string")
+
+    fields = df.schema.fields
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column_name string")
+    # null where a column holds no value
+    wide = df.agg(*[(F.min(value(f)) == F.max(value(f))).alias(f"c{i}") for i, f in enumerate(fields)])
+    long = wide.selectExpr(_stack([f.name for f in fields], [f"c{i}" for i in range(len(fields))], "column_name, one"))
+    return long.filter("one").select("column_name")
 
 
 # -- D6 ---------------------------------------------------------------------

@@ -241,6 +241,8 @@ try:  # the Python data source API (Spark 4)
         def read(self, partition):
             import pyarrow as pa
 
+            if partition is None:  # Spark's single partition for an empty file list
+                return
             fs, path = _file_system(partition.path)
             base = partition.index << 40
             with fs.open_input_stream(path) as fh:

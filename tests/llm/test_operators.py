@@ -259,6 +259,23 @@ def test_passages(spark):
     assert got[(7, 5)].whole_copy and got[(7, 5)].end_word == 200
 
 
+def test_passages_around_unshared_text(spark):
+    """Chains that bridge unshared text are cut: every shared passage is found by itself."""
+    rng = np.random.default_rng(16)
+    words = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    rows, want = [], {}
+    for i, (size, gap) in enumerate([(60, 300), (100, 300), (100, 850), (200, 200), (45, 100)]):
+        head, mid, tail = words(size), words(size), words(size)
+        for doc, parts in ((2 * i, [head, words(gap), mid, words(gap), tail]), (2 * i + 1, [head, words(gap), mid, words(gap), tail])):
+            rows.append((doc, " ".join(w for p in parts for w in p)))
+        want[2 * i + 1] = [(k * (size + gap), k * (size + gap) + size) for k in range(3)]
+    got = defaultdict(list)
+    for r in substring.repeated_passages(frame(spark, rows)).collect():
+        assert r.similarity == 1.0 and r.source_id == r.doc_id - 1 and (r.start_word, r.end_word) == (r.source_start, r.source_end)
+        got[r.doc_id].append((r.start_word, r.end_word))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     vocab = [f"".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(300)]

@@ -276,6 +276,25 @@ def test_passages_around_unshared_text(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_edited_passages(spark):
+    """Recall on passages with substituted words, from 40 words and likeness 0.8 on: at random places and evenly spread."""
+    rng = np.random.default_rng(17)
+    words = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    rows, size = [], {}
+    for n, edits in ((40, 0), (40, 4), (40, 8), (50, 10), (60, 9), (100, 20)):
+        for k in range(20):
+            passage, i = words(n), len(rows)
+            places = set(range(2, n, n // edits)[:edits] if edits and k < 5 else 1 + rng.choice(n - 2, edits, replace=False))
+            rows.append((i, " ".join([*words(30), *passage, *words(30)])))
+            rows.append((i + 1, " ".join([*words(20), *(f"x{i}" if j in places else w for j, w in enumerate(passage)), *words(40)])))
+            size[i + 1] = n
+    covered = defaultdict(int)
+    for r in substring.repeated_passages(frame(spark, rows)).collect():
+        assert r.similarity >= 0.8 and r.source_id == r.doc_id - 1 and min(r.end_word - r.start_word, r.source_end - r.source_start) >= 40
+        covered[r.doc_id] = max(covered[r.doc_id], min(r.end_word, 20 + size[r.doc_id]) - max(r.start_word, 20))
+    assert all(covered[i] >= 0.7 * n for i, n in size.items())
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     vocab = [f"".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(300)]

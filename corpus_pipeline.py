@@ -36,8 +36,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of the ids and of the text they decode to."""
-    return bpe.encode_documents(docs, public_tokenizers.path(queries.TOKENIZER), public_tokenizers.PATTERN)
+    """Token ids of every document, with the digests of the ids and of the text they decode to, and its place in the mix.
+
+    Readers pack files by size, so the order of the mix is worked out again: a place depends on the rows alone.
+    """
+    mixed = mix.mix_sources(docs, queries.SHARES, queries.OTHER_SHARE)
+    placed = mixed.select("doc_id", "text", F.col("_fl_slot").alias("slot"), F.col("_fl_pos").alias("pos"))
+    return bpe.encode_documents(placed, public_tokenizers.path(queries.TOKENIZER), public_tokenizers.PATTERN, keep=["slot", "pos"])
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("simhash_near_dedup", drop_near_copies),

@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import prepare
 
@@ -207,18 +208,19 @@ def decode(ids: np.ndarray, tokens: dict[int, bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_tokens, ids, ids_sha256, decoded_sha256; a row per document.
 
     ``ids_sha256`` is of the ids as little-endian unsigned 32-bit integers, ``decoded_sha256`` of the bytes that they
     decode to; both are taken where the tokens are. The driver reads the rank file and broadcasts it (a vocabulary of
     bounded size). Pieces are the matches of ``pattern``; text between matches is dropped, as by the reference library.
-    A null text counts as empty and has no ids. Repeated rows and null ids are rows like others; other columns are
-    ignored; no rows give no rows.
+    A null text counts as empty and has no ids. Repeated rows and null ids are rows like others; the columns ``keep``
+    are returned after those, and others are ignored; no rows give no rows.
     """
     spark = prepare(docs)
+    keep = keep or []
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    names = ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    names = ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(ranks.value, pattern)
@@ -233,7 +235,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
                     part.column(0), pa.array(np.diff(end).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), pa.array(flat.astype(np.int32))),
                     pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                    pa.array(raw, pa.string())], names=names)
+                    pa.array(raw, pa.string()), *part.columns[2:]], names=names)
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    own = StructType.fromDDL("doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(run, StructType([*own.fields, *src.schema.fields[2:]]))

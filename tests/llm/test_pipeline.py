@@ -5,7 +5,7 @@ from collections import Counter
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from flowlens.llm import simhash, toxicity
+from flowlens.llm import queries, simhash, toxicity
 from flowlens.llm.common import read_table, written
 from test_operators import _kept
 
@@ -37,3 +37,29 @@ def test_stages(spark):
     assert Counter(map(tuple, after)) == Counter(before)
     assert {r.doc_id for r in tables["byte_bpe"][1]} == {r.doc_id for r in after}
     assert pq.read_table(f"{SF001}/documents.parquet").num_rows > len(after) > 0
+
+
+def test_mix_reaches_the_end(spark):
+    """The rows of run() put in order by slot and position are the mix: sources within a block of their target shares."""
+    out = corpus_pipeline.run(spark, SF001).select("doc_id", "slot", "pos").collect()
+    source = {r.doc_id: r.source for r in read_table(spark, SF001, "documents").select("doc_id", "source").collect()}
+    order = sorted(out, key=lambda r: (r.slot, r.pos))
+    assert len({(r.slot, r.pos) for r in out}) == len(out) == len({r.doc_id for r in out}) > 0
+    shares = {**queries.SHARES, None: queries.OTHER_SHARE}
+    cls = lambda i: source[i] if source[i] in queries.SHARES else None
+    held, last = {}, {}
+    for r in order:
+        held.setdefault(r.slot, []).append(r)
+        last[cls(r.doc_id)] = r.slot
+    assert all(len({cls(r.doc_id) for r in rows}) == 1 and [r.pos for r in rows] == list(range(len(rows))) for rows in held.values())
+    blocks = Counter()
+    for slot, rows in sorted(held.items()):
+        blocks[cls(rows[0].doc_id)] += 1
+        for c, n in shares.items():
+            if slot <= last.get(c, -1):
+                assert abs(blocks[c] - (slot + 1) * n / sum(shares.values())) < 1
+    docs = read_table(spark, SF001, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF001), f"again_{name}")
+    files = sorted(docs.select("doc_id", "_metadata.file_path", "_metadata.row_index").collect(), key=lambda r: (r.file_path, r.row_index))
+    assert [r.doc_id for r in files] == [r.doc_id for r in order]

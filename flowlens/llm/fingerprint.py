@@ -22,41 +22,53 @@ from .bpe import Rows
 from .common import prepare, shuffle_partitions
 
 SAMPLES = 64
-POOL = 1 << 18
 SEED = 20240131
 #: Terms whose samples a worker remembers (256 bytes each), and terms in one numpy step.
 KNOWN, STEP = 1 << 17, 1 << 12
 
 
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """64-bit finalizer of SplitMix64, in place."""
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """float32 in (0, 1] of 24-bit numbers."""
+    return (x.astype(np.uint32) + np.uint32(1)).astype(np.float32) * np.float32(2.0 ** -24)
+
+
 class Sampler:
-    """Signatures of texts. A term's r, c and beta for sample k are entry h1 + k h2 of a seeded pool of 2^18 draws."""
+    """Signatures of texts. A term's r, c and beta for sample k are drawn from 128 bits hashed from the term and k."""
 
     def __init__(self, samples: int = SAMPLES, seed: int = SEED):
         self.k = samples
-        u = np.random.Generator(np.random.PCG64(seed)).random((5, POOL))
-        u = 1.0 - u  # in (0, 1]
-        self.r = (-np.log(u[0] * u[1])).astype(np.float32) + np.float32(1e-6)
-        self.lnc = np.log(-np.log(u[2] * u[3]) + 1e-12).astype(np.float32)
-        self.beta = u[4].astype(np.float32)
+        self.key = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, (2, samples), np.uint64)
         self._forget()
 
     def _forget(self) -> None:
         self.row = Rows()
-        self.h = np.empty((0, 2), np.int64)
+        self.h = np.empty(0, np.uint64)
         self.once = np.empty((0, self.k), np.float32)
 
     def _values(self, h: np.ndarray, lnw: np.ndarray | np.float32) -> np.ndarray:
-        at = (h[:, :1] + h[:, 1:] * np.arange(self.k)) & (POOL - 1)
-        r, beta = self.r[at], self.beta[at]
+        low, part = np.uint64((1 << 24) - 1), np.uint64(24)
+        x, y = _mixed(h[:, None] ^ self.key[0]), _mixed(h[:, None] ^ self.key[1])
+        r = -np.log(_uniform(x & low) * _uniform(x >> part & low)) + np.float32(1e-6)
+        lnc = np.log(-np.log(_uniform(y & low) * _uniform(y >> part & low)) + np.float32(1e-12))
+        beta = _uniform(x >> np.uint64(48) << np.uint64(8) | y >> np.uint64(56))
         t = np.floor(lnw / r + beta) if isinstance(lnw, np.ndarray) else np.floor(beta)
-        return self.lnc[at] - r * ((t - beta) + np.float32(1))
+        return lnc - r * ((t - beta) + np.float32(1))
 
     def _learn(self) -> None:
         if not self.row.new:
             return
         h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in self.row.new], np.uint64)
         self.row.new = []
-        h = np.stack([h & np.uint64(POOL - 1), (h >> np.uint64(32)) & np.uint64(POOL - 1) | np.uint64(1)], 1).astype(np.int64)
         self.h = np.concatenate([self.h, h])
         once = [self._values(h[k:k + STEP], np.float32(0)) for k in range(0, len(h), STEP)]
         self.once = np.concatenate([self.once, *once])

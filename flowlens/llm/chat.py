@@ -6,13 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import shuffle_partitions, written
+
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
 UNKNOWN = "unknown"
-#: Turn numbers in a part of a long dialogue, and rows with one turn number that a part takes.
+#: Turn numbers in a part of a long dialogue, and rows for each of them that a slice of it takes, on average.
 PART_TURNS, TIE_ROWS = 512, 512
 
 
+def positions(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``place``: 0, 1, ... in the order of turn, role and text within a conversation and part.
+
+    Ranges of that order are dealt out, with a number of its own for each row, so that equal rows part too; the rows of a
+    range are numbered, and the counts of the ranges before (a row for each part and range) are added.
+    """
+    spark = rows.sparkSession
+    order = ["conv_id", "turn", "role", "said", "own_no"]
+    dealt = rows.withColumn("own_no", F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *order)
+    # written, so that a row keeps its range wherever it is read
+    dealt = written(dealt.withColumn("range", F.spark_partition_id()), "turns")
+    counts = dealt.groupBy("conv_id", "part", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("conv_id", "part", "range", F.coalesce(before, F.lit(0)).alias("before")).alias("c")
+    within = Window.partitionBy("conv_id", "part", "range").orderBy("turn", "role", "said", "own_no")
+    numbered = dealt.withColumn("place", F.row_number().over(within) - 1).alias("r")
+    same = F.col("r.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("r.part") == F.col("c.part")) & (F.col("r.range") == F.col("c.range"))
+    return numbered.join(counts, same).select(*[f"r.{c}" for c in rows.columns], (F.col("place") + F.col("before")).alias("place"))
+
+
 def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS, tie_rows: int = TIE_ROWS) -> DataFrame:
     """``turns(conv_id, turn, role, text)`` -> conv_id, speaker, part, slice, n_turns, text, mask.
 
@@ -22,8 +44,9 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS, tie_rows
     system turns is rendered once, for a null speaker and with an empty mask.
 
     Turns go by number, then role and text; a null number comes first. Dialogues are cut into parts of ``part_turns``
-    turn numbers, so that no task holds more of a long one; part texts one after another are the whole. If more than
-    ``tie_rows`` rows share a conversation and a turn number, they are parts of their own (slice 1 and up), by hash.
+    turn numbers, and parts into slices of ``part_turns * tie_rows`` rows by their place in that order, repeated rows too,
+    so that no task holds more of a long one; the texts by part and slice, one after another, are the whole. A part of no
+    more rows is slice 0 only.
 
     A null or blank role is ``unknown``; white space and the characters < > | in names become _; a null text is empty,
     and <| in a text becomes < | so that it can't end a turn. Rows with a null conv_id are one conversation. Repeated
@@ -34,13 +57,8 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS, tie_rows
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.when(F.coalesce(name, F.lit("")) == "", UNKNOWN).otherwise(name).alias("role"),
         F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|", "< |").alias("said"))
-    ties = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where(F.col("n") > tie_rows)
-    rows = rows.alias("r").join(ties.alias("t"), F.col("r.conv_id").eqNullSafe(F.col("t.conv_id")) & F.col("r.turn").eqNullSafe(
-        F.col("t.turn")), "left").select("r.*", "n")
     rows = rows.withColumn("part", F.when(F.col("turn").isNull(), -1).otherwise(F.floor(F.col("turn") / part_turns)).cast("long"))
-    rows = rows.withColumn("slice", F.when(F.col("n").isNull(), 0).otherwise(
-        1 + F.pmod(F.coalesce("turn", F.lit(-1)), F.lit(part_turns)) * (1 << 32) + F.pmod(
-            F.xxhash64("role", "said"), F.ceil(F.col("n") / tie_rows))).cast("long"))
+    rows = positions(rows).withColumn("slice", F.floor(F.col("place") / (part_turns * tie_rows)).cast("long"))
     who = rows.groupBy("conv_id").agg(F.collect_set(F.when(F.col("role") != SYSTEM, F.col("role"))).alias("who"))
     who = who.select("conv_id", F.explode_outer("who").alias("speaker"))
     seen = rows.alias("r").join(who.alias("w"), F.col("r.conv_id").eqNullSafe(F.col("w.conv_id"))).select("r.*", "speaker")
@@ -49,7 +67,7 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS, tie_rows
     seen = seen.withColumns({"own": own, "head": F.concat(F.lit(START), head, F.lit("\n"))})
     seen = seen.withColumn("segment", F.concat("head", "said", F.lit(END + "\n")))
     group = ["conv_id", "speaker", "part", "slice"]
-    order = Window.partitionBy(*group).orderBy("turn", "role", "said").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*group).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     seen = seen.withColumn("at", F.coalesce(F.sum(F.length("segment")).over(order), F.lit(0)))
     begin = F.col("at") + F.length("head")
     parts = seen.groupBy(*group).agg(

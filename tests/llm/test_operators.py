@@ -235,6 +235,23 @@ def test_chat(spark):
     assert sum(r.n_turns for r in out if r.conv_id == 8) == 25 and max(r.n_turns for r in out if r.conv_id == 9) == 8
 
 
+def test_chat_many_rows_of_one_turn(spark):
+    """Rows that share a turn number, or have none, stay in the order of turn, role and text, and slices of equal rows are bounded."""
+    turns = [(1, t, "uv"[t % 2], f"m{t}") for t in range(6)] + [(1, 2, "u", f"tie{i:02d}") for i in range(30)] + [(1, 3, "v", "same")] * 50
+    turns += [(1, None, "u", f"none{i}") for i in range(9)] + [(2, 4, "u", f"few{i}") for i in range(7)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    out = chat.rotate_perspectives(df, part_turns=4, tie_rows=3).collect()
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])
+    for conv, speaker in ((1, "u"), (1, "v"), (2, "u")):
+        rows = sorted((r for r in out if (r.conv_id, r.speaker) == (conv, speaker)), key=lambda r: (r.part, r.slice))
+        said = [x for x in "".join(r.text for r in rows).replace("<|im_end|>", "").split("\n") if x and not x.startswith("<|im_start|>")]
+        assert said == [r[3] for r in sorted((t for t in turns if t[0] == conv), key=key)]
+        assert max(r.n_turns for r in rows) <= 12 and all(r.slice == 0 for r in rows if conv == 2)
+        for part in {r.part for r in rows}:
+            own = [r for r in rows if r.part == part]
+            assert [r.slice for r in own] == list(range(len(own))) and all(r.n_turns == 12 for r in own[:-1])
+
+
 def test_chains_equal_the_quadratic_recurrence():
     rng = np.random.default_rng(4)
     for _ in range(60):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, fingerprint, lines, mix, simhash, sql, substring, toxicity, warc
+from . import ann, bpe, chat, exact, fingerprint, lines, merkle, mix, simhash, spelling, sql, substring, toxicity, warc
 from .common import new_path, read_table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -70,12 +70,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_document_fingerprints, op3_toxicity, op4_byte_bpe, op5_line_dedup,
-        op6_warc, op7_mix_sources, op8_nearest_neighbours, op9_chat_perspectives, op10_substring_dedup)}
+        op6_warc, op7_mix_sources, op8_nearest_neighbours, op9_chat_perspectives, op10_substring_dedup,
+        op11_spelling_variants, op12_merkle_manifest, op13_exact_dedup)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": sql.LINE_DEDUP, "op9_chat_perspectives": sql.CHAT,
-    "op7_mix_sources": sql.mix(SHARES, OTHER_SHARE, mix.BLOCK_DOCS, "mix")}
+    "op7_mix_sources": sql.mix(SHARES, OTHER_SHARE, mix.BLOCK_DOCS, "mix"),
+    "op11_spelling_variants": sql.SPELLING, "op12_merkle_manifest": sql.MERKLE, "op13_exact_dedup": sql.EXACT}

@@ -1,7 +1,9 @@
-"""The ten operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
+"""The operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import base64
 import hashlib
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from flowlens.llm import ann, bpe, chat, fingerprint, graph, lines, mix, simhash, substring, toxicity, warc
+from flowlens.llm import ann, bpe, chat, exact, fingerprint, graph, lines, merkle, mix, simhash, spelling, substring, toxicity, warc
 from flowlens.llm.common import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, key string"
@@ -91,7 +93,7 @@ def test_fingerprints(spark, texts):
     assert all(len(v) == 1 for v in by_text.values())
     nulls = fingerprint.document_fingerprints(frame(spark, [(None, "b c d"), (None, ""), (5, "x y z"), (5, "x y z")])).collect()
     first = hashlib.sha256(b"b c x").hexdigest()
-    assert len(nulls) == 4 and first[:8] not in ("",) and any(r.doc_id is None and r.n_chars == 5 for r in nulls)
+    assert len(nulls) == 4 and any(r.doc_id is None and r.n_chars == 5 for r in nulls)
 
 
 def test_fingerprints_of_weighted_terms():
@@ -369,3 +371,132 @@ def test_empty_tables(spark):
     assert warc.read_warc(spark, out).count() == 0
     assert ann.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_exact_dedup(spark, texts, tmp_path):
+    """Against brute force, with hashes of three bits (collisions), tiny buckets (splits, overflow chains) and clashing columns."""
+    rows = [*texts, *[(500 + i, "copy of a text " * 20) for i in range(300)], (None, "one"), (None, None), (None, "only null"), (0, texts[0][1])]
+    by_text = defaultdict(list)
+    for i, t in rows:
+        by_text[t or ""].append(i)
+    want = Counter()
+    for t, ids in by_text.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want.update((i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids)
+    df = frame(spark, rows).withColumnsRenamed({"key": "h", "score": "entry"}).repartition(40)
+    for size, bits, held in ((exact.BUCKET_BYTES, 63, exact.HELD_BYTES), (500, 63, 300), (500, 3, 1), (1, 1, 1)):
+        got = exact.exact_dedup(df, bucket_bytes=size, key_bits=bits, held_bytes=held).collect()
+        assert Counter(map(tuple, got)) == want
+    assert exact.exact_dedup(df.limit(0)).count() == 0
+
+
+def test_directory(spark):
+    """Buckets cover every key once; overfull ones are split, but for those of a single key."""
+    rng = np.random.default_rng(2)
+    keys = [(int(h), 10) for h in rng.integers(0, 1 << 63, 2000)] + [(5, 400), (6, 10), (7, 10)]
+    weights = spark.createDataFrame(keys, "h long, bytes long")
+    found = [tuple(r) for r in exact.build_directory(weights, 100)[0].collect()]
+    held = {b: [w for h, w in keys if h >> (63 - b[1]) == b[0] >> (63 - b[1])] for b in found}
+    assert sum(map(len, held.values())) == len(keys)
+    assert all(len(w) == b[2] and sum(w) == b[3] and (b[3] <= 100 or b[2] == 1) for b, w in held.items())
+    assert exact.build_directory(weights.limit(0), 100)[0].count() == 0
+
+
+def brute_merkle(rows):
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def field(x):
+        return "-" if x is None else f"{len(str(x).encode())}:{x}"
+
+    def leaf(r, text):
+        return h(*[field(x) for x in (r[0], r[3], r[2], r[4], text)])
+
+    def climb(nodes):
+        """Digest of the tree, and of each node the siblings by level, as (left, right)."""
+        path, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for k, i in enumerate(at):
+                run = nodes[i // 8 * 8:i // 8 * 8 + 8]
+                path[k].append((run[:i % 8], run[i % 8 + 1:]))
+            at = [i // 8 for i in at]
+            nodes = [h(*nodes[i:i + 8]) for i in range(0, len(nodes), 8)]
+        return nodes[0], path
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    trees = []
+    for lang in langs:
+        own = sorted(((r, leaf(r, r[1])) for r in rows if r[2] == lang), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[1]))
+        trees.append((own, *climb([x for _, x in own])))
+    root, top = climb([t[1] for t in trees])
+    for (own, sub, paths), up in zip(trees, top, strict=True):
+        for (r, x), path in zip(own, paths, strict=True):
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0
+            f = leaf(r, r[1].translate(lower) if hit and r[1] is not None else r[1])
+            for left, right in path + up:
+                f = h(*left, f, *right)
+            yield (r[0], x, sub, root, h(*[y for a, b in path + up for y in a + b]), f, f == root)
+
+
+def test_merkle(spark, texts):
+    """Ten and more languages (two top levels), null fields, repeated rows, one leaf, 600 leaves of one language."""
+    rows = [(i, t, [None, "de", "é", "Z", *"abcdefgh"][n % 12], f"s{n % 3}" if n % 4 else None, n if n % 5 else None)
+            for n, (i, t) in enumerate(texts * 3)]
+    rows += [(2000 + i, f"Text {i}", "en", "src", i) for i in range(600)] + [(None, "X", "en", None, None), (None, "A", None, None, 3)]
+    rows += [(7, "Alone", "one", "s", 5), *rows[:3]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, hash long, idx string, tree long"
+    frame_of = lambda rs: spark.createDataFrame([(*r, 1, "x", 2) for r in rs], schema).repartition(5)
+    for part in (rows, [r for r in rows if r[2] == "en"], rows[:1], [(3, "A b", "en", None, None)]):
+        got = merkle.merkle_manifest(frame_of(part)).collect()
+        assert Counter(map(tuple, got)) == Counter(brute_merkle(part))
+    assert merkle.merkle_manifest(frame_of(rows).limit(0)).count() == 0
+
+
+def brute_spelling(rows, delete=True):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n = Counter()
+    for i, t in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = w.translate(lower)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            n[w[:h % len(w)] + w[h % len(w) + 1:] if delete and h % 97 == 0 else w] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        return len(b) - len(a) == 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+    form, count = {}, {}
+    for w in n:
+        met = [v for v in n if near(w, v)]
+        count[w] = len(met)
+        best = min(met, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return Counter((w, form[w], root(w), c, count[w], n.get(form[w])) for w, c in n.items())
+
+
+def test_spelling(spark, texts):
+    """Random words over a few letters (many near words, chains of forms), accents, long runs; blocks cut into tiles."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcgÀàéÉx"))
+    words = ["".join(rng.choice(letters, rng.integers(4, 8), p=[.3, .2, .1, .1, .05, .05, .05, .05, .1])) for _ in range(900)]
+    rows = [(i, " ".join(rng.choice(words, 300, p=np.arange(1, 901) / 405450)) + f" 1{words[i].upper()}-{'ab' * 3000}ü") for i in range(60)]
+    rows += [(i, "ab" * 3000 + x) for i in range(70, 76) for x in ("Ü", "ü", "", "a")] + [*texts, (None, "Straße Straße straße Strasse"), (61, None)]
+    rows += [(2, "w" * 30 + " grey gray greyer grayer " * 4)] * 3
+    want = brute_spelling(rows)
+    assert len(want) > 500 and any(r[2] not in (r[0], r[1]) for r in want) and max(r[4] for r in want) > 8
+    for tile in (spelling.TILE_WORDS, 3):
+        got = spelling.spelling_variants(frame(spark, rows), tile_words=tile).collect()
+        assert Counter(map(tuple, got)) == want
+    assert spelling.spelling_variants(frame(spark, [(1, None), (2, "")])).count() == 0
+    assert spelling.spelling_variants(frame(spark, rows).limit(0)).count() == 0

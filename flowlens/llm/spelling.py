@@ -81,7 +81,7 @@ def tile_pairs(tiled: DataFrame) -> DataFrame:
     step = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in _steps()]))
     near = sizes.select("block", step.alias("step")).select("block", F.zip_with("block", "step", lambda a, b: a + b).alias("other"))
     near = written(near.join(sizes.withColumnsRenamed({"block": "other", "tiles": "others"}), "other"), "neighbours")
-    met = tiled.join(near, "block").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    met = tiled.join(near.hint("merge"), "block").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     name = lambda block, tile: F.concat_ws(":", F.array_join(block, "."), tile)
     one, two = name("block", F.col("tile")), name("other", F.col("at"))
     return met.select(F.concat_ws("|", F.least(one, two), F.greatest(one, two)).alias("pair"), (one == two).alias("own"), "words", "ns")
@@ -175,7 +175,7 @@ def near_votes(pairs: DataFrame) -> DataFrame:
                 row = (pair[k].as_py(), words[k].as_py(), ns[k].values.to_numpy(zero_copy_only=False))
                 if own[k].as_py():
                     done(row, None)
-                elif held is None:
+                elif held is None or held[0] != row[0]:  # a tile may be empty: its partner comes alone
                     held = row
                 else:
                     done(held, row)

@@ -9,7 +9,8 @@ that is over its capacity is split by the next bit, in rounds of directory doubl
 bucket of one hash value can't be split: its entries form an overflow chain, which is folded page by page first.
 
 Owners. Each owner task takes a contiguous range of keys: the entries and the directory rows of its buckets, in the order
-of the hash. It fills one bucket at a time, chains entries with equal hash and compares their bytes.
+of the hash. It fills one bucket at a time, chains entries with equal hash and compares their bytes. The entry of a
+hash that no other entry has is a class of its own; its text isn't moved.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ BUCKET_BYTES = 16 << 20
 #: A page of an overflow chain has this many entries on average at least, so that every round shortens the chain.
 PAGE_ENTRIES = 16
 #: Bytes of distinct texts, and doc_ids, that a task holds before it writes its entries out.
-HELD_BYTES, HELD_IDS = 64 << 20, 1 << 20
-_OUT_BYTES = 8 << 20
+HELD_BYTES, HELD_IDS = 32 << 20, 1 << 20
+_OUT_BYTES = 4 << 20
 
 
 def text_key(text: bytes, bits: int = KEY_BITS) -> tuple[int, bytes]:
@@ -174,7 +175,7 @@ def _fold_chains(entries: DataFrame, bucket_bytes: int) -> list[DataFrame]:
 
 
 def exact_classes(entries: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Entries -> (entry, class): the same class for entries whose bytes are equal."""
+    """Entries -> (entry, class): the same class for entries whose bytes are equal; an entry that isn't named is alone."""
     spark = entries.sparkSession
     steps = _fold_chains(entries, bucket_bytes)
     gone = None
@@ -184,8 +185,10 @@ def exact_classes(entries: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     left = entries.select("h", "entry", "n_bytes", "text")
     if gone is not None:
         left = left.join(gone, "entry", "left_anti").select(*left.columns)
-    weights = written(left.groupBy("h").agg(F.sum("n_bytes").alias("bytes")), "weights")
+    weights = written(left.groupBy("h").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")), "weights")
     directory, depth = build_directory(weights, bucket_bytes)
+    shared = written(weights.where("n > 1").select("h"), "shared-keys")
+    left = left.join(shared, "h", "left_semi")
     bits = min(depth, max(1, math.ceil(math.log2(4 * shuffle_partitions(spark)))) if depth else 0)
     opening = directory.select(F.col("start").alias("h"), F.lit(None).cast("long").alias("entry"),
                                F.lit(None).cast("binary").alias("text"))
@@ -211,7 +214,7 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: int
     """
     entries = written(index_entries(docs, key_bits, held_bytes), "entries")
     classes = written(exact_classes(entries, bucket_bytes), "entry-classes")
-    held = entries.select("entry", "sha", "ids").join(classes, "entry")
+    held = entries.select("entry", "sha", "ids").join(classes, "entry", "left").withColumn("class", F.coalesce("class", "entry"))
     group = held.groupBy("class").agg(
         F.max(F.array_max("ids")).alias("keep_id"), F.sum(F.size("ids")).cast("long").alias("group_size"))
     out = held.join(group, "class").select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "sha")

@@ -19,6 +19,11 @@ before its last packet. Only those islands need the ordered fold, which runs
 in a sorted, streaming ``mapInArrow`` pass: memory is one Arrow batch plus a
 few integers of state, never a collected group.
 
+A key with more than ``hot_rows`` packets is too long for one task, islands
+and all. Such keys are cut into blocks by time: islands from carried values
+(``windows.last_before``), flow starts as a chain by pointer doubling over
+blocks (``chains.mark_starts``), flow numbers and gaps from carried sums.
+
 The capture clock needs each packet's predecessor in the whole capture. It is
 computed per (capture, time bucket) with a carry of the previous non-empty
 bucket's last timestamp, so no single task sees a whole capture.
@@ -34,7 +39,10 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import flag_bit, with_flow_key
 from ..schema import KEY_COLS
+from ..session import materialised
 from ..settings import DEFAULT_FLOW, FlowConfig
+from .chains import mark_starts
+from .windows import last_before, running_sum
 
 _KEY_ORDER = ["ts_us", "seq"]
 
@@ -168,16 +176,23 @@ def _make_fold(active_us: int, capture_clock: bool):
     return fold
 
 
+#: Packets of one key beyond which it is spread over many tasks.
+HOT_ROWS = 4_000_000
+
+
 def assign_flows(packets: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, clock: str = "key",
-                 capture_bucket_us: int = 60 * 1_000_000) -> DataFrame:
+                 capture_bucket_us: int = 60 * 1_000_000, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """packets -> one row per packet with the canonical key, ``fwd``,
     ``flow_no`` (flows per key counted from 1 in time order) and the W4
     inter-arrival gaps ``gap_all`` / ``gap_dir`` in µs (null on a flow's first
     packet, overall / per direction).
+
+    Keys with more than ``hot_rows`` packets are spread over many tasks. To
+    find them, rows are counted first, and counted by key if there are that
+    many (None: no such keys, nothing is counted).
     """
     if clock not in ("key", "capture"):
         raise ValueError("clock must be 'key' or 'capture'")
-    idle, active = cfg.idle_us, cfg.active_us
     p = with_flow_key(packets.withColumn("capture_id", F.coalesce(F.col("capture_id"), F.lit(""))))
     p = p.withColumns({
         "fin_bit": flag_bit("tcp_flags", "fin"),
@@ -187,6 +202,42 @@ def assign_flows(packets: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, clock: str
         p = with_capture_prev(p, capture_bucket_us)
     extra = ["prev_cap_us"] if clock == "capture" else []
     p = p.select(*_FLOW_COLS, "fin_bit", "rst_bit", *extra)
+    hot = None if hot_rows is None or packets.count() <= hot_rows else hot_keys(packets, hot_rows)
+    if hot is None:
+        return _folded_keys(p, cfg, clock)
+    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in KEY_COLS]
+    cool = p.join(hot, same, "left_anti")
+    return _folded_keys(cool, cfg, clock).unionByName(spread_keys(p.join(hot, same), cfg, clock))
+
+
+def hot_keys(packets: DataFrame, hot_rows: int) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` packets, numbered (``_hot``), or None; at most rows / ``hot_rows`` of them."""
+    keyed = with_flow_key(packets.withColumn("capture_id", F.coalesce(F.col("capture_id"), F.lit(""))))
+    many = keyed.groupBy(*KEY_COLS).count().filter(F.col("count") > hot_rows)
+    found = materialised(many.select(*[F.col(k).alias(f"_h_{k}") for k in KEY_COLS],
+                                     F.monotonically_increasing_id().alias("_hot")), "hot-keys")
+    return None if found.isEmpty() else found
+
+
+def spread_keys(p: DataFrame, cfg: FlowConfig, clock: str, buckets: int | None = None) -> DataFrame:
+    """Packets of numbered keys (``_hot``) -> the columns of :func:`assign_flows`; no task holds a whole key or island."""
+    part = ["_hot"]
+    ref = "prev_cap_us" if clock == "capture" else "ts_us"
+    rst = F.when((F.col("rst_bit") == 1) & (F.col("proto") == 6), F.lit(1)).otherwise(F.lit(0))
+    p = last_before(p, part, _KEY_ORDER, {"_p_ts": F.col("ts_us"), "_p_rst": rst}, "ts_us")
+    forced = F.col("_p_ts").isNull() | (F.col(ref) - F.col("_p_ts") >= cfg.idle_us) | (F.col("_p_rst") == 1)
+    fin = F.when(F.col("proto") == 6, F.col("fin_bit")).otherwise(F.lit(0))
+    p = mark_starts(p.withColumns({"_isl": forced, "_fin": fin}), "_hot", _KEY_ORDER, cfg.active_us, ref, "_isl", "_fin", buckets)
+    p = running_sum(p, part, _KEY_ORDER, F.col("is_start").cast("int"), "flow_no", "ts_us")
+    p = last_before(p, [*part, "fwd"], _KEY_ORDER, {"_d_ts": F.col("ts_us"), "_d_no": F.col("flow_no")}, "ts_us")
+    return p.select(*_FLOW_COLS, "flow_no",
+                    F.when(~F.col("is_start"), F.col("ts_us") - F.col("_p_ts")).alias("gap_all"),
+                    F.when(F.col("_d_no") == F.col("flow_no"), F.col("ts_us") - F.col("_d_ts")).alias("gap_dir"))
+
+
+def _folded_keys(p: DataFrame, cfg: FlowConfig, clock: str) -> DataFrame:
+    """A key's packets in one task: islands by windows, the ordered fold inside complex ones."""
+    idle, active = cfg.idle_us, cfg.active_us
     # One hash exchange on the key; every later window/group refines it.
     p = p.repartition(*KEY_COLS)
     wk = _key_window()

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialised
 from ..settings import DEFAULT_POLICY, Policy
+from .chains import mark_starts
 from .scoring import EMIT_ORDER
 from .windows import HOUR_US, last_before, running_sum
 
@@ -141,22 +143,38 @@ def _chain_fold(span_us: int):
     return fold
 
 
+#: Block actions of one source beyond which it is spread over many tasks.
+HOT_SOURCE = 1_000_000
+
+
 def block_intervals_fixed(actions: DataFrame, policy: Policy = DEFAULT_POLICY,
-                          host_col: str = "src_ip") -> DataFrame:
+                          host_col: str = "src_ip", hot_rows: int | None = HOT_SOURCE) -> DataFrame:
     """R4 (legacy): blocks do not renew; alerts during a block are ignored and
     the block ends after the duration; the next qualifying alert re-blocks.
 
     The greedy chain (next block = first qualifying alert at or after the
     previous end) runs as a sorted streaming ``mapInArrow`` pass per source.
+    Sources with more than ``hot_rows`` such alerts are spread over blocks of
+    time instead, their chains by pointer doubling (``chains.mark_starts``);
+    None counts nothing and passes every source.
     """
     dur = int(policy.block_duration_seconds) * 1_000_000
     ev = block_events(actions, host_col)
-    ev = ev.repartition("ip").sortWithinPartitions("ip", "t_us", "n")
+    hot = None
+    if hot_rows is not None:
+        ev = materialised(ev, "block-events")
+        many = ev.groupBy(F.col("ip").alias("_ip")).count().filter(F.col("count") > hot_rows)
+        hot = materialised(many.select("_ip", F.monotonically_increasing_id().alias("_hot")), "hot-sources")
+        hot = None if hot.isEmpty() else hot
+    cool = ev if hot is None else ev.join(hot, F.col("ip") == F.col("_ip"), "left_anti")
+    cool = cool.repartition("ip").sortWithinPartitions("ip", "t_us", "n")
     schema = T.StructType(ev.schema.fields + [T.StructField("starts", T.BooleanType())])
-    marked = ev.mapInArrow(_chain_fold(dur), schema)
-    return (marked.filter("starts")
-            .select("ip", "reason", F.lit(bool(policy.dry_run)).alias("dry_run"),
-                    F.col("t_us").alias("blocked_us"), (F.col("t_us") + dur).cast("long").alias("expires_us")))
+    marked = cool.mapInArrow(_chain_fold(dur), schema).filter("starts").drop("starts")
+    if hot is not None:
+        spread = mark_starts(ev.join(hot, F.col("ip") == F.col("_ip")), "_hot", ["t_us", "n"], dur)
+        marked = marked.unionByName(spread.filter("is_start").select(*ev.columns))
+    return marked.select("ip", "reason", F.lit(bool(policy.dry_run)).alias("dry_run"),
+                         F.col("t_us").alias("blocked_us"), (F.col("t_us") + dur).cast("long").alias("expires_us"))
 
 
 # -- J2 ---------------------------------------------------------------------

@@ -51,13 +51,23 @@ def size_buckets(table: DataFrame, col: str, buckets: int | None = None) -> Data
     first and NaN last, as in an ascending sort. The boundaries are the only
     numbers that reach the driver.
     """
+    return with_bucket(table, col, bucket_splits(table, col, buckets))
+
+
+def bucket_splits(table: DataFrame, col: str, buckets: int | None = None) -> list[float]:
+    """Inner boundaries of about equally filled ranges of ``col``."""
     n = buckets or 4 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = F.coalesce(F.col(col).cast("double"), F.lit(float("-inf")))
     found = table.agg(F.percentile_approx(F.when(~F.isnan(x), x), [i / n for i in range(1, n)],
                                           max(10_000, 20 * n)).alias("q")).first()["q"] if n > 1 else None
-    inner = sorted({v for v in found or [] if abs(v) != float("inf")})
+    return sorted({v for v in found or [] if abs(v) != float("inf")})
+
+
+def with_bucket(table: DataFrame, col: str, inner: list[float]) -> DataFrame:
+    """Add ``_bkt``, the range of ``col`` by its inner boundaries (nulls first, NaN last)."""
     if not inner:
         return table.withColumn("_bkt", F.lit(0).cast("long"))
+    x = F.coalesce(F.col(col).cast("double"), F.lit(float("-inf")))
     cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_bx", outputCol="_bf",
                      handleInvalid="keep")
     return (cut.transform(table.withColumn("_bx", x)).withColumn("_bkt", F.col("_bf").cast("long"))

@@ -69,7 +69,7 @@ def tiles(words: DataFrame, tile_words: int = TILE_WORDS) -> DataFrame:
     blocked = words.withColumn("block", _block(F.col("word")))
     size = blocked.groupBy("block").agg(F.greatest(
         F.ceil(F.count("*") / tile_words), F.ceil(F.sum(F.length("word")) / TILE_CHARS)).alias("tiles"))
-    dealt = blocked.join(size, "block").withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")))
+    dealt = blocked.join(size.hint("merge"), "block").withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")))
     return dealt.groupBy("block", "tiles", "tile").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("held")).select(
         "block", "tiles", "tile", F.array_join(F.transform("held", lambda x: x["word"]), "\n").alias("words"),
         F.transform("held", lambda x: x["n"]).alias("ns"))

@@ -162,13 +162,13 @@ from .oracle import K, flow_ctes, flow_packet_ctes  # noqa: E402
 _RUN_DUCK = f"OVER (PARTITION BY {K}, flow_no ORDER BY ts_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def _interim_sql(clock: str) -> str:
+def _interim_sql(clock: str, identity: str = "flow_no") -> str:
     pe = ", ".join(f"{v} AS {k}" for k, v in _PACKET_EXPRS.items())
     ag = ", ".join(f"{agg_sql(k, _RUN_DUCK)} AS {k}" for k in AGG_EXPRS)
     feats = ", ".join(f"{round_sql(v)} AS {k}" for k, v in FEATURE_EXPRS.items())
     return with_ctes(flow_packet_ctes(clock) + [
         f"ir AS (SELECT {K}, flow_no, seq, ts_us, {ag} FROM (SELECT *, {pe} FROM fpg) x)"],
-        f"SELECT {KF}, n AS packets, ts_us AS emit_us, FALSE AS final, {feats} FROM ir WHERE {snapshot_sql(clock=clock)}")
+        f"SELECT {K}, {identity}, n AS packets, ts_us AS emit_us, FALSE AS final, {feats} FROM ir WHERE {snapshot_sql(clock=clock)}")
 
 
 def _interim(spark, sf, clock):

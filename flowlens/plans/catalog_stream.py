@@ -4,6 +4,9 @@ Each replays the derived ``packets`` table as a time-ordered file stream
 (``availableNow``) through T1 and, chained by sinks, T2-T5, then returns the
 sink contents as a DataFrame. Sinks and checkpoints live under the session's
 shared checkpoint folder; T1 and T2 results are reused within a session.
+``stream_reordered``, ``stream_interim`` and ``stream_chain`` run the operators
+of ``streaming.ordered``: a shuffled replay, its snapshots, and T1 with T2 in
+one query.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from ..settings import DEFAULT_FLOW
 from ..streaming.flows import stream_flows
 from ..streaming.operators import (SENTINEL, fan_out, fan_out_blocks, stream_recent, stream_response, stream_score, stream_status,
                                    stream_throughput, with_emit_time)
-from ..streaming.replay import packet_stream, read_stream, run_to_table, work_dir, write_slices
+from ..streaming.ordered import assemble_stream, run_counting_late, score_stream
+from ..streaming.replay import packet_stream, read_stream, run_to_table, shuffled_stream, work_dir, write_slices
 from . import context as C
 from .catalog import register
-from .catalog_more import ALERT_SQL, DUR, POLICY, _intervals_ctes
+from .catalog_more import ALERT_SQL, DUR, POLICY, _interim_sql, _intervals_ctes
 from .oracle import flow_ctes, scored_ctes, with_ctes
 
 # event-time disorder of emitted flows on a replay is bounded by one input
@@ -87,6 +91,51 @@ def q_stream_flows(spark, sf):
         *[round_half_up(f).alias(f) for f in FEATURES])
 
 
+#: Packets of the shuffled replay arrive up to this much late; the watermark covers it.
+DISORDER_S = 90
+
+
+def _shuffled_dir(spark, sf) -> str:
+    k = C._key(spark, sf, "stream-shuffled")
+    if k not in C._CACHE:
+        wd = work_dir(spark, "stream-shuffled")
+        ps = shuffled_stream(spark, C.packets(spark, sf), os.path.join(wd, "in"), DISORDER_S * 1_000_000, 4)
+        flows = assemble_stream(ps, watermark=f"{DISORDER_S} seconds", reorder=True, interim=True)
+        if run_counting_late(flows, os.path.join(wd, "out"), os.path.join(wd, "ckpt")):
+            raise RuntimeError("the replay has packets beyond its own disorder")
+        C._CACHE[k] = os.path.join(wd, "out")
+    return C._CACHE[k]
+
+
+@register("stream_reordered", with_ctes(flow_ctes("key"), f"""
+SELECT {', '.join(KEY_COLS)}, first_us, last_us, emit_us, {_TIMER_SQL} AS close_reason, TRUE AS final,
+  {', '.join(f'{round_sql(f)} AS {f}' for f in FEATURES)} FROM flows"""))
+def q_stream_reordered(spark, sf):
+    """T1 with reordering: packets that arrive out of order across micro-batches give the flows of the batch operator."""
+    return spark.read.parquet(_shuffled_dir(spark, sf)).filter("final").select(
+        *KEY_COLS, "first_us", "last_us", "emit_us", "close_reason", "final", *[round_half_up(f).alias(f) for f in FEATURES])
+
+
+@register("stream_interim", _interim_sql("key", "first_us"))
+def q_stream_interim(spark, sf):
+    """T1 interim rows: snapshots of open flows at packets 2, 8, 14, ... in the output of the same stream."""
+    return spark.read.parquet(_shuffled_dir(spark, sf)).filter("NOT final").select(
+        *KEY_COLS, "first_us", "packets", "emit_us", "final", *[round_half_up(f).alias(f) for f in FEATURES])
+
+
+@register("stream_chain", with_ctes(scored_ctes(), """
+SELECT capture_id, a_ip, a_port, b_ip, b_port, proto, first_us, emit_us, src_ip, history_len, status, severity,
+  reason, threat_score FROM scored"""))
+def q_stream_chain(spark, sf):
+    """T1 into T2 in one streaming query, no table between them: packets in, scored events out."""
+    wd = work_dir(spark, "stream-chain")
+    ps = packet_stream(spark, C.packets(spark, sf), os.path.join(wd, "in"), 4)
+    run_counting_late(score_stream(assemble_stream(ps), C.profile(spark, sf)), os.path.join(wd, "out"), os.path.join(wd, "ckpt"))
+    return spark.read.parquet(os.path.join(wd, "out")).select(
+        "capture_id", "a_ip", "a_port", "b_ip", "b_port", "proto", "first_us", "emit_us", "src_ip",
+        "history_len", "status", "severity", "reason", "threat_score")
+
+
 @register("stream_scores", with_ctes(scored_ctes(), """
 SELECT capture_id, a_ip, a_port, b_ip, b_port, proto, first_us, emit_us, src_ip, history_len, status, severity,
   reason, threat_score FROM scored"""))

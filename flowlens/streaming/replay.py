@@ -24,10 +24,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+#: Rows of a slice, so of the task that sorts it, at about most.
+SLICE_ROWS = 2_000_000
+
+
 def write_slices(table: DataFrame, path: str, order: list[str], files: int = 8) -> DataFrame:
-    """Write ``table`` as ``files`` slices in ``order``, one after another (the
-    file source takes files in modification order); returns the first slice."""
+    """Write ``table`` as slices in ``order``, one after another (the file
+    source takes files in modification order); returns the first slice.
+    There are ``files`` of them, more where one would pass ``SLICE_ROWS``."""
     at = order[0]
+    files = max(files, -(-table.count() // SLICE_ROWS))
     cuts = table.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 10000).alias("q")).first()["q"]
     edges = [None, *sorted({int(x) for x in cuts or []}), None]
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
@@ -40,8 +46,12 @@ def write_slices(table: DataFrame, path: str, order: list[str], files: int = 8)
 
 def write_ordered(packets: DataFrame, path: str, files: int = 8, sentinel_gap_us: int = 400_000_000) -> None:
     """Write ``packets`` as ordered time slices, then one sentinel file."""
-    spark = packets.sparkSession
     write_slices(packets, path, ["ts_us", "seq"], files)
+    write_sentinel(packets, path, sentinel_gap_us)
+
+
+def write_sentinel(packets: DataFrame, path: str, sentinel_gap_us: int = 400_000_000) -> None:
+    spark = packets.sparkSession
     qs = packets.agg(F.max("ts_us").alias("last")).first()
     last = qs["last"] or 0
     sentinel = spark.createDataFrame(
@@ -51,6 +61,15 @@ def write_ordered(packets: DataFrame, path: str, files: int = 8, sentinel_gap_us
     sentinel.write.mode("overwrite").parquet(os.path.join(path, "zz_sentinel"))
 
 
+def shuffled_stream(spark: SparkSession, packets: DataFrame, path: str, disorder_us: int, files: int = 8) -> DataFrame:
+    """Replay in which every packet arrives up to ``disorder_us`` late, by a hash of ``seq``."""
+    jitter = F.pmod(F.xxhash64("seq"), F.lit(disorder_us))
+    cols = packets.columns
+    write_slices(packets.withColumn("_arrival", F.col("ts_us") + jitter), path, ["_arrival"], files)
+    write_sentinel(packets, path)
+    return with_event_time(read_stream(spark, path, packets.select(*cols).schema))
+
+
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """File stream over ``path/part`` then ``path/zz_sentinel`` (one file per trigger)."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)

@@ -17,7 +17,8 @@ NAMES = ["packets_keyed", "flow_split_key", "flow_split_capture", "flow_features
          "stratified_split", "sequence_members", "legacy_packets", "legacy_to_number", "legacy_sequences",
          "anomaly_threshold", "standard_scaled", "evaluate_verdicts", "finite_guard", "score_table",
          "flows_csv_roundtrip", "events_ndjson", "dq_schema", "flow_sequences", "sequences_csv_roundtrip",
-         "stream_flows", "stream_scores", "stream_status", "stream_response", "stream_fanout"]
+         "stream_flows", "stream_scores", "stream_status", "stream_response", "stream_fanout", "stream_reordered",
+         "stream_interim", "stream_chain"]
 
 
 @pytest.fixture(scope="module")

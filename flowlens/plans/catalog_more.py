@@ -584,7 +584,7 @@ def q_binary_verdict(spark, sf):
 # =============================================================================
 from ..operators import evaluation as EV  # noqa: E402
 from ..operators import models as MD  # noqa: E402
-from ..streaming.replay import work_dir  # noqa: E402
+from ..streaming.replay import run_to_table, work_dir  # noqa: E402
 
 
 @register("anomaly_threshold", with_ctes(scored_ctes(), f"""
@@ -783,16 +783,55 @@ def q_flows_csv_roundtrip(spark, sf):
     return back.select(*[round_half_up(f).alias(f) for f in FEATURES], "src_ip", "dst_ip", "attack_type", "label")
 
 
-@register("captures_roundtrip", with_ctes(packets_ctes(), """
+_CAPTURES_SQL = with_ctes(packets_ctes(), """
 SELECT capture_id, CAST(ROW_NUMBER() OVER (PARTITION BY capture_id ORDER BY ts_us, seq) AS BIGINT) AS position, ts_us,
   length, proto, src_ip, dst_ip, src_port, dst_port, header_len, tcp_flags
-FROM packets"""))
+FROM packets""")
+
+
+def _capture_files(spark, sf) -> str:
+    k = C._key(spark, sf, "captures")
+    if k not in C._CACHE:
+        path = os.path.join(work_dir(spark, "captures"), "pcap")
+        CAP.write_captures(C.packets(spark, sf), path)
+        C._CACHE[k] = path
+    return C._CACHE[k]
+
+
+def _positions(back):
+    return global_rank(back, ["capture_id"], ["ts_us", "seq"], "position").drop("seq", "wire_length")
+
+
+@register("captures_roundtrip", _CAPTURES_SQL)
 def q_captures_roundtrip(spark, sf):
     """Packets written as capture files, several for a capture, and decoded again in their order."""
-    path = os.path.join(work_dir(spark, "captures"), "pcap")
-    CAP.write_captures(C.packets(spark, sf), path)
-    back = global_rank(CAP.read_captures(spark, path), ["capture_id"], ["ts_us", "seq"], "position")
-    return back.drop("seq", "wire_length")
+    return _positions(CAP.read_captures(spark, _capture_files(spark, sf)))
+
+
+@register("captures_split", _CAPTURES_SQL)
+def q_captures_split(spark, sf):
+    """The same files in byte ranges of 16 KiB, each a task that finds its first record by itself."""
+    return _positions(CAP.read_captures(spark, _capture_files(spark, sf), split_bytes=1 << 14))
+
+
+@register("captures_stream", _CAPTURES_SQL)
+def q_captures_stream(spark, sf):
+    """S1 as a stream: the same files read by the streaming source into a table."""
+    wd = work_dir(spark, "captures-stream")
+    stream = CAP.stream_captures(spark, _capture_files(spark, sf))
+    run_to_table(stream, os.path.join(wd, "out"), os.path.join(wd, "ckpt"))
+    return _positions(spark.read.parquet(os.path.join(wd, "out")))
+
+
+@register("captures_filtered", with_ctes(packets_ctes(), """
+SELECT capture_id, ts_us, length, proto, src_ip, dst_ip, src_port, dst_port FROM packets
+WHERE proto = 6 AND src_ip IN ('10.10.0.5', '10.10.2.5') AND ts_us >= 60000000"""))
+def q_captures_filtered(spark, sf):
+    """P9 in the capture scan: protocol, hosts and time are tested on header bytes before a row is built."""
+    rows = CAP.read_captures(spark, _capture_files(spark, sf))
+    hosts = filter_packets(rows, protocol="tcp").filter(F.col("src_ip").isin("10.10.0.5", "10.10.2.5"))
+    return hosts.filter(F.col("ts_us") >= 60_000_000).select(
+        "capture_id", "ts_us", "length", "proto", "src_ip", "dst_ip", "src_port", "dst_port")
 
 
 @register("sequences_csv_roundtrip", with_ctes(_sequence_ctes(), f"SELECT label, slot, {_rounded_sql()} FROM seq_rows"))

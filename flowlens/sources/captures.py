@@ -1,12 +1,18 @@
 """Capture files (pcap, pcapng) as a Spark data source.
 
 ``spark.read.format("pcap").load(path_or_glob)`` returns the ``packets``
-schema. Files are listed by Spark (any Hadoop file system); each file is one
-input partition, read as a stream of records through ``pyarrow.fs`` and
-emitted as Arrow batches, so memory per task is one batch, never a whole
-file. Decoding keeps IPv4 over Ethernet (with VLAN tags), loopback, Linux
+schema. Files are listed by Spark (any Hadoop file system) and read through
+``pyarrow.fs``; a pcap file is cut into byte ranges of ``split_bytes``, each a
+task that finds its first record by itself (``sources.records``), a pcapng file
+is one task. Rows leave as Arrow batches, so memory per task is one batch,
+never a whole file. Equality on protocol, addresses and capture and bounds on
+the time are pushed into the scan and tested on header bytes before a row is
+built. Decoding keeps IPv4 over Ethernet (with VLAN tags), loopback, Linux
 cooked capture v1/v2 and raw IP link types; other frames are skipped.
 
+``spark.readStream.format("pcap")`` (:func:`stream_captures`) finds new files
+and what files have gained.
+
 Fields: TCP header = data offset x 4 (0 -> 5 words), UDP / ICMP 8 bytes;
 ``header_len`` = IHL x 4 (0 -> 5 words) + L4 header; ``length`` = captured
 record length (``wire_length`` keeps the original length).
@@ -24,14 +30,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import MAGIC, RecordFile
+
 PCAP_SCHEMA = ("capture_id string, seq bigint, ts_us bigint, length int, wire_length int, proto int, "
                "src_ip string, dst_ip string, src_port int, dst_port int, header_len int, tcp_flags int")
 
-# fixed values: pcap magic numbers -> (byte order, timestamp divisor to µs)
-MAGIC = {
-    b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1),
-    b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000),
-}
 # fixed values: link types
 LINK_ETHERNET, LINK_RAW, LINK_RAW_ALT, LINK_SLL, LINK_SLL2 = 1, 101, 12, 113, 276
 LINK_NULL, LINK_LOOP = 0, 108
@@ -215,44 +218,215 @@ def _capture_of(path: str) -> str:
     return name.rsplit(".", 1)[0]
 
 
+class _Counted:
+    """A stream that knows how many bytes were read."""
+
+    def __init__(self, stream):
+        self.stream, self.at = stream, 0
+
+    def read(self, n: int) -> bytes:
+        out = self.stream.read(n)
+        self.at += len(out)
+        return out
+
+
+def file_records(fs, path: str, start: int, stop: int, seen: int = 0):
+    """(end, ts_us, caplen, wirelen, link, frame) of a capture file's records, ``end`` the byte at which one ends.
+
+    ``start`` and ``stop``: the range of bytes in which records begin (pcapng: the whole file). ``seen``: only records
+    that end beyond it, of the first ``stop`` bytes.
+    """
+    with fs.open_input_file(path) as fh:
+        size = fh.size()
+        magic = fh.read_at(4, 0) if size >= 4 else b""
+        if magic in MAGIC and seen:
+            part = RecordFile(fh, min(size, stop))
+            yield from ((e, t, c, w, part.link, f) for e, t, c, w, f in part.arrived(seen))
+        elif magic in MAGIC:
+            whole = RecordFile(fh, size)
+            yield from ((e, t, c, w, whole.link, f) for e, t, c, w, f in whole.records(start, stop))
+        elif magic == b"\x0a\x0d\x0d\x0a" and start == 0:
+            stream = _Counted(fs.open_input_stream(path))
+            for ts_us, caplen, wirelen, link, frame in _pcapng_frames(stream.read(4), stream):
+                if stream.at > stop:
+                    return
+                if stream.at > seen:
+                    yield stream.at, ts_us, caplen, wirelen, link, frame
+        elif len(magic) == 4 and magic not in MAGIC and magic != b"\x0a\x0d\x0d\x0a":
+            raise ValueError("neither a pcap nor a pcapng file")
+
+
+class Wanted:
+    """Filters of a scan, tested on a record's time and header bytes."""
+
+    def __init__(self):
+        self.captures = self.proto = self.src = self.dst = None
+        self.low = self.high = None
+
+    def add(self, column: str, kind: str, value) -> bool:
+        """Take a filter (``in`` with a set, ``>=`` or ``<=`` with a number); False if it isn't one of ours."""
+        sets = {"capture_id": "captures", "proto": "proto", "src_ip": "src", "dst_ip": "dst"}
+        if kind == "in" and column in sets:
+            name = sets[column]
+            found = set(value) if getattr(self, name) is None else getattr(self, name) & set(value)
+            setattr(self, name, found)
+        elif kind == ">=" and column == "ts_us":
+            self.low = value if self.low is None else max(self.low, value)
+        elif kind == "<=" and column == "ts_us":
+            self.high = value if self.high is None else min(self.high, value)
+        else:
+            return False
+        return True
+
+    def capture(self, capture_id: str) -> bool:
+        return self.captures is None or capture_id in self.captures
+
+    def record(self, ts_us: int, link: int, frame: bytes) -> bool:
+        if (self.low is not None and ts_us < self.low) or (self.high is not None and ts_us > self.high):
+            return False
+        if self.proto is None and self.src is None and self.dst is None:
+            return True
+        off = _ip_offset(link, frame)
+        if off is None or len(frame) < off + 20:
+            return False
+        return ((self.proto is None or frame[off + 9] in self.proto)
+                and (self.src is None or ".".join(map(str, frame[off + 12:off + 16])) in self.src)
+                and (self.dst is None or ".".join(map(str, frame[off + 16:off + 20])) in self.dst))
+
+
 try:  # the Python data source API (Spark 4)
     from pyspark.sql.datasource import (
-        DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage)
+        DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, GreaterThan,
+        GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage)
+
+    class _Range(InputPartition):
+        """Bytes of a file; ``seen``: what an earlier micro-batch has read of it."""
 
-    class _FilePartition(InputPartition):
-        def __init__(self, path: str, capture_id: str, index: int):
+        def __init__(self, path: str, capture_id: str, index: int, start: int, stop: int, seen: int = 0):
             super().__init__(path)
             self.path, self.capture_id, self.index = path, capture_id, index
+            self.start, self.stop, self.seen = start, stop, seen
+
+    def _batches(partition: _Range, wanted: Wanted, batch_rows: int = 8192):
+        import pyarrow as pa
+
+        names = ["capture_id", "seq", "ts_us", "length", "wire_length", "proto", "src_ip", "dst_ip",
+                 "src_port", "dst_port", "header_len", "tcp_flags"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(),
+                 pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+
+        fs, path = _file_system(partition.path)
+        base, rows = partition.index << 40, []
+        for end, ts_us, caplen, wirelen, link, frame in file_records(fs, path, partition.start, partition.stop, partition.seen):
+            if wanted.record(ts_us, link, frame) and (d := decode_frame(link, frame)) is not None:
+                rows.append((partition.capture_id, base + end, ts_us, caplen, wirelen, *d))
+                if len(rows) >= batch_rows:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
     class PcapReader(DataSourceReader):
         def __init__(self, options: dict):
-            self.files = [f for f in options.get("files", "").split("\n") if f]
+            self.files = [f.rsplit("\t", 1) for f in options.get("files", "").split("\n") if f]
             self.capture = options.get("capture_id")
+            self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
+            self.wanted = Wanted()
+
+        def pushFilters(self, filters):
+            for f in filters:
+                path = getattr(f, "attribute", ())  # a negation has none
+                column = path[0] if len(path) == 1 else None
+                if isinstance(f, (EqualTo, EqualNullSafe)) and f.value is not None:
+                    taken = (self.wanted.add(column, "in", [f.value]) if column != "ts_us" else
+                             self.wanted.add(column, ">=", f.value) and self.wanted.add(column, "<=", f.value))
+                elif isinstance(f, In):
+                    taken = self.wanted.add(column, "in", f.value)
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    taken = self.wanted.add(column, ">=", f.value + isinstance(f, GreaterThan))
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    taken = self.wanted.add(column, "<=", f.value - isinstance(f, LessThan))
+                else:
+                    taken = column is not None and isinstance(f, IsNotNull)  # no column of a record is null
+                if not taken:
+                    yield f
 
         def partitions(self):
             # records of a capture are numbered over its files, in the order of their names
             out, count = [], {}
-            for f in self.files:
-                cid = self.capture or _capture_of(f)
-                out.append(_FilePartition(f, cid, count.setdefault(cid, 0)))
+            for f, size in self.files:
+                cid, size = self.capture or _capture_of(f), int(size)
+                index = count.setdefault(cid, 0)
                 count[cid] += 1
+                step = size if self.split_bytes <= 0 or f.endswith("ng") else self.split_bytes
+                if self.wanted.capture(cid):
+                    out += [_Range(f, cid, index, at, min(at + step, size)) for at in range(0, size, max(step, 1))]
             return out
 
         def read(self, partition):
-            import pyarrow as pa
-
             if partition is None:  # Spark's single partition for an empty file list
                 return
-            fs, path = _file_system(partition.path)
-            base = partition.index << 40
-            with fs.open_input_stream(path) as fh:
-                for rows in iter_records(fh):
-                    cols = list(zip(*[(partition.capture_id, base + s, t, c, w, *d) for s, t, c, w, d in rows]))
-                    names = ["capture_id", "seq", "ts_us", "length", "wire_length", "proto", "src_ip", "dst_ip",
-                             "src_port", "dst_port", "header_len", "tcp_flags"]
-                    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(),
-                             pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
+            yield from _batches(partition, self.wanted)
+
+    class PcapStreamReader(DataSourceStreamReader):
+        """Offsets: by file its number within the capture and the bytes that were there.
+
+        A micro-batch reads the records that ended in what files gained since the last one; a record that is written in
+        part waits for the rest.
+        """
+
+        def __init__(self, options: dict):
+            self.path, self.capture = options["path"], options.get("capture_id")
+            self.known: dict[str, list[int]] = {}
+
+        def initialOffset(self):
+            return {"files": {}}
+
+        def _listed(self) -> dict[str, int]:
+            import pyarrow.fs as pafs
+
+            fs, root = _file_system(self.path)
+            prefix = self.path[:len(self.path) - len(root)] if self.path.endswith(root) else ""
+            selector = pafs.FileSelector(root, recursive=True, allow_not_found=True)
+            hidden = lambda p: any(x[:1] in "._" and x for x in p[len(root):].split("/"))
+            return {prefix + i.path: i.size for i in fs.get_file_info(selector) if i.is_file and not hidden(i.path)}
+
+        def latestOffset(self):
+            count: dict[str, int] = {}
+            for f in self.known:
+                cid = self.capture or _capture_of(f)
+                count[cid] = count.get(cid, 0) + 1
+            for f, size in sorted(self._listed().items()):
+                if f in self.known:
+                    self.known[f][1] = max(self.known[f][1], size)
+                elif size >= 24:
+                    cid = self.capture or _capture_of(f)
+                    self.known[f] = [count.get(cid, 0), size]
+                    count[cid] = self.known[f][0] + 1
+            return {"files": {f: list(v) for f, v in self.known.items()}}
+
+        def partitions(self, start, end):
+            for f, v in end["files"].items():  # a restarted query takes up the numbers of its checkpoint
+                if f not in self.known or self.known[f][1] < v[1]:
+                    self.known[f] = list(v)
+            out = []
+            for f, (index, size) in end["files"].items():
+                seen = start["files"].get(f, [0, 0])[1]
+                if size > seen:
+                    out.append(_Range(f, self.capture or _capture_of(f), index, 0, size, max(seen, 1)))
+            return out
+
+        def read(self, partition):
+            yield from _batches(partition, Wanted())
+
+        def commit(self, end):
+            pass
+
+        def stop(self):
+            pass
 
     class _Written(WriterCommitMessage):
         def __init__(self, files: list[tuple[str, str]]):
@@ -314,6 +488,9 @@ try:  # the Python data source API (Spark 4)
         def reader(self, schema):
             return PcapReader(self.options)
 
+        def streamReader(self, schema):
+            return PcapStreamReader(self.options)
+
         def writer(self, schema, overwrite):
             return PcapWriter(self.options["path"], schema.fieldNames())
 
@@ -322,25 +499,52 @@ except ImportError:  # pragma: no cover - older Spark
     HAVE_DATASOURCE = False
 
 
-def read_captures(spark: SparkSession, path: str, capture_id: str | None = None) -> DataFrame:
+#: Bytes of a pcap file that a task reads.
+SPLIT_BYTES = 128 << 20
+
+
+def read_captures(spark: SparkSession, path: str, capture_id: str | None = None,
+                  split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Decode capture files under ``path`` (file, folder or glob).
 
     ``capture_id``: one id for all files (one conversion run); default is the
     folder ``capture_id=<id>`` a file lies in, else the file's base name.
-    ``seq`` orders the files of a capture by name, and records within a file.
+    ``seq`` orders the files of a capture by name, and records within a file:
+    the file's number times 2^40 and the byte at which the record ends, the
+    same for every ``split_bytes`` (0: a file is one task). Files are expected
+    to have records of at most 256 KiB, or the file's snap length.
+
+    Turns on Spark's filter pushdown for Python data sources, which is off by
+    default, so that :func:`~flowlens.operators.analytics.filter_packets` and
+    other predicates on these rows reach the scan.
     """
     if not HAVE_DATASOURCE:
         raise RuntimeError("the capture scan needs the Spark 4 Python data source API")
     # listing only: the binaryFile scan prunes the content column
-    files = sorted(r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                   .select("path").collect())
+    files = sorted(map(tuple, spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                       .select("path", "length").collect()))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PcapDataSource)
-    reader = spark.read.format("pcap").option("files", "\n".join(files))
+    reader = spark.read.format("pcap").option("files", "\n".join(f"{f}\t{n}" for f, n in files)).option("split_bytes", split_bytes)
     if capture_id:
         reader = reader.option("capture_id", capture_id)
     return reader.load()
 
 
+def stream_captures(spark: SparkSession, path: str, capture_id: str | None = None) -> DataFrame:
+    """S1 as a stream: the capture files in a folder, those that arrive later, and what they gain while they are written.
+
+    Each micro-batch reads the records completed since the last one, so the rows over all batches are those of
+    :func:`read_captures`, ``seq`` too where a capture's files arrive in the order of their names. A pcapng file that grew
+    is walked from its start, its older records aren't decoded. Offsets name every file, as Spark's file source does.
+    """
+    if not HAVE_DATASOURCE:
+        raise RuntimeError("the capture stream needs the Spark 4 Python data source API")
+    spark.dataSource.register(PcapDataSource)
+    reader = spark.readStream.format("pcap")
+    return (reader.option("capture_id", capture_id) if capture_id else reader).load(path)
+
+
 _WRITE_COLS = ["capture_id", "ts_us", "length", "wire_length", "proto", "src_ip", "dst_ip", "src_port", "dst_port",
                "header_len", "tcp_flags"]
 _DOTTED = r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"

@@ -3,12 +3,14 @@
 A task gathers the distinct pieces of its documents into one token array with neighbour links, indexes all adjacent
 pairs by the rank of their merge, and replays the merges in rank order over all pieces at once: each merge looks up its
 positions in the index and re-indexes only the neighbours that it touched. Pieces are independent, so this gives every
-piece the tokens that merging it alone would.
+piece the tokens that merging it alone would. Where a merged token has a merge of lower rank with its neighbour, that one
+comes before the piece's other merges; a piece in which many wait so is merged by itself, from a heap of its own pairs.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from collections import defaultdict
@@ -28,6 +30,8 @@ KNOWN, PIECES = 3 << 18, 1 << 21
 #: Documents per step.
 ROWS = 2000
 NONE = np.int64(1) << 40
+#: A piece with more merges than this waiting for a lower one is merged by itself.
+SOLO = 16
 
 
 def read_ranks(path: str) -> bytes:
@@ -52,10 +56,37 @@ class Merges:
                     out.append(rank)
         at = np.argsort(keys)
         self.keys, self.out = np.array(keys, np.int64)[at], np.array(out, np.int64)[at]
-        # a merge whose token can at once merge further with a lower rank: such pieces go on one merge at a time
+        # tokens that can at once merge further with a lower rank; where one does, the piece's other merges wait for that
         a, b = self.keys >> 32, self.keys & 0xFFFFFFFF
         self.early = set(a[self.out < a].tolist()) | set(b[self.out < b].tolist())
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.out.tolist(), strict=True))
+
+    def alone(self, piece: bytes) -> list[int]:
+        """Token ids of one piece, merge by merge from a heap of its pairs."""
+        tok = self.byte[np.frombuffer(piece, np.uint8)].tolist()
+        n = len(tok)
+        nxt, prv, pairs = list(range(1, n + 1)), list(range(-1, n - 1)), self.pairs
+        heap = [(r, i) for i, key in enumerate(a << 32 | b for a, b in zip(tok, tok[1:], strict=False))
+                if (r := pairs.get(key)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = nxt[i]
+            if tok[i] < 0 or j >= n or pairs.get(tok[i] << 32 | tok[j]) != r:
+                continue
+            tok[i], tok[j], k = r, -1, nxt[j]
+            nxt[i] = k
+            if k < n:
+                prv[k] = i
+                if (x := pairs.get(r << 32 | tok[k])) is not None:
+                    heapq.heappush(heap, (x, i))
+            if (h := prv[i]) >= 0 and (x := pairs.get(tok[h] << 32 | r)) is not None:
+                heapq.heappush(heap, (x, h))
+        return [t for t in tok if t >= 0]
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id that each pair merges into, NONE where it doesn't."""
         key = left << 32 | right
@@ -78,6 +109,7 @@ class Merges:
         if n:
             prv[0] = -1
         alive = np.ones(n, bool)
+        solo = np.zeros(len(pieces), bool)  # pieces that are merged by themselves
         todo = np.flatnonzero((nxt >= 0) & (whole[piece] < 0))
         index: dict[int, list[np.ndarray]] = defaultdict(list)  # rank -> positions of its left tokens
         heap: list[int] = []
@@ -104,21 +136,34 @@ class Merges:
             r = heapq.heappop(heap)
             at = index.pop(r)
             at = np.unique(np.concatenate(at)) if len(at) > 1 else np.sort(at[0])
-            at = at[alive[at] & (nxt[at] >= 0)]
+            at = at[alive[at] & (nxt[at] >= 0) & ~solo[piece[at]]]
             at = at[self.rank(tok[at], tok[nxt[at]]) == r]
             if not len(at):
                 continue
-            if r in self.early:
-                first = np.r_[True, piece[at[1:]] != piece[at[:-1]]]
-                later, at = at[~first], at[first]
-                if len(later):
-                    index[r].append(later)
-                    heapq.heappush(heap, r)
-            elif len(at) > 1:  # of positions that overlap, every second, from the left
+            every = at
+            if len(at) > 1:  # of positions that overlap, every second, from the left
                 chained = np.r_[False, nxt[at[:-1]] == at[1:]]
                 if chained.any():
                     start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
                     at = at[(np.arange(len(at)) - start) % 2 == 0]
+            if r in self.early and len(at) > 1:
+                before, beyond = prv[at], nxt[nxt[at]]
+                side = np.where(before >= 0, tok[before], -1)
+                side[1:][nxt[at[:-1]] == before[1:]] = r
+                low = (self.rank(side, np.full(len(at), r)) < r) | (
+                    (beyond >= 0) & (self.rank(np.full(len(at), r), np.where(beyond >= 0, tok[beyond], -1)) < r))
+                if low.any():  # in such a piece, merges up to the first that goes on lower; the others later
+                    stop = np.full(len(pieces), n)
+                    np.minimum.at(stop, piece[at[low]], at[low])
+                    many = np.bincount(piece[at[at > stop[piece[at]]]], minlength=len(pieces)) > SOLO
+                    solo |= many
+                    later = every[(every > stop[piece[every]]) & ~many[piece[every]]]
+                    at = at[(at <= stop[piece[at]]) & ~many[piece[at]]]
+                    if len(later):
+                        index[r].append(later)
+                        heapq.heappush(heap, r)
+                    if not len(at):
+                        continue
             gone = nxt[at]
             after = nxt[gone]
             tok[at] = r
@@ -135,6 +180,10 @@ class Merges:
         at = first[whole >= 0]
         alive[at] = True
         tok[at] = whole[whole >= 0]
+        for k in np.flatnonzero(solo).tolist():
+            ids = self.alone(pieces[k])
+            alive[first[k]:first[k] + length[k]] = np.arange(length[k]) < len(ids)
+            tok[first[k]:first[k] + len(ids)] = ids
         return tok[alive], np.bincount(piece[alive], minlength=len(pieces))
 
 

@@ -132,6 +132,24 @@ def test_bpe(spark, texts):
     assert Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.ids_sha256, r.decoded_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("solo", [bpe.SOLO, 0])
+def test_bpe_of_long_pieces(monkeypatch, solo):
+    """Two letters 500,000 times, and pieces in which merges of lower rank come in between, together and one by one."""
+    monkeypatch.setattr(bpe, "SOLO", solo)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng, vocab = np.random.default_rng(6), list(ranks)
+    few = [[vocab[i] for i in rng.integers(0, len(vocab), 5)] for _ in range(8)]
+    pieces = [b"ab" * 500_000, b"aab" * 20_000, b" the" * 20_000, *[b"".join(w[i] for i in rng.integers(0, 5, 4000)) for w in few]]
+    pieces += [b"".join(vocab[i] for i in rng.integers(0, len(vocab), rng.integers(1, 40))) for _ in range(400)]
+    merges = bpe.Merges(bpe.read_ranks(path))
+    ids, count = merges.replay(pieces)
+    for piece, own in zip(pieces, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+        assert own.tolist() == library._core_bpe.encode_single_piece(piece)
+    assert all(merges.alone(p) == library._core_bpe.encode_single_piece(p) for p in pieces[-100:])
+
+
 def _kept(rows):
     key = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s.strip(" \t\n\x0b\f\r"))
     rank = lambda i: 1 << 63 if i is None else i

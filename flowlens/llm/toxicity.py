@@ -1,7 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) over the distinct terms of a text: beside a weight for
-each term, pairs of terms (an insult with the mention of a group) have a learned weight of their own.
+each term, pairs of terms (an insult with the mention of a group) have a learned weight of their own. Terms of the model
+are those that tell the label alone, and those that tell it in a pair, whatever they tell alone.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ TRAIN_ROWS, TERMS, FACTORS = 20_000, 4096, 4
 MIN_DOCS = 5
 #: Least chi-squared of a term against the label; below it a rare term is as likely chance.
 LEAST_CHI = 15.0
+#: Terms whose pairs are tested (the most frequent ones), labelled documents that each of a pair's four cells has at least,
+#: and the least squared z of its interaction. There are two million pairs, and copies among the documents.
+PAIR_TERMS, PAIR_DOCS, LEAST_PAIR = 2048, 20, 60.0
 ROUNDS, STEP, DECAY = 60, 0.05, 1e-4
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Words that a worker remembers.
@@ -99,8 +103,53 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     return rows.mapInArrow(run, "toxic double, terms array<int>")
 
 
+def pair_terms(rows: DataFrame, frequent: list[int], least: float = LEAST_PAIR) -> list[int]:
+    """Terms of ``frequent`` in a pair whose interaction tells the label of the training rows.
+
+    For a pair, the documents with both, one, the other and neither have shares of the label p11, p10, p01 and p00; an
+    additive model has p11 - p10 - p01 + p00 = 0. One task counts all pairs, by products of term matrices; its work is
+    bounded by the training rows and ``frequent``.
+    """
+    spark = prepare(rows)
+    order = np.sort(np.array(frequent, np.int64))
+    shared = spark.sparkContext.broadcast(order)  # PAIR_TERMS numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        k, n, pos = len(terms), 0.0, 0.0
+        both, hits = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                lists = part.column(1)
+                own = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                term = lists.flatten().to_numpy(zero_copy_only=False)
+                col = np.minimum(np.searchsorted(terms, term), k - 1)
+                known = terms[col] == term
+                x = np.zeros((part.num_rows, k), np.float32)
+                x[own[known], col[known]] = 1
+                y = part.column(0).to_numpy(zero_copy_only=False).astype(np.float32)
+                both += x.T @ x
+                hits += x[y > 0].T @ x[y > 0]
+                n, pos = n + part.num_rows, pos + float(y.sum())
+        found: list[int] = []
+        if k and 0 < pos < n:
+            one, one_hit = np.diag(both).copy(), np.diag(hits).copy()
+            cells = [(both, hits), (one[:, None] - both, one_hit[:, None] - hits), (one[None, :] - both, one_hit[None, :] - hits),
+                     (n - one[:, None] - one[None, :] + both, pos - one_hit[:, None] - one_hit[None, :] + hits)]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                share = [h / c for c, h in cells]
+                z = (share[0] - share[1] - share[2] + share[3]) ** 2 / (pos / n * (1 - pos / n) * sum(1 / c for c, _ in cells))
+            tested = np.minimum.reduce([c for c, _ in cells]) >= PAIR_DOCS
+            found = terms[(np.where(tested, z, 0.0) >= least).any(axis=1)].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["term"])
+
+    return sorted(r[0] for r in rows.select("toxic", "terms").coalesce(1).mapInArrow(run, "term long").collect())
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: int = TERMS) -> Model:
-    """Fit on at most ``train_rows`` labelled documents, over the ``terms`` term hashes that tell the labels apart best.
+    """Fit on at most ``train_rows`` labelled documents, over the ``terms`` term hashes that tell the labels apart best, and
+    those of the ``PAIR_TERMS`` most frequent ones that do so in a pair.
 
     Without a label of either kind the model gives every text the same score: 0, or 1 if all labels are 1.
     """
@@ -114,11 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term
     # chi-squared of the term against the label
     chi = n * F.pow(F.col("pos") - F.col("n") * share, 2) / (F.col("n") * share * (1 - share) * (n - F.col("n")))
     best = [r[0] for r in seen.where((F.col("n") < n) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(terms).select("term").collect()]
+    frequent = [r[0] for r in seen.where(F.col("n") < n).orderBy(F.col("n").desc(), "term").limit(PAIR_TERMS).select("term").collect()]
+    best += sorted(set(pair_terms(rows, frequent)) - set(best))
     if not best:
         return Model([], math.log(share / (1 - share)), np.zeros(0), np.zeros((0, FACTORS)))
     column = {t: i for i, t in enumerate(best)}
     vector = F.udf(lambda ts: Vectors.sparse(len(column), {column[t]: 1.0 for t in ts if t in column}), VectorUDT())
-    data = rows.select(F.col("toxic").alias("label"), vector("terms").alias("features")).coalesce(12).persist()
+    data = written(rows.select(F.col("toxic").alias("label"), vector("terms").alias("features")), "vectors").coalesce(12).persist()
     fm = FMClassifier(factorSize=FACTORS, maxIter=ROUNDS, stepSize=STEP, regParam=DECAY, solver="adamW", seed=7, tol=1e-7)
     model = fm.fit(data)
     data.unpersist()

@@ -365,6 +365,22 @@ def test_toxicity(spark):
     assert {r.predicted for r in none} == {0}
 
 
+def test_toxicity_told_by_a_pair_only(spark):
+    """One of two words but not both: neither word alone tells the label, the fitted machine does, on held-out rows."""
+    rng = np.random.default_rng(5)
+    vocab = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = rng.random(2) < 0.5
+        rows.append((i, " ".join([*rng.choice(vocab, 40), *["insult"] * a, *["folk"] * b])))
+        labels.append((i, 1, int(a != b)))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(spark, rows), table)
+    assert {toxicity.hashed("insult"), toxicity.hashed("folk")} <= set(model.terms) and len(model.terms) < 50
+    held = [r for r in toxicity.toxicity_scores(frame(spark, rows), table).collect() if r.held_out]
+    assert len(held) > 500 and np.mean([r.predicted == labels[r.doc_id][2] for r in held]) > 0.85
+
+
 def test_factorization_machine_learns_pairs():
     """The score has the pair term of its definition."""
     m = toxicity.Model([toxicity.hashed(w) for w in ("insult", "group")], -2.0, np.zeros(2), np.array([[1.0, 1.0], [2.0, 2.0]]))

@@ -219,27 +219,15 @@ def filter_packets(packets: DataFrame, source_ip: str | None = None, protocol: s
 
 # -- P11 --------------------------------------------------------------------
 def packet_row_features(packets: DataFrame) -> DataFrame:
-    """Per capture: frame number (1-based, time order) and seconds since the
-    previous packet (0 for the first).
+    """Per capture: frame number (1-based, time order), ``first_us`` (time of
+    its first packet) and seconds since the previous packet (0 for the first).
 
-    The window runs per capture; for one very large capture use
-    :func:`flowlens.operators.assemble.with_capture_prev`, which splits the
-    capture into time buckets with a carry.
+    One pass over ranges of time that hold equal shares of all packets; a null
+    capture is one like others.
     """
-    from .assemble import with_capture_prev
-    from .windows import _join_buckets
-
-    with_prev = with_capture_prev(packets)
-    # frame number: rank inside the bucket + packets in earlier buckets
-    b = with_prev.withColumn("_bkt", F.floor(F.col("ts_us") / 60_000_000).cast("long"))
-    counts = (b.groupBy("capture_id", "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_off", F.coalesce(F.sum("_n").over(
-                  Window.partitionBy("capture_id").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)),
-                  F.lit(0)))
-              .drop("_n"))
-    out = (_join_buckets(b, counts, ["capture_id"])
-           .withColumn("frame_number", (F.col("_off") + F.row_number().over(
-               Window.partitionBy("capture_id", "_bkt").orderBy("ts_us", "seq"))).cast("long"))
-           .withColumn("delta_us", F.coalesce(F.col("ts_us") - F.col("prev_cap_us"), F.lit(0)).cast("long"))
-           .withColumn("time_delta", F.col("delta_us") / 1e6))
-    return out.drop("_bkt", "_off", "prev_cap_us")
+    from .windows import positions
+
+    placed = positions(packets, ["capture_id"], ["ts_us", "seq"], "_cap")
+    return (placed.withColumnsRenamed({"_cap_no": "frame_number", "_cap_first": "first_us"})
+            .withColumn("delta_us", F.coalesce(F.col("ts_us") - F.col("_cap_prev"), F.lit(0)).cast("long"))
+            .withColumn("time_delta", F.col("delta_us") / 1e6).drop("_cap_prev"))

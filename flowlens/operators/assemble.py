@@ -25,8 +25,8 @@ and all. Such keys are cut into blocks by time: islands from carried values
 blocks (``chains.mark_starts``), flow numbers and gaps from carried sums.
 
 The capture clock needs each packet's predecessor in the whole capture. It is
-computed per (capture, time bucket) with a carry of the previous non-empty
-bucket's last timestamp, so no single task sees a whole capture.
+computed per (capture, range of time) with a carry of the previous non-empty
+range's last timestamp; the ranges hold equal shares of all packets.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from ..schema import KEY_COLS
 from ..session import materialised
 from ..settings import DEFAULT_FLOW, FlowConfig
 from .chains import mark_starts
-from .windows import last_before, running_sum
+from .windows import last_before, positions, running_sum
 
 _KEY_ORDER = ["ts_us", "seq"]
 
@@ -51,22 +51,14 @@ def _key_window(*extra: str) -> Window:
     return Window.partitionBy(*KEY_COLS, *extra).orderBy(*_KEY_ORDER)
 
 
-def with_capture_prev(packets: DataFrame, bucket_us: int = 60 * 1_000_000) -> DataFrame:
-    """Add ``prev_cap_us``: timestamp of the previous packet of the same capture.
+def with_capture_prev(packets: DataFrame) -> DataFrame:
+    """Add ``prev_cap_us``: timestamp of the previous packet of the same capture (a null capture is one like others).
 
-    Lag runs inside (capture, time bucket); the first packet of a bucket takes
-    the last timestamp of the previous non-empty bucket from a small carry
-    table (one row per capture and bucket).
+    A capture is cut into time ranges that hold equal shares of all packets, with a carry table of one row per capture and
+    range, so that no task holds a capture, however fast it is.
     """
-    b = packets.withColumn("_bkt", F.floor(F.col("ts_us") / F.lit(bucket_us)).cast("long"))
-    inner = Window.partitionBy("capture_id", "_bkt").orderBy(*_KEY_ORDER)
-    carry = (b.groupBy("capture_id", "_bkt").agg(F.max("ts_us").alias("_bmax"))
-             .withColumn("_carry", F.lag("_bmax").over(Window.partitionBy("capture_id").orderBy("_bkt")))
-             .select("capture_id", "_bkt", "_carry"))
-    return (b.withColumn("_lag", F.lag("ts_us").over(inner))
-            .join(carry, ["capture_id", "_bkt"], "left")
-            .withColumn("prev_cap_us", F.coalesce("_lag", "_carry"))
-            .drop("_bkt", "_lag", "_carry"))
+    placed = positions(packets, ["capture_id"], _KEY_ORDER, "_cap")
+    return placed.withColumnRenamed("_cap_prev", "prev_cap_us").drop("_cap_no", "_cap_first")
 
 
 _FLOW_COLS = KEY_COLS + ["seq", "ts_us", "fwd", "length", "header_len", "tcp_flags"]
@@ -181,7 +173,7 @@ HOT_ROWS = 4_000_000
 
 
 def assign_flows(packets: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, clock: str = "key",
-                 capture_bucket_us: int = 60 * 1_000_000, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """packets -> one row per packet with the canonical key, ``fwd``,
     ``flow_no`` (flows per key counted from 1 in time order) and the W4
     inter-arrival gaps ``gap_all`` / ``gap_dir`` in µs (null on a flow's first
@@ -199,7 +191,7 @@ def assign_flows(packets: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, clock: str
         "rst_bit": flag_bit("tcp_flags", "rst"),
     })
     if clock == "capture":
-        p = with_capture_prev(p, capture_bucket_us)
+        p = with_capture_prev(p)
     extra = ["prev_cap_us"] if clock == "capture" else []
     p = p.select(*_FLOW_COLS, "fin_bit", "rst_bit", *extra)
     hot = None if hot_rows is None or packets.count() <= hot_rows else hot_keys(packets, hot_rows)

@@ -169,6 +169,23 @@ def last_before(df: DataFrame, part: list[str], order: list[str], values: dict[s
     return out.drop(*drop)
 
 
+def positions(df: DataFrame, part: list[str], order: list[str], prefix: str) -> DataFrame:
+    """Add ``<prefix>_no`` (1-based place in ``order``), ``<prefix>_prev`` (``order[0]`` of the row before, or null) and
+    ``<prefix>_first`` (``order[0]`` of the first row) per ``part``: one pass over the rows, one table of buckets."""
+    rows = size_buckets(materialised(df, "positions"), order[0])
+    at = F.col(order[0])
+    per = rows.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    w = Window.partitionBy(*part).orderBy("_bkt")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*part, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                     F.lag("_hi").over(w).alias("_carry"), F.min("_lo").over(Window.partitionBy(*part)).alias(f"{prefix}_first"))
+    inner = Window.partitionBy(*part, "_bkt").orderBy(*order)
+    out = _join_buckets(rows, per, part).withColumns({
+        f"{prefix}_no": (F.col("_off") + F.row_number().over(inner)).cast("long"),
+        f"{prefix}_prev": F.coalesce(F.lag(at).over(inner), F.col("_carry"))})
+    return out.drop("_bkt", "_off", "_carry")
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_col: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``).
 

@@ -15,7 +15,7 @@ from ..operators.windows import global_rank
 from ..schema import KEY_COLS
 from ..settings import Policy
 from . import context as C
-from .catalog import EVENT_ID_SQL, KF, KEYF, ORDER_ASC, REGISTRY, register
+from .catalog import EVENT_ID_SQL, KF, KEYF, ORDER_ASC, PROTO_SQL, REGISTRY, register
 from .oracle import scored_ctes, with_ctes
 
 # Response policy of the registered queries: auto-block on, nothing enforced.
@@ -445,6 +445,7 @@ def q_flow_sequences(spark, sf):
 # Legacy per-packet path: S7 / P11 / P6 / P6b / P7 / W3, and P5 / P12
 # =============================================================================
 from ..functions.scalar import align_features, binary_verdict, clean_packets, to_number  # noqa: E402
+from ..functions.sql import register_functions  # noqa: E402
 from ..operators.analytics import packet_row_features  # noqa: E402
 from ..schema import LEGACY_FEATURES  # noqa: E402
 from ..sources.legacy import align_packet_features, legacy_packets  # noqa: E402
@@ -528,6 +529,19 @@ def _seq_mode_sql(c: str) -> str:
     return f"(CASE WHEN {v} IS NULL OR isnan({v}) OR isinf({v}) THEN 0e0 ELSE {v} END)"
 
 
+@register("sql_functions", with_ctes(_LEGACY_CTES, f"""
+SELECT {PROTO_SQL} AS protocol, CAST(count(*) AS BIGINT) AS packets, CAST(sum({_to_number_sql(_q("tcp.flags"))}) AS BIGINT) AS flags,
+  {round_sql("max(" + _to_number_sql(_q("frame.time_delta")) + ")", 6)} AS longest
+FROM legacy JOIN packets USING (capture_id, seq) GROUP BY 1"""))
+def q_sql_functions(spark, sf):
+    """P3 and P6 from SQL: ``protocol_name`` and ``text_number`` over the legacy text table."""
+    register_functions(spark)
+    return spark.sql("""
+        SELECT protocol_name(`ip.proto`) AS protocol, count(*) AS packets, CAST(sum(text_number(`tcp.flags`)) AS BIGINT) AS flags,
+          floor(max(text_number(`frame.time_delta`)) * 1e6 + 0.5) / 1e6 AS longest
+        FROM {legacy} GROUP BY protocol_name(`ip.proto`)""", legacy=_legacy(spark, sf))
+
+
 @register("legacy_clean_sequence", with_ctes(_LEGACY_CTES, "SELECT " + ", ".join(
     f"{_seq_mode_sql(c)} AS {_q(c)}" for c in LEGACY_FEATURES) + ", CAST(label AS INTEGER) AS label FROM legacy"))
 def q_legacy_clean_sequence(spark, sf):

@@ -27,16 +27,14 @@ def legacy_packets(packets: DataFrame) -> DataFrame:
     decimal on every third frame; ``mqtt.msgtype`` null off TCP. Keeps
     ``capture_id`` and ``seq`` for ordering.
     """
-    rows = packet_row_features(packets)
-    start = packets.groupBy("capture_id").agg(F.min("ts_us").alias("_t0"))
-    r = rows.join(start, "capture_id")
+    r = packet_row_features(packets)
     fn = F.col("frame_number")
     delta_us = F.col("delta_us")
     tcp, udp, icmp = F.col("proto") == 6, F.col("proto") == 17, F.col("proto") == 1
     sep = F.when(fn % 3 == 0, F.lit(",")).otherwise(F.lit("."))
     txt = {
         "frame.number": fn.cast("string"),
-        "frame.time_relative": _us_text(F.col("ts_us") - F.col("_t0"), F.lit(".")),
+        "frame.time_relative": _us_text(F.col("ts_us") - F.col("first_us"), F.lit(".")),
         "frame.len": F.col("length").cast("string"),
         "frame.time_delta": _us_text(delta_us, sep),
         "ip.proto": F.col("proto").cast("string"),

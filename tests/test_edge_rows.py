@@ -117,3 +117,20 @@ def test_rows_without_a_label_are_split_too(spark):
     out = stratified_split(df, 0.25, row_id=F.col("id").cast("string"))
     assert out.count() == 40
     assert {r.label: r.n for r in out.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()} == {1: 5, None: 5}
+
+
+def test_packets_of_a_null_capture_are_kept(spark):
+    """P11, S7 and the capture clock take a null capture as a capture; a fast capture is cut within a minute too."""
+    from flowlens.operators.analytics import packet_row_features
+    from flowlens.operators.assemble import with_capture_prev
+    from flowlens.sources.legacy import legacy_packets
+    from helpers import packets, pk
+
+    rows = [pk(k, t, capture=c) for k, (t, c) in enumerate([(0, None), (1, "a"), (20, None), (40, None), (60.5, "a"), (130, None)])]
+    df = packets(spark, rows)
+    got = {r.seq: (r.frame_number, r.delta_us // 1_000_000) for r in packet_row_features(df).collect()}
+    assert got == {0: (1, 0), 2: (2, 20), 3: (3, 20), 5: (4, 90), 1: (1, 0), 4: (2, 59)}
+    assert {r.seq: r.prev_cap_us for r in with_capture_prev(df).collect()} == {
+        0: None, 1: None, 2: 0, 3: 20_000_000, 4: 1_000_000, 5: 40_000_000}
+    legacy = {r.seq: r["frame.time_relative"] for r in legacy_packets(df).collect()}
+    assert len(legacy) == 6 and legacy[5] == "130.000000" and legacy[4] == "59.500000"

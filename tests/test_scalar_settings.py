@@ -32,3 +32,22 @@ def test_to_number(spark):
 def test_finite(spark):
     df = spark.createDataFrame([(1.5,), (math.nan,), (math.inf,), (-math.inf,), (None,)], "x double")
     assert [r[0] for r in df.select(finite("x")).collect()] == [1.5, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.functions.scalar import finite, protocol_name, to_number
+    from flowlens.functions.sql import register_functions
+
+    register_functions(spark)
+    texts = [None, "", " ", "6", " 17 ", "1.9", "-3", "abc", "NaN", "none", "null", "inf", "-Infinity", "0x1F", "0XfF", "0xg", "0x", "1,5",
+             "1e3", "1,2,3", "255", "0", "99999999999999999999", "0xffffffffffffffff", "1e400"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    small = df.where("t IS NULL OR t NOT IN ('99999999999999999999', '0xffffffffffffffff')")
+    for name, own, rows in (("protocol_name", protocol_name, small), ("text_number", to_number, df)):
+        both = rows.select(own(F.col("t")).alias("a"), F.expr(f"{name}(t)").alias("b"))
+        assert both.where("NOT (a <=> b)").isEmpty(), both.collect()
+    x = spark.createDataFrame([(v,) for v in (None, 1.5, float("nan"), float("inf"), -0.0)], "x double")
+    assert x.select(finite(F.col("x")).alias("a"), F.expr("finite_number(x)").alias("b")).where("NOT (a <=> b)").isEmpty()
+    assert spark.sql("SELECT protocol_name(17), protocol_name('x'), text_number('0x10')").first()[:] == ("UDP", "ip", 16.0)

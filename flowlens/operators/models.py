@@ -4,21 +4,27 @@
   row and feature subsampling 0.9, class weight ``scale_pos_weight``);
 * anomaly: min-max scaling + PCA bottleneck of 12; the score is the mean
   squared reconstruction error of the centred vector;
-* context: pooled sequence features (mean / std / max / last per feature)
-  into a multilayer perceptron;
+  ``train_autoencoder`` is the non-linear form: a bottleneck network that
+  starts from those components;
+* context: attention over the window's rows in their order
+  (``train_attention``, networks trained by gradients summed over partitions);
+  pooled sequence features (mean / std / max / last per feature) into a
+  multilayer perceptron are the plainer form;
 * forest (legacy): mean imputation from the training fold, min-max,
   RandomForest with 100 trees.
 
-Models are saved as Spark ML pipelines; :func:`load_detectors` falls back to
+Models are saved as Spark ML pipelines or rows of parameters; :func:`load_detectors` falls back to
 the normal-profile surrogates when a model is absent.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import json
 import os
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, MinMaxScaler, PCA, StandardScaler, VectorAssembler
@@ -28,10 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import FEATURES, LABEL
+from ..session import materialised
 from ..settings import DEFAULT_FLOW, DEFAULT_THRESHOLDS, FlowConfig, Thresholds
 from .dataset import class_weights, stratified_split
 from .evaluation import evaluate, exact_quantiles
+from .networks import AttentionNet, Autoencoder, fit_network, predict_column
 from .scoring import score_flows
+from .sequences import fit_sequence_standardizer
 
 
 def _proba1(df: DataFrame, col: str = "probability") -> F.Column:
@@ -105,8 +114,45 @@ def train_anomaly(flows: DataFrame, k: int = 12, percentile: float = 0.99) -> An
     return AnomalyModel(lo, span, mean, comps, float(thr))
 
 
-def reconstruction_error(df: DataFrame, model: AnomalyModel) -> DataFrame:
-    """Mean squared error of the PCA reconstruction, per row (numpy per batch)."""
+@dataclass(frozen=True)
+class AutoencoderModel:
+    """A trained :class:`~flowlens.operators.networks.Autoencoder` over min-max scaled, centred features."""
+    lo: tuple[float, ...]
+    span: tuple[float, ...]
+    mean: tuple[float, ...]
+    hidden: int
+    bottleneck: int
+    theta: tuple[float, ...]
+    threshold: float | None = None
+
+    @property
+    def net(self) -> Autoencoder:
+        return Autoencoder(len(FEATURES), self.hidden, self.bottleneck)
+
+
+def _scaled_array(model) -> F.Column:
+    return F.array(*[(F.col(f).cast("double") - model.lo[i]) / model.span[i] - model.mean[i] for i, f in enumerate(FEATURES)])
+
+
+def train_autoencoder(flows: DataFrame, k: int = 12, hidden: int = 32, percentile: float = 0.99, rounds: int = 100,
+                      step: float = 0.003, seed: int = 42) -> AutoencoderModel:
+    """Non-linear form of :func:`train_anomaly`: fitted on normal flows from its principal components on; the threshold is
+    the percentile of the network's own error on them."""
+    pca = train_anomaly(flows, k, percentile)
+    model = AutoencoderModel(pca.lo, pca.span, pca.mean, hidden, k, ())
+    normal = flows.filter(F.col(LABEL) == 0)
+    data = normal.select(_scaled_array(model).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("w"))
+    theta = fit_network(model.net, data, rounds, step, seed, model.net.from_components(np.array(pca.components), seed))
+    model = dataclasses.replace(model, theta=tuple(theta.tolist()))
+    thr = exact_quantiles(reconstruction_error(normal, model), "anomaly_error", [percentile]).first()["value"]
+    return dataclasses.replace(model, threshold=float(thr))
+
+
+def reconstruction_error(df: DataFrame, model: AnomalyModel | AutoencoderModel) -> DataFrame:
+    """Mean squared error of the reconstruction, per row (numpy per batch)."""
+    if isinstance(model, AutoencoderModel):
+        scaled = df.withColumn("_x", _scaled_array(model))
+        return predict_column(scaled, model.net, np.array(model.theta), "_x", "anomaly_error").drop("_x")
     lo, span, mu, comps = model.lo, model.span, model.mean, model.components
     keep = [c for c in df.columns]
     schema = T.StructType(df.schema.fields + [T.StructField("anomaly_error", T.DoubleType())])
@@ -155,6 +201,66 @@ def context_scores(model: PipelineModel, seqs: DataFrame) -> DataFrame:
     return out.select("host", "seq_no", LABEL, "prediction", _proba1(out).alias("context_score"))
 
 
+@dataclass(frozen=True)
+class ContextModel:
+    """A trained attention network over standardised windows."""
+    length: int
+    mean: tuple[float, ...]
+    sd: tuple[float, ...]
+    width: int
+    hidden: int
+    theta: tuple[float, ...]
+
+    @property
+    def net(self) -> AttentionNet:
+        return AttentionNet(self.length, len(FEATURES), self.width, self.hidden)
+
+
+def _window_array(model: ContextModel) -> F.Column:
+    """The window as one array, row by row, standardised (padding rows too)."""
+    mean, sd = (F.array(*map(F.lit, v)) for v in (model.mean, model.sd))
+    return F.flatten(F.transform("window", lambda row: F.zip_with(
+        F.zip_with(row, mean, lambda a, m: a.cast("double") - m), sd, lambda a, s: a / s)))
+
+
+def train_attention(seqs: DataFrame, length: int = DEFAULT_FLOW.sequence_len, width: int = 16, hidden: int = 16,
+                    rounds: int = 100, step: float = 0.01, seed: int = 42) -> ContextModel:
+    """A classifier of windows that sees the order of their rows; attacks weigh as much as the rest."""
+    stats = {r["feature"]: (r["mean"], r["sd"]) for r in fit_sequence_standardizer(seqs).collect()}
+    model = ContextModel(length, tuple(stats[f][0] for f in FEATURES), tuple(stats[f][1] for f in FEATURES), width, hidden, ())
+    n, pos = seqs.agg(F.count("*"), F.sum(F.col(LABEL).cast("double"))).first()
+    heavy = (n - pos) / pos if pos and pos < n else 1.0
+    data = seqs.select(_window_array(model).alias("x"), F.col(LABEL).cast("double").alias("y"),
+                       F.when(F.col(LABEL) == 1, F.lit(float(heavy))).otherwise(F.lit(1.0)).alias("w"))
+    return dataclasses.replace(model, theta=tuple(fit_network(model.net, data, rounds, step, seed).tolist()))
+
+
+def attention_scores(model: ContextModel, seqs: DataFrame) -> DataFrame:
+    """``seqs`` with ``context_score`` in place of the windows."""
+    flat = seqs.withColumn("_x", _window_array(model)).drop("window")
+    return predict_column(flat, model.net, np.array(model.theta), "_x", "context_score").drop("_x")
+
+
+def context_of_flows(scored: DataFrame, model: ContextModel, wanted: F.Column, host_col: str = "src_ip") -> DataFrame:
+    """``scored`` (with ``_pos``, a flow's place among its host's flows) with ``ctx_raw`` from the model.
+
+    Only flows that are ``wanted`` (the context gate is open) get windows: the host's last ``length`` flows, zero rows in
+    front where there are fewer. Each takes its rows by (host, place), so no task holds a host.
+    """
+    L = model.length
+    host = F.coalesce(F.col(host_col), F.lit(""))
+    rows = materialised(scored.drop("ctx_raw").withColumn("_host", host), "context-flows")
+    asks = rows.filter(wanted).select("_host", F.col("_pos").alias("_ask"), F.explode(
+        F.sequence(F.greatest(F.col("_pos") - L + 1, F.lit(1).cast("long")), F.col("_pos"))).alias("_pos"))
+    flat = rows.select("_host", "_pos", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("row"))
+    held = asks.join(flat, ["_host", "_pos"]).groupBy("_host", "_ask").agg(
+        F.sort_array(F.collect_list(F.struct("_pos", "row"))).alias("rows"))  # at most ``length`` rows
+    zero = F.array_repeat(F.array_repeat(F.lit(0.0), len(FEATURES)), F.lit(L) - F.size("rows"))
+    windows = held.select("_host", F.col("_ask").alias("_pos"), F.concat(zero, F.transform("rows", lambda r: r["row"])).alias("window"))
+    found = attention_scores(model, windows).withColumnRenamed("context_score", "ctx_raw")
+    return rows.join(found, ["_host", "_pos"], "left").drop("_host")
+
+
 # -- M17 --------------------------------------------------------------------
 def train_forest(train: DataFrame, feature_cols: list[str], seed: int = 42, trees: int = 100) -> PipelineModel:
     """Legacy forest: mean imputation (training fold), min-max, 100 trees."""
@@ -170,37 +276,40 @@ def train_forest(train: DataFrame, feature_cols: list[str], seed: int = 42, tree
 # -- M18 / M7 with trained models ---------------------------------------------
 @dataclass(frozen=True)
 class Detectors:
-    """Trained models of the routine and anomaly barriers; None takes the surrogate."""
+    """Trained models of the barriers; None takes the surrogate."""
     routine: PipelineModel | None = None
-    anomaly: AnomalyModel | None = None
+    anomaly: AnomalyModel | AutoencoderModel | None = None
+    context: ContextModel | None = None
 
 
 def save_detectors(spark, detectors: Detectors, model_dir: str) -> None:
     """Write the models under ``model_dir`` (shared storage); the anomaly threshold lies in the model's row."""
     if detectors.routine is not None:
         detectors.routine.write().overwrite().save(os.path.join(model_dir, "routine"))
-    if detectors.anomaly is not None:
-        row = dataclasses.asdict(detectors.anomaly)
-        (spark.createDataFrame([tuple(row[f.name] for f in _ANOMALY_SCHEMA)], _ANOMALY_SCHEMA)
-         .write.mode("overwrite").parquet(os.path.join(model_dir, "anomaly")))
+    for sub, model in (("anomaly", detectors.anomaly), ("context", detectors.context)):
+        if model is not None:
+            row = (type(model).__name__, json.dumps(dataclasses.asdict(model)))
+            spark.createDataFrame([row], _MODEL_SCHEMA).write.mode("overwrite").parquet(os.path.join(model_dir, sub))
+
+
+_MODEL_SCHEMA = "kind string, fields string"
 
 
-_ANOMALY_SCHEMA = T.StructType([
-    *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("lo", "span", "mean")],
-    T.StructField("components", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("threshold", T.DoubleType())])
+def _load_row(spark, path: str) -> AnomalyModel | AutoencoderModel | ContextModel:
+    row = spark.read.schema(_MODEL_SCHEMA).parquet(path).first()
+    kinds = {c.__name__: c for c in (AnomalyModel, AutoencoderModel, ContextModel)}
 
+    def fixed(x):
+        return tuple(map(fixed, x)) if isinstance(x, list) else x
 
-def _load_anomaly(spark, path: str) -> AnomalyModel:
-    row = spark.read.schema(_ANOMALY_SCHEMA).parquet(path).first()
-    return AnomalyModel(tuple(row.lo), tuple(row.span), tuple(row.mean), tuple(map(tuple, row.components)),
-                        row.threshold)
+    return kinds[row.kind](**{k: fixed(v) for k, v in json.loads(row.fields).items()})
 
 
 def _load(spark, model_dir: str) -> dict:
     """Per saved model its value, or the error that loading raised."""
     found = {}
-    for sub, read in (("routine", PipelineModel.load), ("context", PipelineModel.load),
-                      ("anomaly", lambda path: _load_anomaly(spark, path))):
+    for sub, read in (("routine", PipelineModel.load), ("context", lambda path: _load_row(spark, path)),
+                      ("anomaly", lambda path: _load_row(spark, path))):
         try:
             found[sub] = read(os.path.join(model_dir, sub))
         except Exception as exc:  # noqa: BLE001 - reported in the health table; the surrogate takes over
@@ -211,7 +320,7 @@ def _load(spark, model_dir: str) -> dict:
 def read_detectors(spark, model_dir: str) -> Detectors:
     """The saved models; a barrier whose model doesn't load takes its surrogate."""
     found = {k: None if isinstance(v, Exception) else v for k, v in _load(spark, model_dir).items()}
-    return Detectors(found["routine"], found["anomaly"])
+    return Detectors(found["routine"], found["anomaly"], found["context"])
 
 
 def load_detectors(spark, model_dir: str) -> DataFrame:
@@ -229,7 +338,10 @@ def load_detectors(spark, model_dir: str) -> DataFrame:
 def score_with_models(flows: DataFrame, profile, detectors: Detectors, t: Thresholds = DEFAULT_THRESHOLDS,
                       cfg: FlowConfig = DEFAULT_FLOW) -> DataFrame:
     """M7 with the trained models there are; the anomaly model brings its own threshold."""
-    routine = anomaly = None
+    routine = anomaly = context = None
+    if detectors.context is not None:
+        def context(df, wanted):
+            return context_of_flows(df, detectors.context, wanted)
     if detectors.routine is not None:
         def routine(df):
             return routine_scores(detectors.routine, df).drop("prediction")
@@ -238,7 +350,7 @@ def score_with_models(flows: DataFrame, profile, detectors: Detectors, t: Thresh
             return reconstruction_error(df, detectors.anomaly).withColumnRenamed("anomaly_error", "anomaly_score")
         if detectors.anomaly.threshold is not None:
             t = dataclasses.replace(t, autoencoder=detectors.anomaly.threshold)
-    return score_flows(flows, profile, t, cfg, routine=routine, anomaly=anomaly)
+    return score_flows(flows, profile, t, cfg, routine=routine, anomaly=anomaly, context=context)
 
 
 def holdout(flows: DataFrame, test_frac: float = 0.2, seed: int = 42, row_id: F.Column | None = None):
@@ -247,6 +359,6 @@ def holdout(flows: DataFrame, test_frac: float = 0.2, seed: int = 42, row_id: F.
 
 
 __all__ = ["train_routine", "routine_scores", "feature_importances", "train_anomaly", "reconstruction_error",
-           "pooled_sequences", "train_context", "context_scores", "train_forest", "load_detectors", "holdout",
+           "pooled_sequences", "train_context", "context_scores", "train_attention", "attention_scores", "train_autoencoder", "train_forest", "load_detectors", "holdout",
            "Detectors", "save_detectors", "read_detectors", "score_with_models",
            "evaluate", "MinMaxScaler", "StandardScaler"]

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import align_features, round_sql
@@ -185,6 +185,12 @@ def with_host_context(scored: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, host_co
     The frame is evaluated by :func:`sliding_frame`, so a host with a large
     share of all flows is spread over buckets and row chunks.
     """
+    return _ranked_context(scored, cfg, host_col, order_cols, bucket_us, chunk_rows).drop("_pos")
+
+
+def _ranked_context(scored: DataFrame, cfg: FlowConfig, host_col: str, order_cols: list[str] | None = None,
+                    bucket_us: int | None = None, chunk_rows: int = 1 << 16) -> DataFrame:
+    """:func:`with_host_context`, with ``_pos``, the flow's 1-based place among its host's flows."""
     order = order_cols or EMIT_ORDER
     L = cfg.sequence_len
     # a frame's statistics leave out rows whose features are all zero
@@ -195,7 +201,7 @@ def with_host_context(scored: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, host_co
                         {"ctx_n": F.count(dist), "ctx_mean": F.avg(dist), "ctx_sd": F.stddev_pop(dist)},
                         time_col=order[0], bucket_us=bucket_us, chunk_rows=chunk_rows, rank_col="_pos")
     return (out.withColumn("history_len", F.least(F.col("_pos"), F.lit(L)).cast("int"))
-            .withColumn("ctx_raw", F.expr(context_sql())).drop("_pos"))
+            .withColumn("ctx_raw", F.expr(context_sql())))
 
 
 def with_verdict(df: DataFrame, t: Thresholds = DEFAULT_THRESHOLDS,
@@ -209,18 +215,24 @@ def with_verdict(df: DataFrame, t: Thresholds = DEFAULT_THRESHOLDS,
 def score_flows(flows: DataFrame, profile: Profile, t: Thresholds = DEFAULT_THRESHOLDS,
                 cfg: FlowConfig = DEFAULT_FLOW, host_col: str = "src_ip",
                 routine: Callable[[DataFrame], DataFrame] | None = None,
-                anomaly: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                anomaly: Callable[[DataFrame], DataFrame] | None = None,
+                context: Callable[[DataFrame, Column], DataFrame] | None = None) -> DataFrame:
     """M7: full three-barrier scoring of a flows table.
 
     ``routine`` / ``anomaly`` are scorers of trained models that add
-    ``routine_score`` / ``anomaly_score``; without one the barrier takes its
-    surrogate (``models.score_with_models`` passes saved models).
+    ``routine_score`` / ``anomaly_score``, ``context`` one that sets
+    ``ctx_raw`` of the flows whose context gate is open; without one the
+    barrier takes its surrogate (``models.score_with_models`` passes saved
+    models).
     """
     s = score_distances(flows, profile)
     s = routine(s) if routine else score_routine(s, profile)
     s = anomaly(s) if anomaly else score_anomaly(s, profile)
-    s = with_host_context(s, cfg, host_col)
-    return with_verdict(s, t, cfg).drop("energy", "ctx_mean", "ctx_sd")
+    s = _ranked_context(s, cfg, host_col)
+    if context:
+        g = gate_sqls(t, cfg)
+        s = context(s, F.expr(f"{g['needs_context']} AND ({g['ready']} OR {g['padded']})"))
+    return with_verdict(s.drop("_pos"), t, cfg).drop("energy", "ctx_mean", "ctx_sd")
 
 
 def score_table(df: DataFrame, profile: Profile, t: Thresholds = DEFAULT_THRESHOLDS,

@@ -735,6 +735,36 @@ def q_train_context(spark, sf):
     return EV.evaluate(out.withColumn("pred", F.col("prediction").cast("int")), "label", "pred", "context_score")
 
 
+def _context_windows(spark, sf):
+    seqs = build_sequences(C.flows(spark, sf), 16, 4, "src_ip")
+    return DS.stratified_split(seqs, 0.2, 42, F.concat_ws("|", F.col("host"), F.col("seq_no").cast("string")))
+
+
+def _context_model(spark, sf):
+    """The attention network, fitted once per session and scale on the training windows."""
+    k = C._key(spark, sf, "context-model")
+    if k not in C._CACHE:
+        C._CACHE[k] = MD.train_attention(_context_windows(spark, sf).filter(~F.col("is_test")))
+    return C._CACHE[k]
+
+
+@register("train_attention")
+def q_train_attention(spark, sf):
+    """Attention over the 16 flows of a window in their order; metrics on the held-out windows."""
+    test = _context_windows(spark, sf).filter(F.col("is_test"))
+    out = MD.attention_scores(_context_model(spark, sf), test)
+    return EV.evaluate(out.withColumn("pred", (F.col("context_score") >= 0.5).cast("int")), "label", "pred", "context_score")
+
+
+@register("train_autoencoder")
+def q_train_autoencoder(spark, sf):
+    """M9: non-linear bottleneck network on normal flows; its threshold and detection."""
+    f = C.flows(spark, sf)
+    model = MD.train_autoencoder(f)
+    errs = MD.reconstruction_error(f, model)
+    return EV.detection_rate(errs, "anomaly_error", model.threshold).withColumn("threshold", F.lit(model.threshold))
+
+
 @register("train_forest")
 def q_train_forest(spark, sf):
     """Legacy random forest (100 trees) on cleaned legacy frames, 70/30 stratified split."""
@@ -756,12 +786,12 @@ def vector_to_array_col(df):
 
 
 def _saved_detectors(spark, sf) -> str:
-    """Folder of a small routine GBT (20 trees) and the anomaly model, both trained on the flows."""
+    """Folder of the session's routine GBT (400 trees of depth 7), and a network each for the anomaly and context barriers."""
     k = C._key(spark, sf, "detectors")
     if k not in C._CACHE:
         path = work_dir(spark, "detectors")
         f = C.flows(spark, sf)
-        MD.save_detectors(spark, MD.Detectors(MD.train_routine(f, max_iter=20, max_depth=4), MD.train_anomaly(f)), path)
+        MD.save_detectors(spark, MD.Detectors(_routine_model(spark, sf), MD.train_autoencoder(f), _context_model(spark, sf)), path)
         C._CACHE[k] = path
     return C._CACHE[k]
 
@@ -774,7 +804,7 @@ def q_detector_health(spark, sf):
 
 @register("model_verdicts")
 def q_model_verdicts(spark, sf):
-    """M7: verdicts of the saved routine and anomaly models, read back."""
+    """M7: verdicts of the three saved models, read back."""
     e = MD.score_with_models(C.flows(spark, sf), C.profile(spark, sf),
                              MD.read_detectors(spark, _saved_detectors(spark, sf)))
     return e.select(*KEYF, "routine_score", "anomaly_score", "status", "severity", "threat_score")

@@ -80,7 +80,7 @@ def tile_pairs(tiled: DataFrame) -> DataFrame:
     sizes = written(tiled.select("block", "tiles").distinct(), "sizes")
     step = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in _steps()]))
     near = sizes.select("block", step.alias("step")).select("block", F.zip_with("block", "step", lambda a, b: a + b).alias("other"))
-    near = written(near.join(sizes.withColumnsRenamed({"block": "other", "tiles": "others"}), "other"), "neighbours")
+    near = written(near.join(sizes.withColumnsRenamed({"block": "other", "tiles": "others"}).hint("merge"), "other"), "neighbours")
     met = tiled.join(near.hint("merge"), "block").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     name = lambda block, tile: F.concat_ws(":", F.array_join(block, "."), tile)
     one, two = name("block", F.col("tile")), name("other", F.col("at"))

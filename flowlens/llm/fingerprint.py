@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,13 +125,26 @@ def worker_sampler(samples: int) -> Sampler:
     return _SAMPLERS[samples]
 
 
-def _buckets(docs: DataFrame) -> tuple[list[int], bool, int]:
-    """Descending bounds of doc_id that cut the table into about equal ranges; whether ids are null; ranges for those."""
+def _buckets(docs: DataFrame) -> tuple[list[float], int | None, bool, int]:
+    """Ascending ids that end about equal ranges of doc_id, the largest id, whether ids are null, ranges for those."""
     spark = docs.sparkSession
-    n = docs.agg(F.count("*"), F.count("doc_id")).first()
-    ranges = max(4 * shuffle_partitions(spark), n[0] // 20_000, 1)
-    bounds = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if n[1] else []
-    return sorted({int(b) for b in bounds}, reverse=True), n[1] < n[0], ranges
+    n, known, top = docs.agg(F.count("*"), F.count("doc_id"), F.max("doc_id")).first()
+    ranges = max(4 * shuffle_partitions(spark), n // 20_000, 1)
+    ends = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if known else []
+    return sorted({e for e in ends if e < float(top)}), top, known < n, ranges
+
+
+def _below(docs: DataFrame, ends: list[float], out: str, end: bool) -> DataFrame:
+    """Add the number of ``ends`` under doc_id (``end``: not over it), by binary search."""
+    if not ends:
+        return docs.withColumn(out, F.lit(0))
+    if end:
+        splits, x, count = [float("-inf"), *ends, float("inf")], F.col("doc_id").cast("double"), F.col(out)
+    else:  # from above: how many are not under it
+        splits, x = [float("-inf"), *[-e for e in reversed(ends)], float("inf")], -F.col("doc_id").cast("double")
+        count = F.lit(len(ends)) - F.col(out)
+    cut = Bucketizer(splits=splits, inputCol="_id", outputCol=out, handleInvalid="keep")
+    return cut.transform(docs.withColumn("_id", x)).withColumn(out, count.cast("int")).drop("_id")
 
 
 def document_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -146,23 +160,18 @@ def document_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     prepare(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds, nulls, spare = _buckets(docs)
-    # range b holds the ids under b bounds: range 0 has the largest ids
-    bucket = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b > F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(spare)).cast("int")).otherwise(bucket)
-    docs = docs.withColumn("bucket", bucket)
-    # the largest id of each range: at most as many rows as there are ranges
-    top = {r[0]: r[1] for r in docs.where("doc_id IS NOT NULL").groupBy("bucket").agg(F.max("doc_id")).collect()}
-    order = sorted(top)
-    lent = [(b, top[b], order[i - 1]) for i, b in enumerate(order)]  # to the range before; the first to the last
-    if order and nulls:
-        lent += [(order[0], top[order[0]], -1 - k) for k in range(spare)]
-    rows = docs.withColumn("lent", F.lit(False))
-    if lent:
-        # rows with the largest id of a range also go, as lent rows, to the ranges that end before it
-        to = docs.sparkSession.createDataFrame(lent, "bucket int, doc_id long, goes int")
-        copies = docs.join(F.broadcast(to), ["bucket", "doc_id"]).select("doc_id", "text", F.col("goes").alias("bucket"), F.lit(True).alias("lent"))
-        rows = rows.unionByName(copies)
+    ends, top, nulls, spare = _buckets(docs)
+    # an id that ends a range (ids are those of rows) is the largest of it; range 0 has the largest ids of all
+    docs = _below(_below(docs, ends, "_under", False), ends, "_upto", True)
+    null = F.col("doc_id").isNull()
+    docs = docs.withColumn("bucket", F.when(null, -1 - F.pmod(F.xxhash64("text"), F.lit(spare)).cast("int")).otherwise(
+        F.lit(len(ends)) - F.col("_under")))
+    # the rows with the largest id of a range also go, as lent rows, to the range before; the very first to the last
+    # range, and to those of null ids
+    first = F.array(F.lit(len(ends)), *([F.lit(-1 - k) for k in range(spare)] if nulls else []))
+    goes = F.when(F.col("doc_id") == F.lit(top).cast("long"), first).when(F.col("_upto") > F.col("_under"), F.array(F.col("bucket") - 1))
+    rows = docs.select("doc_id", "text", "bucket", F.lit(False).alias("lent")).unionByName(docs.where(~null).select(
+        "doc_id", "text", F.explode(goes).alias("bucket"), F.lit(True).alias("lent")))
     ahead = F.when(F.col("bucket") < 0, ~F.col("lent")).otherwise(F.col("lent"))  # lent rows come last, for null ids first
     rows = rows.withColumn("late", ahead).repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions(
         "bucket", "late", F.col("doc_id").desc(), "text").select("bucket", "lent", "doc_id", "text")

@@ -151,6 +151,7 @@ _LATIN = "".join(map(chr, range(0xC0, 0x100)))
 #: As many single-byte characters that no word holds, since levenshtein counts bytes.
 _BYTES = "".join(c for c in map(chr, range(1, 128)) if not c.islower() and c not in "'\\")[:len(_LATIN)]
 
+#: form_n is a decimal without places: as a nullable whole number it is read like the nullable long of Spark.
 SPELLING = f"""
 WITH RECURSIVE {_CRC_TABLE},
 found AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
@@ -180,5 +181,5 @@ chain(word, last, onward) AS (
   SELECT word, word, form FROM formed
   UNION ALL
   SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.onward = f.word)
-SELECT formed.word, form, last AS root, n, n_near, form_n FROM formed JOIN chain ON formed.word = chain.word AND onward IS NULL
+SELECT formed.word, form, last AS root, n, n_near, CAST(form_n AS DECIMAL(18, 0)) AS form_n FROM formed JOIN chain ON formed.word = chain.word AND onward IS NULL
 """

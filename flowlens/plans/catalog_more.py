@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import response as R
-from ..operators.analytics import event_id
+from ..operators.analytics import alert_feed, event_id
 from ..operators.scoring import EMIT_ORDER
 from ..operators.windows import global_rank
 from ..schema import KEY_COLS
 from ..settings import Policy
 from . import context as C
-from .catalog import EVENT_ID_SQL, KF, KEYF, ORDER_ASC, PROTO_SQL, REGISTRY, register
+from .catalog import EVENT_ID_SQL, KF, KEYF, ORDER_ASC, ORDER_DESC, PROTO_SQL, REGISTRY, register
 from .oracle import scored_ctes, with_ctes
 
 # Response policy of the registered queries: auto-block on, nothing enforced.
@@ -72,6 +72,16 @@ def _intervals_ctes() -> list[str]:
 
 
 # == W5 / R1 ==================================================================
+@register("alert_feed_actions", with_ctes(_actions_ctes(), f"""
+SELECT {EVENT_ID_SQL} AS id, emit_us, status, severity, COALESCE(src_ip, 'unknown') AS src_ip,
+  COALESCE(dst_ip, 'unknown') AS dst_ip, {PROTO_SQL} AS protocol, threat_score, reason, src_ip AS flow_key,
+  action_type AS action
+FROM act2 WHERE status IN ('ATTACK', 'SUSPICIOUS') ORDER BY {ORDER_DESC} LIMIT 500"""))
+def q_alert_feed_actions(spark, sf):
+    """A6 over the actions: the last 500 alerts with what was done about each, blocks among them."""
+    return alert_feed(actions(spark, sf), 500, "suspicious")
+
+
 @register("response_actions", with_ctes(_actions_ctes(), f"SELECT {KF}, alert_count, action_type, action_message FROM act2"))
 def q_response_actions(spark, sf):
     """R1+W5: running alert count per source and the observe/watch/block action."""

@@ -591,3 +591,14 @@ def test_spelling(spark, texts):
         assert Counter(map(tuple, got)) == want
     assert spelling.spelling_variants(frame(spark, [(1, None), (2, "")])).count() == 0
     assert spelling.spelling_variants(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_chat_slices_are_bounded_in_bytes(spark):
+    """Long turns: slices hold no more than their bytes and one turn; their texts one after another are the whole."""
+    rows = [(1, i, "ann" if i % 2 else "bob", f"{i}:" + "x" * (i % 7) * 100) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    whole = {(r.speaker, r.part): r.text for r in chat.rotate_perspectives(df).collect()}
+    cut = chat.rotate_perspectives(df, slice_bytes=2000).collect()
+    assert len(whole) == 2 and len(cut) > 20 and all(len(r.text) < 2000 + 700 for r in cut)
+    for key, text in whole.items():
+        assert "".join(r.text for r in sorted(cut, key=lambda r: r.slice) if (r.speaker, r.part) == key) == text

@@ -2,6 +2,7 @@
 
 * routine: StandardScaler + GBTClassifier (400 trees, depth 7, step 0.05,
   row and feature subsampling 0.9, class weight ``scale_pos_weight``);
+  :func:`~flowlens.operators.boosting.train_boosted` is the second-order form with an L2 term and columns drawn for each tree;
 * anomaly: min-max scaling + PCA bottleneck of 12; the score is the mean
   squared reconstruction error of the centred vector;
   ``train_autoencoder`` is the non-linear form: a bottleneck network that
@@ -36,6 +37,7 @@ from pyspark.sql import types as T
 from ..schema import FEATURES, LABEL
 from ..session import materialised
 from ..settings import DEFAULT_FLOW, DEFAULT_THRESHOLDS, FlowConfig, Thresholds
+from .boosting import BoostedModel, boosted_scores
 from .dataset import class_weights, stratified_split
 from .evaluation import evaluate, exact_quantiles
 from .networks import AttentionNet, Autoencoder, fit_network, predict_column
@@ -71,17 +73,22 @@ def _fit_persisted(pipe: Pipeline, data: DataFrame) -> PipelineModel:
         cached.unpersist()
 
 
-def routine_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
+def routine_scores(model: PipelineModel | BoostedModel, df: DataFrame) -> DataFrame:
+    if isinstance(model, BoostedModel):
+        return boosted_scores(model, df)
     out = model.transform(df)
     return out.withColumn("routine_score", _proba1(out)).drop("vec", "scaled", "rawPrediction", "probability")
 
 
-def feature_importances(model: PipelineModel, top: int = 12) -> DataFrame:
-    """O2: the top GBT feature importances."""
+def feature_importances(model: PipelineModel | BoostedModel, top: int = 12) -> DataFrame:
+    """O2: the top feature importances of the boosted trees."""
     from pyspark.sql import SparkSession
 
-    imp = model.stages[-1].featureImportances.toArray()
-    rows = sorted(zip(FEATURES, map(float, imp)), key=lambda t: (-t[1], t[0]))[:top]
+    if isinstance(model, BoostedModel):
+        shares = model.importances().items()
+    else:
+        shares = zip(FEATURES, map(float, model.stages[-1].featureImportances.toArray()))
+    rows = sorted(shares, key=lambda t: (-t[1], t[0]))[:top]
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 
 
@@ -277,17 +284,17 @@ def train_forest(train: DataFrame, feature_cols: list[str], seed: int = 42, tree
 @dataclass(frozen=True)
 class Detectors:
     """Trained models of the barriers; None takes the surrogate."""
-    routine: PipelineModel | None = None
+    routine: PipelineModel | BoostedModel | None = None
     anomaly: AnomalyModel | AutoencoderModel | None = None
     context: ContextModel | None = None
 
 
 def save_detectors(spark, detectors: Detectors, model_dir: str) -> None:
     """Write the models under ``model_dir`` (shared storage); the anomaly threshold lies in the model's row."""
-    if detectors.routine is not None:
-        detectors.routine.write().overwrite().save(os.path.join(model_dir, "routine"))
-    for sub, model in (("anomaly", detectors.anomaly), ("context", detectors.context)):
-        if model is not None:
+    for sub, model in (("routine", detectors.routine), ("anomaly", detectors.anomaly), ("context", detectors.context)):
+        if isinstance(model, PipelineModel):
+            model.write().overwrite().save(os.path.join(model_dir, sub))
+        elif model is not None:
             row = (type(model).__name__, json.dumps(dataclasses.asdict(model)))
             spark.createDataFrame([row], _MODEL_SCHEMA).write.mode("overwrite").parquet(os.path.join(model_dir, sub))
 
@@ -295,9 +302,21 @@ def save_detectors(spark, detectors: Detectors, model_dir: str) -> None:
 _MODEL_SCHEMA = "kind string, fields string"
 
 
-def _load_row(spark, path: str) -> AnomalyModel | AutoencoderModel | ContextModel:
+def _load_routine(spark, path: str) -> PipelineModel | BoostedModel:
+    """Either form; the error of the pipeline where neither loads."""
+    try:
+        return PipelineModel.load(path)
+    except Exception:
+        try:
+            return _load_row(spark, path)
+        except Exception:  # noqa: BLE001 - the first error says more
+            pass
+        raise
+
+
+def _load_row(spark, path: str) -> AnomalyModel | AutoencoderModel | ContextModel | BoostedModel:
     row = spark.read.schema(_MODEL_SCHEMA).parquet(path).first()
-    kinds = {c.__name__: c for c in (AnomalyModel, AutoencoderModel, ContextModel)}
+    kinds = {c.__name__: c for c in (AnomalyModel, AutoencoderModel, ContextModel, BoostedModel)}
 
     def fixed(x):
         return tuple(map(fixed, x)) if isinstance(x, list) else x
@@ -308,7 +327,7 @@ def _load_row(spark, path: str) -> AnomalyModel | AutoencoderModel | ContextMode
 def _load(spark, model_dir: str) -> dict:
     """Per saved model its value, or the error that loading raised."""
     found = {}
-    for sub, read in (("routine", PipelineModel.load), ("context", lambda path: _load_row(spark, path)),
+    for sub, read in (("routine", lambda path: _load_routine(spark, path)), ("context", lambda path: _load_row(spark, path)),
                       ("anomaly", lambda path: _load_row(spark, path))):
         try:
             found[sub] = read(os.path.join(model_dir, sub))

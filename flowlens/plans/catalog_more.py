@@ -608,6 +608,7 @@ def q_binary_verdict(spark, sf):
 # =============================================================================
 from ..operators import evaluation as EV  # noqa: E402
 from ..operators import models as MD  # noqa: E402
+from ..operators.boosting import train_boosted  # noqa: E402
 from ..streaming.replay import run_to_table, work_dir  # noqa: E402
 
 
@@ -719,6 +720,15 @@ def q_train_routine(spark, sf):
     return EV.evaluate(scored, "label", "pred", "routine_score")
 
 
+@register("train_boosted")
+def q_train_boosted(spark, sf):
+    """M8+M16: boosted trees with an L2 term, columns drawn for each tree (400 trees, depth 7); hold-out metrics."""
+    train, test = _train_test(spark, sf)
+    scored = MD.routine_scores(train_boosted(train), test)
+    scored = scored.withColumn("pred", (F.col("routine_score") >= 0.5).cast("int"))
+    return EV.evaluate(scored, "label", "pred", "routine_score")
+
+
 @register("feature_importances")
 def q_feature_importances(spark, sf):
     """O2: top-12 feature importances of the routine GBT."""

@@ -703,7 +703,7 @@ def _train_test(spark, sf):
 
 
 def _routine_model(spark, sf):
-    """The routine GBT, fitted once per session and scale (shared by M8 and O2)."""
+    """The routine GBT, fitted once per session and scale."""
     k = C._key(spark, sf, "routine-model")
     if k not in C._CACHE:
         train, _ = _train_test(spark, sf)
@@ -711,6 +711,15 @@ def _routine_model(spark, sf):
     return C._CACHE[k]
 
 
+def _boosted_model(spark, sf):
+    """The second-order trees, fitted once per session and scale (shared by M8, O2 and the saved detectors)."""
+    k = C._key(spark, sf, "boosted-model")
+    if k not in C._CACHE:
+        train, _ = _train_test(spark, sf)
+        C._CACHE[k] = train_boosted(train)
+    return C._CACHE[k]
+
+
 @register("train_routine")
 def q_train_routine(spark, sf):
     """M8+M16: GBT routine classifier (400 trees, depth 7) on an 80/20 stratified split; hold-out metrics."""
@@ -723,16 +732,16 @@ def q_train_routine(spark, sf):
 @register("train_boosted")
 def q_train_boosted(spark, sf):
     """M8+M16: boosted trees with an L2 term, columns drawn for each tree (400 trees, depth 7); hold-out metrics."""
-    train, test = _train_test(spark, sf)
-    scored = MD.routine_scores(train_boosted(train), test)
+    _, test = _train_test(spark, sf)
+    scored = MD.routine_scores(_boosted_model(spark, sf), test)
     scored = scored.withColumn("pred", (F.col("routine_score") >= 0.5).cast("int"))
     return EV.evaluate(scored, "label", "pred", "routine_score")
 
 
 @register("feature_importances")
 def q_feature_importances(spark, sf):
-    """O2: top-12 feature importances of the routine GBT."""
-    return MD.feature_importances(_routine_model(spark, sf), 12)
+    """O2: top-12 feature importances of the boosted trees, by mean gain."""
+    return MD.feature_importances(_boosted_model(spark, sf), 12)
 
 
 @register("train_anomaly")
@@ -806,12 +815,12 @@ def vector_to_array_col(df):
 
 
 def _saved_detectors(spark, sf) -> str:
-    """Folder of the session's routine GBT (400 trees of depth 7), and a network each for the anomaly and context barriers."""
+    """Folder of the session's boosted trees (400 of depth 7), and a network each for the anomaly and context barriers."""
     k = C._key(spark, sf, "detectors")
     if k not in C._CACHE:
         path = work_dir(spark, "detectors")
         f = C.flows(spark, sf)
-        MD.save_detectors(spark, MD.Detectors(_routine_model(spark, sf), MD.train_autoencoder(f), _context_model(spark, sf)), path)
+        MD.save_detectors(spark, MD.Detectors(_boosted_model(spark, sf), MD.train_autoencoder(f), _context_model(spark, sf)), path)
         C._CACHE[k] = path
     return C._CACHE[k]
 

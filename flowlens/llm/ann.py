@@ -18,8 +18,8 @@ from .common import prepare, written
 
 #: Links of a node, beam while building and while searching, relaxation of the pruning.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 96, 1.2
-#: Distinct vectors of a shard, and queries that search a shard together.
-SHARD_ROWS, QUERY_ROWS = 8192, 2048
+#: Distinct vectors of a shard, and queries that one task takes through a shard.
+SHARD_ROWS, QUERY_ROWS = 8192, 65536
 _EXPAND = 4
 
 
@@ -172,30 +172,28 @@ def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -
 def search(queries: DataFrame, index: DataFrame, k: int, beam: int = SEARCH_BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of each query, itself left out; ties to the smaller vec_id.
 
-    Every shard answers blocks of ``query_rows`` queries, so that a task holds one shard and one block. Scores are inner
-    products in double precision.
+    Every shard answers blocks of ``query_rows`` queries. A task reads a shard once and then its queries as a stream of
+    Arrow batches, so it holds one shard and one batch, and blocks are large: the index is copied far less often than
+    queries are. Scores are inner products in double precision; a vec_id with several vectors counts with its best.
     """
     prepare(queries)
     n = queries.count()
     blocks = max(1, -(-n // query_rows))
-    q = queries.select("vec_id", "embedding", F.size("embedding").alias("q_dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("q_block"))
-    q = q.join(index.select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard")).distinct(), "q_dim")
-    nodes = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    none = F.lit(None)
+    q = queries.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
+    q = q.join(index.select("dim", "shard").distinct(), "dim").select(
+        "dim", "shard", "block", F.lit(1).alias("kind"), F.lit(0).alias("node"), F.lit(0).alias("entry"), "vec_id", "embedding",
+        none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("links"))
+    nodes = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        "dim", "shard", "block", F.lit(0).alias("kind"), "node", "entry", F.lit(0).cast("long").alias("vec_id"), "embedding", "ids", "links")
     tasks = 2 * blocks * max(1, index.select("dim", "shard").distinct().count())
-    q, nodes = q.repartition(tasks, "q_dim", "q_shard", "q_block"), nodes.repartition(tasks, "dim", "shard", "block")
-
-    def find(key: tuple, asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        if not len(graph) or not len(asked):
-            return empty
-        graph = graph.sort_values("node")
-        x, qs = np.stack(graph.embedding.values), np.stack(asked.embedding.values)
-        degree = max(1, max(map(len, graph.links)))
-        links = np.full((len(x), degree), -1, np.int64)
-        for i, v in enumerate(graph.links.values):
-            links[i, :len(v)] = v
-        found = search_graph(x, links, int(graph.entry.iloc[0]), qs, k + 1, beam)
-        ids = graph.ids.values
+    place = ["dim", "shard", "block"]
+    rows = nodes.unionByName(q).repartition(tasks, *place).sortWithinPartitions(*place, "kind", "node")
+
+    def answer(graph: tuple, asked: pd.DataFrame) -> pd.DataFrame:
+        x, links, entry, ids = graph
+        qs = np.stack(asked.embedding.values)
+        found = search_graph(x, links, entry, qs, k + 1, beam)
         out = []
         for i, own in enumerate(asked.vec_id.values):
             nodes = found[i][found[i] >= 0]
@@ -207,8 +205,28 @@ def search(queries: DataFrame, index: DataFrame, k: int, beam: int = SEARCH_BEAM
             out.append(pd.DataFrame({"query_id": np.full(len(best), own), "vec_id": vec[best], "score": score[best]}))
         return pd.concat(out)
 
-    found = q.groupBy("q_dim", "q_shard", "q_block").cogroup(nodes.groupBy("dim", "shard", "block")).applyInPandas(
-        find, "query_id long, vec_id long, score double")
+    def opened(held: list[pd.DataFrame]) -> tuple:
+        graph = pd.concat(held)
+        links = np.full((len(graph), max(1, max(map(len, graph.links)))), -1, np.int64)
+        for i, v in enumerate(graph.links.values):
+            links[i, :len(v)] = v
+        return np.stack(graph.embedding.values), links, int(graph.entry.iloc[0]), graph.ids.values
+
+    def find(batches):
+        at, held, graph = None, [], None  # a shard's nodes come before its queries
+        for pdf in batches:
+            for key, part in pdf.groupby([*place, "kind"], sort=True):
+                if key[:3] != at:
+                    at, held, graph = key[:3], [], None
+                if key[3] == 0:
+                    held.append(part)
+                    continue
+                if graph is None:
+                    graph, held = opened(held), []
+                yield answer(graph, part)
+
+    found = rows.mapInPandas(find, "query_id long, vec_id long, score double").repartition("query_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -218,7 +236,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> Data
 
     ``vectors(vec_id, embedding)``. Vectors that are null, zero, or hold null or non-finite components, and rows
     without a vec_id, take no part; neither do pairs of different length. Rows that repeat a vec_id with its vector count
-    once. Other columns are ignored; no rows give no rows.
+    once; of a vec_id with several vectors, as a query or a candidate, the best pair counts, and each vec_id is named once. Other columns are ignored; no rows give no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct()

@@ -241,6 +241,24 @@ def test_nearest_neighbours(spark):
     assert hit / (75 * 20) >= 0.9 and set(got) == set(range(0, 1500, 20))  # 2080 has no other vector of its length
 
 
+def test_nearest_neighbours_as_a_stream(spark):
+    """Blocks and small Arrow batches that end anywhere give the rows of one block; an id with two vectors is named once."""
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    rows += [(i, rng.normal(size=8).tolist()) for i in (0, 20, 33)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index, asked = ann.build_index(df, 21, shard_rows=100), df.where("vec_id % 20 = 0")
+    whole = ann.search(asked, index, 20).collect()
+    assert len({(r.query_id, r.vec_id) for r in whole}) == len(whole) == 15 * 20 + 3 * 20
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = ann.search(asked, index, 20, query_rows=5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in cut} == {(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in whole}
+
+
 def test_chat(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo <|im_end|>"), (1, 3, "ann", None), (1, 3, "ann", None),
              (2, 0, None, "x"), (2, 1, " ", "y"), (3, 0, "system", "alone"), (None, None, "a b", "z"), (None, 1, "user", "z")]

@@ -883,7 +883,7 @@ def q_captures_roundtrip(spark, sf):
 
 @register("captures_split", _CAPTURES_SQL)
 def q_captures_split(spark, sf):
-    """The same files in byte ranges of 16 KiB, each a task that finds its first record by itself."""
+    """The same files in byte ranges of 16 KiB, each of which finds its first record by itself; a task reads one or several."""
     return _positions(CAP.read_captures(spark, _capture_files(spark, sf), split_bytes=1 << 14))
 
 

@@ -4,8 +4,10 @@ import random
 import struct
 
 from flowlens.operators.analytics import filter_packets
+import pyarrow.fs
+
 from flowlens.sources.captures import (
-    Wanted, decode_frame, encode_frame, iter_records, read_captures, stream_captures, write_captures)
+    PcapReader, Wanted, decode_frame, encode_frame, file_records, iter_records, read_captures, stream_captures, write_captures)
 from flowlens.sources.records import RecordFile
 
 
@@ -177,6 +179,40 @@ def test_any_split_gives_the_records_of_the_whole():
     assert ranges(big, 150) == ranges(big, len(big))
 
 
+def test_a_range_far_into_a_file_is_found_nearby():
+    """The search for a range's first record doesn't walk the file from its start; records without data are no obstacle."""
+    frames = [encode_frame(40 + k * 37 % 700, (6, 17)[k % 2], "10.0.0.5", "10.0.2.9", 443, 40_000 + k % 16, 40, 16) for k in range(300)]
+    records = [(1 + k // 900, k % 900 * 1100, b"" if k % 5000 == 9 else frames[k % 300]) for k in range(24_000)]
+    data = pcap([]) + b"".join(pcap([r])[24:] for r in records)
+
+    class At:
+        count = 0
+
+        def read_at(self, n, at):
+            At.count += n
+            return data[at:at + n]
+
+    whole = ranges(data, len(data), 1 << 18)
+    assert len(data) > 9 << 20 and len(whole) == 24_000
+    begin = {r[0] - 16 - r[2]: r for r in whole}
+    for start in (5 << 20, 7 << 20, (8 << 20) + 123):
+        At.count = 0
+        got = list(RecordFile(At(), len(data), 1 << 18).records(start, start + (1 << 14)))
+        assert got == [r for at, r in begin.items() if start <= at < start + (1 << 14)] and At.count < 5 << 20
+
+
+def test_many_ranges_are_few_tasks(tmp_path):
+    path = tmp_path / "big.pcap"
+    path.write_bytes(pcap(planted(150)))
+    size = path.stat().st_size
+    parts = PcapReader({"files": f"{path}\t{size}", "split_bytes": "20"}).partitions()
+    assert 100 < len(parts) <= 1024 < size // 20
+    assert [p.start for p in parts[1:]] == [p.stop for p in parts[:-1]] and (parts[0].start, parts[-1].stop) == (0, size)
+    fs = pyarrow.fs.LocalFileSystem()
+    whole = list(file_records(fs, str(path), 0, size))
+    assert list(file_records(fs, str(path), 0, size, step=4000)) == whole and len(whole) == 150
+
+
 def test_growth_gives_each_record_once():
     data = pcap(planted(60))
 

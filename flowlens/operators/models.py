@@ -61,14 +61,22 @@ def train_routine(train: DataFrame, seed: int = 42, max_iter: int = 400, max_dep
     return _fit_persisted(pipe, data.select(*FEATURES, LABEL, "_w"))
 
 
+#: Rows of a task of an iterative fit, where there are fewer than the shuffle's partitions give.
+FIT_ROWS = 16_384
+
+
 def _fit_persisted(pipe: Pipeline, data: DataFrame) -> PipelineModel:
     """Iterative estimators scan their input once per iteration: materialise
-    the (narrow) training input once, fit, release it."""
+    the (narrow) training input once, fit, release it.
+
+    A fit is thousands of short stages with a task for each partition of its
+    input, so the partitions follow the rows, not the shuffle's setting.
+    """
     from pyspark import StorageLevel
 
     cached = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return pipe.fit(cached)
+        return pipe.fit(cached.coalesce(max(1, -(-cached.count() // FIT_ROWS))))
     finally:
         cached.unpersist()
 

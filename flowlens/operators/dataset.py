@@ -75,16 +75,13 @@ def stratified_split(df: DataFrame, test_frac: float, seed: int = 42, row_id: Co
     """Exact stratified split; adds ``is_test``.
 
     Per class, the first ``round(frac * n_class)`` rows in seeded md5 order go
-    to the test side (class counts: one tiny aggregate). Ranks are taken in
-    ranges of the first ``digits`` hex digits of the order key.
+    to the test side; rows without a label are a class of their own. Ranks and
+    class counts are taken in ranges of the first ``digits`` hex digits of the
+    order key, so rows are never dealt by their class alone.
     """
     rid = row_id if row_id is not None else F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
     keyed = df.withColumn("_k", shuffle_key(seed, rid))
-    ranked = global_rank(keyed, [label_col], ["_k"], "_r", bucket=F.substring("_k", 1, digits))
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    # rows without a label are a class of their own
-    counts = counts.withColumnRenamed(label_col, "_label")
-    out = ranked.join(counts, F.col(label_col).eqNullSafe(F.col("_label"))).drop("_label")
+    out = global_rank(keyed, [label_col], ["_k"], "_r", bucket=F.substring("_k", 1, digits), total="_n")
     cut = F.floor(F.col("_n") * F.lit(float(test_frac)) + F.lit(0.5))
     return out.withColumn("is_test", F.col("_r") <= cut).drop("_k", "_r", "_n")
 

@@ -1,8 +1,31 @@
 """Work that must not grow faster than the rows: how often an input is read, how many tasks a fit takes."""
 
+from flowlens.operators import dataset as DS
 from flowlens.operators import models as MD
 
 
+def counted(df):
+    """``df`` and a counter of the rows that were read of it."""
+    rows = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), rows
+
+
+def test_split_reads_its_input_once(spark):
+    df = spark.createDataFrame([(k, None if k % 10 == 9 else int(k % 3 == 0)) for k in range(600)], "id long, label int")
+    table, rows = counted(df)
+    out = DS.stratified_split(table, 0.25, 42, table["id"]).collect()
+    assert rows.value == 600 == len(out)
+    for label in (0, 1, None):
+        mine = [r.is_test for r in out if r.label == label]
+        assert sum(mine) == int(len(mine) * 0.25 + 0.5)
+
+
 def test_partitions_of_a_fit_follow_its_rows(spark):
     class Fit:
         def fit(self, data):

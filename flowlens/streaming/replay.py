@@ -14,7 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.windows import with_bucket
 from ..session import ensure_checkpoint_dir
 from .flows import with_event_time
 
@@ -31,17 +33,25 @@ SLICE_ROWS = 2_000_000
 def write_slices(table: DataFrame, path: str, order: list[str], files: int = 8) -> DataFrame:
     """Write ``table`` as slices in ``order``, one after another (the file
     source takes files in modification order); returns the first slice.
-    There are ``files`` of them, more where one would pass ``SLICE_ROWS``."""
-    at = order[0]
+    There are ``files`` of them, more where one would pass ``SLICE_ROWS``.
+
+    Rows are dealt to their slices once, beside ``path``; each slice is then
+    sorted from its own rows, so the whole table isn't scanned for every slice.
+    """
+    at, spark = order[0], table.sparkSession
     files = max(files, -(-table.count() // SLICE_ROWS))
     cuts = table.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 10000).alias("q")).first()["q"]
-    edges = [None, *sorted({int(x) for x in cuts or []}), None]
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        part = table if lo is None else table.filter(F.col(at) >= lo)
-        part = part if hi is None else part.filter(F.col(at) < hi)
-        (part.coalesce(1).sortWithinPartitions(*order)
+    cuts = sorted({int(x) for x in cuts or []})
+    if cuts:
+        table = table.filter(F.col(at).isNotNull())
+    dealt, n = path.rstrip("/") + "-dealt", len(cuts) + 1
+    with_bucket(table, at, cuts).repartition(n, "_bkt").write.mode("overwrite").partitionBy("_bkt").parquet(dealt)
+    # a slice without rows has no folder in ``dealt``
+    every = spark.read.schema(T.StructType([*table.schema.fields, T.StructField("_bkt", T.LongType())])).parquet(dealt)
+    for i in range(n):
+        (every.filter(F.col("_bkt") == i).drop("_bkt").coalesce(1).sortWithinPartitions(*order)
          .write.mode("overwrite").parquet(os.path.join(path, f"part{i:04d}")))
-    return table.sparkSession.read.parquet(os.path.join(path, "part0000"))
+    return spark.read.parquet(os.path.join(path, "part0000"))
 
 
 def write_ordered(packets: DataFrame, path: str, files: int = 8, sentinel_gap_us: int = 400_000_000) -> None:

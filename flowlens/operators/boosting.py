@@ -1,10 +1,10 @@
 """Boosted trees with second-order gains (M8): histograms of gradients that Spark sums level by level.
 
-Features become quantile bins once. A round grows one tree over its own share of the rows and of the columns: for each level,
-every task adds up (gradient, curvature) by node, column and bin over its Arrow batches, one aggregate by node sums the tasks,
-and the driver picks the cuts. What reaches the driver in a level is nodes x columns x bins x 2 numbers, whatever the number
-of rows (a 64th node, 52 columns and 64 bins: 3.4 MB). Margins are written with the rows every ``KEEP`` rounds; in between
-tasks replay the trees that came since.
+Features become quantile bins once, and rows blocks that executors hold. A round grows one tree over its own share of the
+rows and of the columns: for each level, every task adds up (gradient, curvature) by node, column and bin over its blocks, and
+the sums of all tasks meet by node, where the best cut is picked. What reaches the driver in a level is a cut for each node,
+whatever the number of rows. The blocks of a round hold the margins after the trees before it, so a level walks its own tree
+only; every ``KEEP`` rounds they are written, as a start for a lost executor.
 """
 
 from __future__ import annotations
@@ -13,19 +13,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import FEATURES, LABEL
-from ..session import materialised, ship_package
+from ..session import ensure_checkpoint_dir, materialised, ship_package
+from .blocks import HELD, blocks
 from .dataset import class_weights
 
-#: Rounds after which margins are written anew.
+#: Rounds after which the blocks are written anew.
 KEEP = 25
-_ROWS = "id long, x binary, y double, w double, margin double"
 
 
 @dataclass(frozen=True)
@@ -89,83 +88,61 @@ def _columns(batch, names) -> np.ndarray:
     return np.where(np.isnan(x), 0.0, x)
 
 
-def _binned(data: DataFrame, features: tuple[str, ...], cuts: list[np.ndarray]) -> DataFrame:
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _columns(b, features)
-            bins = np.column_stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)]).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in bins], pa.binary()), b.column("y"),
-                                              b.column("w"), pa.array(np.zeros(len(x)))], names=["id", "x", "y", "w", "margin"])
-
-    return materialised(data.mapInArrow(run, _ROWS), "boost-rows")
-
-
-def _bins(batch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width)
-
-
-def _margins(batch, x: np.ndarray, trees: list, depth: int) -> np.ndarray:
-    margin = batch.column(4).to_numpy().copy()
-    for feature, cut, value in trees:
-        margin += value[_walk(x, feature, cut, depth)]
-    return margin
-
-
-def _advance(rows: DataFrame, trees: list, depth: int, width: int) -> DataFrame:
-    """The rows with the margins after ``trees``, written."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            if b.num_rows:
-                margin = _margins(b, _bins(b, width), trees, depth)
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(margin)], names=b.schema.names)
-
-    return materialised(rows.mapInArrow(run, _ROWS), "boost-rows")
-
-
-def _level(rows: DataFrame, trees: list, tree: tuple, level: int, depth: int, nodes: list[int], columns: np.ndarray, width: int,
-           bins: int, share: float, salt: int) -> dict[int, np.ndarray]:
-    """Per node of the level its sums (column, bin, gradient and curvature)."""
+def _binned(data: DataFrame, features: tuple[str, ...], cuts: list[np.ndarray]) -> RDD:
+    """Blocks (ids, bins of a column in a row, label, weight, margin)."""
+    def convert(b) -> tuple:
+        x = _columns(b, features)
+        bins = np.column_stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)]).astype(np.uint8)
+        return (b.column("id").to_numpy(), bins, *(b.column(k).to_numpy() for k in ("y", "w")))
+
+    found = blocks(data, convert, len(features) + 32, "boost-rows")
+    return found.map(lambda b: (b[0], np.ascontiguousarray(b[1].T), b[2], b[3], np.zeros(len(b[0]))))
+
+
+def _advanced(block: tuple, tree: tuple, depth: int) -> tuple:
+    """The block with the margins after ``tree``."""
+    feature, cut, value = tree
+    return (*block[:4], block[4] + value[_walk(block[1].T, feature, cut, depth)])
+
+
+def _sums(block: tuple, tree: tuple, level: int, at: np.ndarray, count: int, columns: np.ndarray, bins: int, share: float,
+          salt: int, sums: np.ndarray) -> np.ndarray:
+    """Adds the block's rows to ``sums`` (node, column, bin, gradient and curvature); which of the level's nodes it has met."""
+    ids, x, y, w, margin = block
+    here = at[_walk(x.T, tree[0], tree[1], level)]
+    use = here >= 0
+    if share < 1:
+        use &= _draw(ids, salt) < share
+    met = np.zeros(count, bool)
+    here, y, w, p = here[use], y[use], w[use], _sigmoid(margin[use])
+    met[here] = True
+    first, gradient, curvature = here * bins, w * (p - y), w * p * (1 - p)
+    for j, f in enumerate(columns):
+        cell = first + x[f][use]
+        for k, g in enumerate((gradient, curvature)):
+            sums[:, j, :, k] += np.bincount(cell, g, count * bins).reshape(count, bins)
+    return met
+
+
+def _level(rows: RDD, tree: tuple, level: int, depth: int, nodes: list[int], columns: np.ndarray, bins: int, share: float,
+           salt: int, reg_lambda: float, min_weight: float) -> dict[int, tuple]:
+    """Per node of the level that has rows: its sums of gradient and curvature, and its best cut."""
     at = np.full(2 ** (depth + 1) - 1, -1)
     at[nodes] = np.arange(len(nodes))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    def run(found: Iterator[tuple]) -> Iterator[tuple]:
         sums = np.zeros((len(nodes), len(columns), bins, 2))
         met = np.zeros(len(nodes), bool)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _bins(b, width)
-            here = at[_walk(x, tree[0], tree[1], level)]
-            use = here >= 0
-            if share < 1:
-                use &= _draw(b.column(0).to_numpy(), salt) < share
-            if not use.any():
-                continue
-            p = _sigmoid(_margins(b, x, trees, depth)[use])
-            y, w = (b.column(k).to_numpy()[use] for k in (2, 3))
-            here, x = here[use], x[use]
-            met[here] = True
-            for j, f in enumerate(columns):
-                cell = here * bins + x[:, f]
-                for k, g in enumerate((w * (p - y), w * p * (1 - p))):
-                    sums[:, j, :, k] += np.bincount(cell, g, len(nodes) * bins).reshape(len(nodes), bins)
-        some = np.flatnonzero(met)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes)[some]), pa.array(
-                list(sums[some].reshape(len(some), -1)), pa.list_(pa.float64()))], names=["node", "sums"])
-
-    parts = rows.mapInArrow(run, "node long, sums array<double>")
-    total = parts.groupBy("node").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
-    found = total.select("node", vector_to_array("sums").alias("sums")).collect()  # nodes x columns x bins x 2 numbers
-    return {r["node"]: np.array(r["sums"]).reshape(len(columns), bins, 2) for r in found}
+        for b in found:
+            met |= _sums(b, tree, level, at, len(nodes), columns, bins, share, salt, sums)
+        for i in np.flatnonzero(met).tolist():
+            yield nodes[i], sums[i]
+
+    def cut(s: np.ndarray) -> tuple:
+        return s[0].sum(axis=0), _best_cut(s, reg_lambda, min_weight)
+
+    total = rows.mapPartitions(run).reduceByKey(np.add, min(len(nodes), rows.context.defaultParallelism))
+    return dict(total.mapValues(cut).collect())  # a cut for each node
 
 
 def _best_cut(sums: np.ndarray, reg_lambda: float, min_weight: float):
@@ -215,20 +192,24 @@ def train_boosted(train: DataFrame, rounds: int = 400, depth: int = 7, step: flo
     if not found or not found[0]:
         return BoostedModel(features, depth, ())
     cuts = [np.unique(c) for c in found]
-    rows = _binned(data, features, cuts)
+    ensure_checkpoint_dir(spark)
+    rows, before = _binned(data, features, cuts).persist(HELD), None
     width, rng = len(features), np.random.default_rng(seed)
-    trees, pending = [], []
+    trees = []
     for r in range(rounds):
         columns = np.sort(rng.choice(width, max(1, round(column_share * width)), replace=False))
         tree, grown = (np.full(2 ** (depth + 1) - 1, -1), np.zeros(2 ** (depth + 1) - 1), np.zeros(2 ** (depth + 1) - 1)), {}
         nodes = [0]
         for level in range(depth):
-            sums = _level(rows, pending, tree, level, depth, nodes, columns, width, bins, subsample, seed * 1_000_003 + r)
-            if level == 0 and 0 in sums:
-                grown[0] = (-1, 0.0, _leaf(sums[0][0].sum(axis=0), reg_lambda, step), 0.0)
+            found = _level(rows, tree, level, depth, nodes, columns, bins, subsample, seed * 1_000_003 + r, reg_lambda, min_weight)
+            if before is not None:  # the blocks of this round are there
+                before.unpersist()
+                before = None
+            if level == 0 and 0 in found:
+                grown[0] = (-1, 0.0, _leaf(found[0][0], reg_lambda, step), 0.0)
             nodes = []
-            for node in sorted(sums):
-                best = _best_cut(sums[node], reg_lambda, min_weight)
+            for node in sorted(found):
+                best = found[node][1]
                 if best is None:
                     continue
                 gain, j, b, left, right = best
@@ -243,10 +224,14 @@ def train_boosted(train: DataFrame, rounds: int = 400, depth: int = 7, step: flo
                 break
         for node, (_, _, value, _) in grown.items():
             tree[2][node] = value
-        pending.append(tree)
         trees.append(tuple((n, f, float(cuts[f][int(c)]) if f >= 0 else 0.0, v, g) for n, (f, c, v, g) in sorted(grown.items())))
-        if len(pending) == KEEP and r + 1 < rounds:
-            rows, pending = _advance(rows, pending, depth, width), []
+        if r + 1 < rounds:
+            deepest = max(grown, default=0)
+            steps = (deepest + 1).bit_length() - 1
+            rows, before = rows.map(lambda b, t=tree, d=steps: _advanced(b, t, d)).persist(HELD), rows
+            if (r + 1) % KEEP == 0:
+                rows.checkpoint()
+    rows.unpersist()
     return BoostedModel(features, depth, tuple(trees))
 
 

@@ -1,13 +1,17 @@
 """Boosted trees: against a brute force over all cuts, with and without the L2 term; saved, read back and scored with."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators import boosting as B
 from flowlens.operators import models as MD
+from flowlens.operators.blocks import merged
 from flowlens.operators.evaluation import roc_auc
 from flowlens.plans import context as C
+from flowlens.session import ensure_checkpoint_dir
 from flowlens.streaming.replay import work_dir
 
 from conftest import SF001
@@ -78,6 +82,25 @@ def test_margins_written_between_rounds_change_nothing(spark, monkeypatch):
     assert all(len(u) <= 2 for u in used) and len(set(map(frozenset, used))) > 1  # columns are drawn for each tree
 
 
+def test_rounds_scan_no_table(spark, monkeypatch):
+    """Rows are written and read as a table once; a level walks its own tree, not those of the rounds before it."""
+    _, _, df = table(spark)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before, held = set(os.listdir(folder)), len(spark.sparkContext._jsc.getPersistentRDDs())
+    monkeypatch.setattr(B, "KEEP", 2)
+    model = B.train_boosted(df, rounds=7, depth=3, bins=32, features=NAMES)
+    assert len(model.trees) == 7
+    assert len([f for f in set(os.listdir(folder)) - before if f.startswith("boost-rows")]) == 1
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
+
+
+def test_small_blocks_are_joined():
+    parts = [(np.arange(n), np.ones((n, 2))) for n in (3, 1, 4, 1, 5)]
+    out = list(merged(iter(parts), 4))
+    assert [len(b[0]) for b in out] == [4, 4, 6] and all(len(b[0]) == len(b[1]) for b in out)
+    assert np.concatenate([b[0] for b in out]).tolist() == np.concatenate([b[0] for b in parts]).tolist()
+
+
 def test_unlike_rows_and_tables(spark):
     _, _, df = table(spark)
     odd = df.withColumn("f1", F.when(F.col("row") % 7 == 0, None).when(F.col("row") % 7 == 1, float("nan")).otherwise(F.col("f1")))

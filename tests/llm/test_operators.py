@@ -391,6 +391,55 @@ def test_passages_of_common_words(spark, vocabulary):
     assert sum((1001 + 2 * k, 1000 + 2 * k) in got for k in range(60)) == 60
 
 
+def test_passages_of_a_document_in_between(spark):
+    """The source is neither the first nor the nearest document that holds the seeds: those hold pieces, in another order."""
+    rng = np.random.default_rng(31)
+    words = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for i in range(10):
+        passage = words(60)
+        pieces = lambda: " ".join(w for k in rng.permutation(12) for w in [*passage[5 * k:5 * k + 9], *words(40)])  # noqa: E731, B023
+        rows += [(i, pieces()), (100 + i, " ".join([*words(100), *passage, *words(100)])), (200 + i, pieces()),
+                 (300 + i, " ".join([*words(50), *passage, *words(50)]))]
+    got = {(r.doc_id, r.source_id, r.start_word, r.end_word) for r in substring.repeated_passages(frame(spark, rows)).collect()}
+    assert got == {(300 + i, 100 + i, 50, 110) for i in range(10)}
+
+
+def test_links_against_all_pairs(spark):
+    """Rows of few places are linked with all before them, in whatever batches they come; of many places the first and the
+    nearest document, and all that share the words behind them."""
+    rng = np.random.default_rng(32)
+    rows = [(int(s) << 24 | int(f), int(d), i, int(x)) for i, (s, f, d, x) in enumerate(zip(
+        rng.integers(-40, 40, 3000) ** 3 // 1000, rng.integers(0, 3, 3000), rng.integers(0, 400, 3000), rng.integers(0, 12, 3000)))]
+    rows = sorted(set(rows))
+    held, tail = defaultdict(list), defaultdict(list)
+    for h, doc, pos, far in rows:
+        held[h >> 24].append((doc, pos))
+        held["h", h].append((doc, pos))
+        tail[h, far].append((doc, pos))
+    want, seen = set(), set()
+    for h, doc, pos, far in rows:
+        name = h >> 24 if len(held[h >> 24]) <= 8 else ("h", h)
+        group = sorted(held[name])
+        if len(group) <= 8:
+            want |= {(doc, d, pos, p) for d, p in group if d < doc}
+            continue
+        for g in (group, sorted(tail[h, far])):
+            before = [x for x in g if x[0] < doc]
+            if len(g) <= 8:
+                want |= {(doc, d, pos, p) for d, p in before}
+            elif before:
+                want |= {(doc, *x) for x in [(before[0][0], pos, before[0][1]), (before[-1][0], pos, min(p for d, p in g if d == before[-1][0]))]}
+    frame_ = spark.createDataFrame(rows, "h long, doc_id long, pos int, far int")
+    for batch in (7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            seen = {tuple(r) for r in substring.earlier_holders(frame_, 8).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert seen == want
+
+
 def test_passages_against_all_pairs(spark):
     """Exact shared runs of 50 words and more between any two documents of a small table: each is named, or lies in a
     passage that is, whose source in turn names where it is from; a common seed has many places."""

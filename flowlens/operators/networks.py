@@ -1,8 +1,8 @@
 """Small networks trained by gradients that Spark sums over partitions.
 
-A round sends the parameters to the tasks, each task adds up the gradient of its rows, Arrow batch by Arrow batch, and
-the sums meet in one vector aggregate; the driver takes an Adam step. Parameters are a few thousand numbers, whatever the
-number of rows; the training rows are written once and scanned in every round.
+A round sends the parameters to the tasks, each task adds up the gradient of its rows, block by block, and the sums meet in
+a tree of additions; the driver takes an Adam step. Parameters are a few thousand numbers, whatever the number of rows; the
+training rows are written once, as blocks that executors hold between the rounds.
 
 * :class:`AttentionNet` - a window of rows in their order: rows are embedded with a place of their own, each attends to all
   others, and the sequence as it stands (not a pool of it) goes into the output layer.
@@ -15,13 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialised, ship_package
+from ..session import ship_package
+from .blocks import HELD, blocks
 
 
 class _Net:
@@ -59,6 +58,10 @@ class AttentionNet(_Net):
     width: int = 16
     hidden: int = 16
 
+    @property
+    def inputs(self) -> int:
+        return self.length * self.features
+
     def shapes(self):
         d, t = self.width, self.length
         return {"wx": (self.features, d), "place": (t, d), "wq": (d, d), "wk": (d, d), "wv": (d, d),
@@ -109,6 +112,10 @@ class Autoencoder(_Net):
     hidden: int = 32
     bottleneck: int = 12
 
+    @property
+    def inputs(self) -> int:
+        return self.features
+
     def shapes(self):
         f, h, k = self.features, self.hidden, self.bottleneck
         return {"we": (f, k), "w0": (f, h), "b0": (h,), "w1": (h, k), "wd": (k, f), "w2": (k, h), "b2": (h,), "w3": (h, f), "b3": (f,)}
@@ -152,8 +159,12 @@ def fit_network(net: _Net, data: DataFrame, rounds: int = 100, step: float = 0.0
     from ``theta`` or a random start."""
     spark = data.sparkSession
     ship_package(spark)
-    rows = materialised(data.select("x", "y", "w"), "network-rows")
-    total = rows.agg(F.sum("w")).first()[0]
+
+    def convert(b) -> tuple:
+        return (_matrix(b.column(0)), *(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)))
+
+    rows = blocks(data.select("x", "y", "w"), convert, 8 * (net.inputs + 2), "network-rows").persist(HELD)
+    total = rows.map(lambda b: float(np.nansum(b[2]))).sum()
     theta = net.start(seed) if theta is None else theta
     if not total:
         return theta
@@ -161,21 +172,17 @@ def fit_network(net: _Net, data: DataFrame, rounds: int = 100, step: float = 0.0
     for r in range(1, rounds + 1):
         shared = spark.sparkContext.broadcast(theta)
 
-        def run(batches: Iterator, shared=shared) -> Iterator:
-            import pyarrow as pa
-
+        def run(found: Iterator[tuple], shared=shared) -> Iterator[np.ndarray]:
             acc = np.zeros(net.size)
-            for b in batches:
-                if b.num_rows:
-                    y, w = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-                    acc += net.gradient(shared.value, _matrix(b.column(0)), y, w)[1]
-            yield pa.RecordBatch.from_arrays([pa.array([acc.tolist()], pa.list_(pa.float64()))], names=["g"])
-
-        sums = rows.mapInArrow(run, "g array<double>").select(Summarizer.sum(array_to_vector("g")).alias("g"))
-        g = sums.first()["g"].toArray() / total
+            for x, y, w in found:
+                acc += net.gradient(shared.value, x, y, w)[1]
+            yield acc
+
+        g = rows.mapPartitions(run).treeReduce(np.add) / total
         shared.unpersist()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - step * (m / (1 - 0.9 ** r)) / (np.sqrt(v / (1 - 0.999 ** r)) + 1e-8)
+    rows.unpersist()
     return theta
 
 

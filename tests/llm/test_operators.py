@@ -309,6 +309,53 @@ def test_chains_equal_the_quadratic_recurrence():
         assert abs(score - max(f)) < 1e-9
 
 
+def test_edits_against_the_table_of_distances():
+    rng = np.random.default_rng(31)
+    for _ in range(400):
+        a, b = (rng.integers(0, 4, int(rng.integers(0, 90))).astype(np.uint16) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a.tolist(), 1):
+            new = [i]
+            for j, y in enumerate(b.tolist(), 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert substring.edits(a, b) == row[-1]
+
+
+def test_chains_without_hope_hold_no_passage():
+    """Chains of few and many seeds, edited between them: one that isn't aligned would have had no passage; most chance ones aren't."""
+    rng = np.random.default_rng(32)
+    a_words, b_words, at, bt, anchors, chance = [], [], [], [], [], []
+    for i in range(600):
+        few = i % 2
+        a, b, way = [rng.integers(0, 30, 64)], [rng.integers(0, 30, 64)], []
+        for n in range(int(rng.integers(2, 4 if few else 12))):
+            way += [sum(map(len, a)), sum(map(len, b))]
+            seed = rng.integers(0, 30, 5)
+            gap = rng.integers(0, 30, int(rng.integers(0, 9)))
+            other = gap.copy()
+            other[rng.random(len(gap)) < (0.9 if few else 0.2)] = 77
+            a += [seed, gap]
+            b += [seed, other[:len(gap) - int(rng.integers(0, 2))] if len(gap) else other]
+        if i % 4 == 0:  # what lies around agrees in part
+            same = rng.random(64) < 0.7
+            b[0] = np.where(same, a[0], b[0])
+        a.append(rng.integers(0, 30, 64))
+        b.append(np.where(rng.random(64) < 0.8, a[-1], 78) if i % 8 < 2 else rng.integers(0, 30, 64))
+        way = np.array(way)
+        a_words.append(np.concatenate(a).astype("<u2"))
+        b_words.append(np.concatenate(b).astype("<u2"))
+        at.append(way[0]), bt.append(way[1]), chance.append(few and i % 4 == 3)
+        anchors.append(way - np.tile(way[:2], len(way) // 2))
+    args = ([w.tobytes() for w in a_words], [w.tobytes() for w in b_words], np.array(at), np.array(bt))
+    hope = substring.hopeful(*args, np.concatenate(anchors), np.array([len(w) for w in anchors]), 5, 32 - 1e-6)
+    found = np.array([bool(substring.align(*x, 5, 40, 0.8)) for x in zip(a_words, b_words, at, bt, anchors)])
+    assert not (found & ~hope).any() and found.sum() > 50
+    assert hope[np.array(chance, bool)].mean() < 0.3
+    short = substring.hopeful(*([w[:20] for w in x] for x in args[:2]), *args[2:], np.concatenate(anchors), np.array([len(w) for w in anchors]), 5, 32)
+    assert not short.any()  # seeds beyond the end
+
+
 def test_passages(spark):
     rng = np.random.default_rng(6)
     words = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]

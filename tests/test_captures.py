@@ -3,13 +3,20 @@
 import random
 import struct
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from flowlens.operators.analytics import filter_packets
 import pyarrow.fs
 
 from flowlens.sources.captures import (
-    PcapReader, Wanted, decode_frame, encode_frame, file_records, iter_records, read_captures, stream_captures, write_captures)
+    PcapReader, Wanted, decode_frame, encode_frame, encode_records, file_records, iter_records, read_captures, stream_captures,
+    write_captures)
 from flowlens.sources.records import RecordFile
 
+from helpers import packets, pk
+
 
 def ipv4(proto, src, dst, payload):
     ver_ihl = bytes([0x45, 0, 0, 40]) + b"\x00\x00\x00\x00" + bytes([64, proto]) + b"\x00\x00"
@@ -97,6 +104,42 @@ def test_pcapng_sections_interfaces_and_time_units():
         assert rows[1][4] == (17, "10.0.0.3", "8.8.8.8", 5353, 53, 28, 0)
 
 
+def test_records_of_columns_are_those_of_single_frames(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 3000
+    proto = rng.choice([6, 17, 1, 47], n)
+    rows = {"capture_id": ["c"] * n, "ts_us": rng.integers(0, (1 << 32) * 1_000_000, n), "length": rng.integers(1, 400, n),
+            "wire_length": rng.integers(0, 1 << 32, n), "proto": proto,
+            "src_ip": [f"{a}.0.255.{b}" for a, b in rng.integers(0, 256, (n, 2))], "dst_ip": [f"10.{a}.3.1" for a in rng.integers(0, 256, n)],
+            "src_port": rng.integers(0, 65536, n), "dst_port": rng.integers(0, 65536, n), "header_len": rng.integers(0, 120, n),
+            "tcp_flags": rng.integers(0, 512, n)}
+    rows["length"][:4] = 65535, 65536, 70000, 20
+    batch = pa.RecordBatch.from_pydict(rows)
+    want = b"".join(struct.pack("<IIII", t // 1_000_000, t % 1_000_000, length, wire) + encode_frame(length, *frame)
+                    for _, t, length, wire, *frame in zip(*(batch.column(c).to_pylist() for c in rows)))
+    assert b"".join(bytes(b) for b, _, _ in encode_records(batch)) == want
+    monkeypatch.setattr("flowlens.sources.captures._PIECE", 5000)
+    pieces = [(bytes(b), first, ends) for b, first, ends in encode_records(batch)]
+    assert b"".join(b for b, _, _ in pieces) == want and len(pieces) > 100
+    assert [p[1] for p in pieces[1:]] == np.cumsum([len(p[2]) for p in pieces])[:-1].tolist() and all(len(b) == e[-1] for b, _, e in pieces)
+    with pytest.raises(ValueError):
+        list(encode_records(batch.set_column(7, "src_port", pa.array([70000] * n))))
+
+
+def test_packets_are_made_once_for_their_files(spark, tmp_path):
+    """Ranges of the files come from a pass over the rows: it reads the packets from a table."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for b in rows:
+            made.add(b.num_rows)
+            yield b
+
+    p = packets(spark, [pk(i, i, capture=f"c{i % 3}", length=60 + i) for i in range(200)])
+    write_captures(p.mapInArrow(count, p.schema), str(tmp_path / "out"))
+    assert read_captures(spark, str(tmp_path / "out")).count() == 200 and made.value == 200
+
+
 def test_pcapng_with_a_wrong_block_length_stops():
     section = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
     assert list(iter_records(_Stream(section + struct.pack("<II", 6, 3) + b"\x00" * 40))) == []

@@ -11,8 +11,8 @@ from flowlens.operators.analytics import filter_packets
 import pyarrow.fs
 
 from flowlens.sources.captures import (
-    PcapReader, Wanted, decode_frame, encode_frame, encode_records, file_records, iter_records, read_captures, stream_captures,
-    write_captures)
+    PcapReader, PcapStreamReader, Wanted, decode_frame, decode_frames, encode_frame, encode_records, file_records,
+    iter_records, read_captures, stream_captures, write_captures)
 from flowlens.sources.records import RecordFile
 
 from helpers import packets, pk
@@ -126,6 +126,56 @@ def test_records_of_columns_are_those_of_single_frames(monkeypatch):
         list(encode_records(batch.set_column(7, "src_port", pa.array([70000] * n))))
 
 
+def test_frames_decode_together_as_one_by_one():
+    rng = random.Random(8)
+    links, frames = [], []
+    for _ in range(6000):
+        proto = rng.choice([6, 6, 17, 1, 47])
+        ip = bytearray(ipv4(proto, [10, 0, rng.randrange(3), rng.randrange(256)], rng.randbytes(4), rng.randbytes(rng.randrange(0, 60))))
+        ip[0] = rng.choice([0x45, 0x45, 0x46, 0x4F, 0x40, 0x65])
+        ip[6], ip[7] = rng.choice([(0, 0), (0, 0), (0x40, 0), (0x20, 1), (0, 9), (1, 0)])
+        tags = b"".join(rng.choice([b"\x81\x00", b"\x88\xa8"]) + rng.randbytes(2) for _ in range(rng.choice([0, 0, 1, 2, 5])))
+        kind = rng.choice([b"\x08\x00"] * 4 + [b"\x86\xdd"])
+        link = rng.choice([1, 101, 12, 113, 276, 0, 108, 7])
+        before = {1: rng.randbytes(12) + tags + kind, 113: rng.randbytes(14) + kind, 276: kind + rng.randbytes(18)}.get(
+            link, rng.choice([b"\x02\x00\x00\x00", b"\x00\x00\x00\x02", b"\x1e\x00\x00\x00"]) if link in (0, 108) else b"")
+        frame = before + bytes(ip)
+        links.append(link), frames.append(frame[:rng.choice([len(frame), len(frame), rng.randrange(len(frame) + 1)])])
+    want = [decode_frame(link, f) for link, f in zip(links, frames)]
+    good, columns = decode_frames(links, frames)
+    assert good.tolist() == [w is not None for w in want] and 2000 < good.sum() < 5000
+    assert list(zip(*(c.to_pylist() for c in columns))) == [w for w in want if w is not None]
+    none, columns = decode_frames([7, 1], [b"", b"x"])
+    assert not none.any() and [len(c) for c in columns] == [0] * 7
+
+
+def test_a_stream_reads_a_large_file_in_ranges(tmp_path):
+    """A task for each range of what a file gained; every record comes from one of them, under the seq of the whole file."""
+    path, data = tmp_path / "c.pcap", pcap(planted(90))
+    whole = [r[0] for r in ranges_of(data)]
+    reader = PcapStreamReader({"path": str(tmp_path), "split_bytes": "1000"})
+    last, got, count = reader.initialOffset(), [], []
+    for n in (len(data) // 2 + 3, len(data) - 30, len(data)):
+        path.write_bytes(data[:n])
+        now = reader.latestOffset()
+        parts = reader.partitions(last, now)
+        path.write_bytes(data)  # what comes later is of a later micro-batch
+        got += [s for p in parts for b in reader.read(p) for s in b.column("seq").to_pylist()]
+        count.append(len(parts))
+        last = now
+    assert sorted(got) == whole and len(set(got)) == len(got) == 90 and count[0] > 5
+    one = PcapStreamReader({"path": str(tmp_path), "split_bytes": "0"})
+    assert len(one.partitions(one.initialOffset(), one.latestOffset())) == 1
+
+
+def ranges_of(data):
+    class At:
+        def read_at(self, n, at):
+            return data[at:at + n]
+
+    return list(RecordFile(At(), len(data)).records(0, len(data)))
+
+
 def test_packets_are_made_once_for_their_files(spark, tmp_path):
     """Ranges of the files come from a pass over the rows: it reads the packets from a table."""
     made = spark.sparkContext.accumulator(0)

@@ -322,6 +322,16 @@ def test_edits_against_the_table_of_distances():
         assert substring.edits(a, b) == row[-1]
 
 
+def test_blocks_of_matches_end_with_their_documents():
+    """Matches word by word are one block, of eight at most; the next pair of documents begins another one, wherever it goes on."""
+    pos = np.r_[np.arange(20), np.arange(20, 23), [40, 42]]
+    start, more = substring.blocks(pos, pos + 5, np.r_[True, np.zeros(19, bool), True, np.zeros(4, bool)])
+    assert start.tolist() == [0, 8, 16, 20, 23, 24] and more.tolist() == [7, 7, 3, 2, 0, 0]
+    chained = substring.chain_anchors(pos[start[:3]].tolist(), (pos[start[:3]] + 5).tolist(), more[:3].tolist(), 5, 0.05, 2)
+    assert chained == [([0, 19], [5, 24])]
+    assert substring.chain_anchors([3, 40], [1, 44], [0, 2], 5, 0.05, 1) == [([3, 40, 42], [1, 44, 46])]
+
+
 def test_chains_without_hope_hold_no_passage():
     """Chains of few and many seeds, edited between them: one that isn't aligned would have had no passage; most chance ones aren't."""
     rng = np.random.default_rng(32)

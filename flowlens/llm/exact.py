@@ -4,13 +4,14 @@ Entries. A task reads its part of the documents and keeps one entry for each dis
 hash, its bytes and the doc_ids that hold it (a posting list). So a text that a third of all rows hold is one entry for
 each task. Entries go to the shared folder; all later steps read that table.
 
-Directory. Buckets are named by the first bits of the hash. All start at the depth that gives half-full buckets; a bucket
-that is over its capacity is split by the next bit, in rounds of directory doubling that touch overfull buckets only. A
-bucket of one hash value can't be split: its entries form an overflow chain, which is folded page by page first.
+Directory. Buckets hold the entries whose hash another entry has too; they are named by the first bits of the hash. All
+start at the depth that gives half-full buckets; a bucket that is over its capacity is split by the next bit, in rounds of
+directory doubling that touch overfull buckets only. A bucket of one hash value can't be split: its entries form an
+overflow chain, which is folded page by page first.
 
 Owners. Each owner task takes a contiguous range of keys: the entries and the directory rows of its buckets, in the order
 of the hash. It fills one bucket at a time, chains entries with equal hash and compares their bytes. The entry of a
-hash that no other entry has is a class of its own; its text isn't moved.
+hash that no other entry has is a class of its own; its text isn't moved, and it has no part in the number of owners.
 """
 
 from __future__ import annotations
@@ -150,7 +151,13 @@ def _compared(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "entry long, class long, bucket long")
 
 
-def _fold_chains(entries: DataFrame, bucket_bytes: int) -> list[DataFrame]:
+def _shared_hashes(entries: DataFrame) -> DataFrame:
+    """(h, bytes, n) of each hash that several entries have."""
+    per = entries.groupBy("h").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"))
+    return written(per.where("n > 1"), "shared-hashes")
+
+
+def _fold_chains(entries: DataFrame, shared: DataFrame, bucket_bytes: int) -> list[DataFrame]:
     """Overflow chains, shortened: (entry, class) by round, over the entries that the round before left as classes.
 
     The entries of a hash that doesn't fit a bucket are dealt into pages; each page keeps one entry for each text.
@@ -158,9 +165,8 @@ def _fold_chains(entries: DataFrame, bucket_bytes: int) -> list[DataFrame]:
     steps: list[DataFrame] = []
     live = entries.select("entry", "h", "n_bytes")
     while True:
-        per = live.groupBy("h").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("c"))
-        pages = F.least(F.ceil(F.col("b") / bucket_bytes), F.ceil(F.col("c") / PAGE_ENTRIES))
-        heavy = written(per.where(F.col("b") > bucket_bytes).select("h", pages.alias("pages")).where("pages > 1"), "chains")
+        pages = F.least(F.ceil(F.col("bytes") / bucket_bytes), F.ceil(F.col("n") / PAGE_ENTRIES))
+        heavy = shared.where(F.col("bytes") > bucket_bytes).select("h", pages.alias("pages")).where("pages > 1")
         if heavy.isEmpty():
             return steps
         page = F.pmod(F.xxhash64("entry", F.lit(len(steps))), F.col("pages"))
@@ -172,12 +178,14 @@ def _fold_chains(entries: DataFrame, bucket_bytes: int) -> list[DataFrame]:
         steps.append(written(_compared(rows).select("entry", "class"), "pages"))
         again = steps[-1].where("entry = class").select("entry")
         live = written(live.join(again, "entry", "left_semi"), "live")
+        shared = _shared_hashes(live)
 
 
 def exact_classes(entries: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Entries -> (entry, class): the same class for entries whose bytes are equal; an entry that isn't named is alone."""
     spark = entries.sparkSession
-    steps = _fold_chains(entries, bucket_bytes)
+    shared = _shared_hashes(entries)
+    steps = _fold_chains(entries, shared, bucket_bytes)
     gone = None
     for step in steps:
         moved = step.where("entry <> class").select("entry")
@@ -185,9 +193,8 @@ def exact_classes(entries: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     left = entries.select("h", "entry", "n_bytes", "text")
     if gone is not None:
         left = left.join(gone, "entry", "left_anti").select(*left.columns)
-    weights = written(left.groupBy("h").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")), "weights")
-    directory, depth = build_directory(weights, bucket_bytes)
-    shared = written(weights.where("n > 1").select("h"), "shared-keys")
+        shared = _shared_hashes(left)
+    directory, depth = build_directory(shared, bucket_bytes)
     left = left.join(shared, "h", "left_semi")
     bits = min(depth, max(1, math.ceil(math.log2(4 * shuffle_partitions(spark)))) if depth else 0)
     opening = directory.select(F.col("start").alias("h"), F.lit(None).cast("long").alias("entry"),
@@ -200,7 +207,7 @@ def exact_classes(entries: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
         up = classes.select(F.col("entry").alias("class"), F.col("class").alias("top"))
         folded = step.where("entry <> class").join(up, "class").select("entry", F.col("top").alias("class"))
         classes = classes.union(folded)
-    return classes
+    return written(classes, "entry-classes") if steps else classes
 
 
 def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: int = KEY_BITS,
@@ -213,7 +220,7 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: int
     collide; results don't depend on it.
     """
     entries = written(index_entries(docs, key_bits, held_bytes), "entries")
-    classes = written(exact_classes(entries, bucket_bytes), "entry-classes")
+    classes = exact_classes(entries, bucket_bytes)
     held = entries.select("entry", "sha", "ids").join(classes, "entry", "left").withColumn("class", F.coalesce("class", "entry"))
     group = held.groupBy("class").agg(
         F.max(F.array_max("ids")).alias("keep_id"), F.sum(F.size("ids")).cast("long").alias("group_size"))

@@ -605,6 +605,20 @@ def test_exact_dedup(spark, texts, tmp_path):
     assert exact.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_owners_follow_shared_texts(spark):
+    """Texts that no other text meets add no owners (so no files, each with processes that the executor starts for it)."""
+    rows = [(i, f"text {i} " * 20) for i in range(2000)] + [(5000 + i, f"copy {i % 40}") for i in range(80)]
+    entries = exact.index_entries(frame(spark, rows), held_bytes=1).cache()
+    classes = exact.exact_classes(entries, 4000)
+    assert len(classes.inputFiles()) == 1
+    named = {r.entry: r["class"] for r in classes.collect()}
+    held = defaultdict(set)
+    for r in entries.collect():
+        held[bytes(r.text)].add(named.get(r.entry, r.entry))
+    assert len(held) == 2040 and all(len(c) == 1 for c in held.values()) and len(set.union(*held.values())) == 2040
+    entries.unpersist()
+
+
 def test_directory(spark):
     """Buckets cover every key once; overfull ones are split, but for those of a single key."""
     rng = np.random.default_rng(2)

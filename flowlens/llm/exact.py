@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shuffle_partitions, written
+from .common import prepare, shuffle_partitions, text_batches, written
 
 KEY_BITS = 63
 #: Bytes of text that a bucket or a page of an overflow chain holds.
@@ -219,8 +219,9 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: int
     (keep_id is null then). Other columns are ignored. No rows give no rows. ``key_bits`` under 63 makes unlike texts
     collide; results don't depend on it.
     """
-    entries = written(index_entries(docs, key_bits, held_bytes), "entries")
-    classes = exact_classes(entries, bucket_bytes)
+    with text_batches(docs.sparkSession):
+        entries = written(index_entries(docs, key_bits, held_bytes), "entries")
+        classes = exact_classes(entries, bucket_bytes)
     held = entries.select("entry", "sha", "ids").join(classes, "entry", "left").withColumn("class", F.coalesce("class", "entry"))
     group = held.groupBy("class").agg(
         F.max(F.array_max("ids")).alias("keep_id"), F.sum(F.size("ids")).cast("long").alias("group_size"))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -605,6 +606,27 @@ def test_exact_dedup(spark, texts, tmp_path):
     assert exact.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_passes_small_batches(spark, monkeypatch):
+    """Batches of whole texts are bounded by bytes, not by 10,000 rows alone; the session's setting comes back."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    make = exact.index_entries
+
+    def weighed(docs, *args):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n_bytes": [b.nbytes]})
+
+        seen.extend(r.n_bytes for r in docs.select("text").mapInArrow(run, "n_bytes long").collect())
+        return make(docs, *args)
+
+    monkeypatch.setattr(exact, "index_entries", weighed)
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat("id", F.expr("repeat(' text', 1000)")).alias("text"))
+    assert exact.exact_dedup(rows).count() == 3000
+    assert len(seen) > 1 and max(seen) < 6 << 20 and sum(seen) > 14 << 20
+    assert spark.conf.get(key) == before
+
+
 def test_owners_follow_shared_texts(spark):
     """Texts that no other text meets add no owners (so no files, each with processes that the executor starts for it)."""
     rows = [(i, f"text {i} " * 20) for i in range(2000)] + [(5000 + i, f"copy {i % 40}") for i in range(80)]

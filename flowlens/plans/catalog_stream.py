@@ -21,8 +21,8 @@ from ..settings import DEFAULT_FLOW
 from ..streaming.flows import stream_flows
 from ..streaming.operators import (SENTINEL, fan_out, fan_out_blocks, stream_recent, stream_response, stream_score, stream_status,
                                    stream_throughput, with_emit_time)
-from ..streaming.ordered import assemble_stream, run_counting_late, score_stream
-from ..streaming.replay import packet_stream, read_stream, run_to_table, shuffled_stream, work_dir, write_slices
+from ..streaming.ordered import assemble_stream, run_counting_late, score_stream, state_partitions
+from ..streaming.replay import SLICE_ROWS, packet_stream, read_stream, run_to_table, shuffled_stream, work_dir, write_slices
 from . import context as C
 from .catalog import register
 from .catalog_more import ALERT_SQL, DUR, POLICY, _interim_sql, _intervals_ctes
@@ -95,13 +95,19 @@ def q_stream_flows(spark, sf):
 DISORDER_S = 90
 
 
+def _batch_partitions(spark, path) -> int:
+    """State partitions for a replay of the slices in ``path``."""
+    return state_partitions(spark, min(SLICE_ROWS, spark.read.option("recursiveFileLookup", "true").parquet(path).count()))
+
+
 def _shuffled_dir(spark, sf) -> str:
     k = C._key(spark, sf, "stream-shuffled")
     if k not in C._CACHE:
         wd = work_dir(spark, "stream-shuffled")
         ps = shuffled_stream(spark, C.packets(spark, sf), os.path.join(wd, "in"), DISORDER_S * 1_000_000, 4)
         flows = assemble_stream(ps, watermark=f"{DISORDER_S} seconds", reorder=True, interim=True)
-        if run_counting_late(flows, os.path.join(wd, "out"), os.path.join(wd, "ckpt")):
+        parts = _batch_partitions(spark, os.path.join(wd, "in"))
+        if run_counting_late(flows, os.path.join(wd, "out"), os.path.join(wd, "ckpt"), partitions=parts):
             raise RuntimeError("the replay has packets beyond its own disorder")
         C._CACHE[k] = os.path.join(wd, "out")
     return C._CACHE[k]
@@ -130,7 +136,8 @@ def q_stream_chain(spark, sf):
     """T1 into T2 in one streaming query, no table between them: packets in, scored events out."""
     wd = work_dir(spark, "stream-chain")
     ps = packet_stream(spark, C.packets(spark, sf), os.path.join(wd, "in"), 4)
-    run_counting_late(score_stream(assemble_stream(ps), C.profile(spark, sf)), os.path.join(wd, "out"), os.path.join(wd, "ckpt"))
+    run_counting_late(score_stream(assemble_stream(ps), C.profile(spark, sf)), os.path.join(wd, "out"), os.path.join(wd, "ckpt"),
+                      partitions=_batch_partitions(spark, os.path.join(wd, "in")))
     return spark.read.parquet(os.path.join(wd, "out")).select(
         "capture_id", "a_ip", "a_port", "b_ip", "b_port", "proto", "first_us", "emit_us", "src_ip",
         "history_len", "status", "severity", "reason", "threat_score")

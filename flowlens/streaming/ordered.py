@@ -28,24 +28,44 @@ from ..operators.profile import Profile
 from ..operators.scoring import EMIT_ORDER, context_sql, gate_sqls, score_anomaly, score_distances, score_routine, verdict_sqls
 from ..schema import KEY_COLS
 from ..settings import DEFAULT_FLOW, DEFAULT_THRESHOLDS, FlowConfig, Thresholds
-from .flows import _INT_AGGS, BASE_US, FLOW_STREAM_SCHEMA, SQUARES, STATE_FIELDS, STATE_SCHEMA, _add, _new
+from .flows import _INT_AGGS, BASE_US, FLOW_STREAM_SCHEMA, SQUARES, STATE_FIELDS, STATE_SCHEMA
+from .moments import PACKET, Moments, cut_flows, expiry, from_pandas, in_order
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PENDING = "ts_us long, seq long, fwd boolean, length int, header_len int, tcp_flags int"
+_PENDING = "part binary"
+#: Packets of one value of a key's list.
+PART = 1 << 14
 _PACKET = ["ts_us", "seq", "fwd", "length", "header_len", "tcp_flags"]
 _TIMER = "ms long"
 
 
+#: Rows of a micro-batch for each state partition, where there are more than cores.
+STATE_ROWS = 50_000
+
+
+def state_partitions(spark: SparkSession, batch_rows: int) -> int:
+    """State partitions for micro-batches of so many rows: one for each core, more where they'd have over ``STATE_ROWS``,
+    and the session's shuffle partitions at most. Each is a task with a state store and a Python worker in every micro-batch,
+    whether rows come to it or not."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, -(-batch_rows // STATE_ROWS))))
+
+
 @contextlib.contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB, which these operators need; the session's setting comes back."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+def rocksdb_state(spark: SparkSession, partitions: int | None = None):
+    """Queries started inside keep their state in RocksDB, which these operators need, in so many ``partitions`` (else as many
+    as the session shuffles to); the session's settings come back."""
+    new = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if partitions is not None:
+        new["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _ms(us: int) -> int:
@@ -77,7 +97,7 @@ class _Timed(StatefulProcessor):
 
 
 class FlowProcessor(_Timed):
-    """A key's open flow as running moments, its waiting packets as a list."""
+    """A key's open flow as running moments, its waiting packets as parts of ``PART`` packets, each one value of a list."""
 
     def __init__(self, cfg: FlowConfig, reorder: bool, interim: bool):
         self.cfg, self.reorder, self.interim = cfg, reorder, interim
@@ -87,79 +107,97 @@ class FlowProcessor(_Timed):
         self.flow = handle.getValueState("flow", STATE_SCHEMA)
         self.waiting = handle.getListState("waiting", _PENDING)
 
-    def _row(self, key, s, reason, emit_us, final) -> dict:
-        return {**dict(zip(KEY_COLS, key)), **{k: s[k] for k in _INT_AGGS},
-                "emit_us": emit_us, "close_reason": reason, "final": final}
-
-    def _expiry(self, s) -> int:
-        return min(s["last_us"] + self.cfg.idle_us, s["first_us"] + self.cfg.active_us)
-
-    def _expired(self, key, s) -> dict:
-        idle = s["last_us"] + self.cfg.idle_us <= s["first_us"] + self.cfg.active_us
-        return self._row(key, s, "idle" if idle else "active", self._expiry(s), True)
-
-    def _apply(self, key, packets, s, out) -> dict | None:
-        """Packets in the order of time -> the flow that stays open."""
-        tcp, first, step = int(key[5]) == 6, self.cfg.interim_min_packets, self.cfg.interim_step
-        for t, _, fwd, length, header, flags in packets:
-            if s is not None and t >= self._expiry(s):
-                out.append(self._expired(key, s))
-                s = None
-            if s is None:
-                s = _new(t)
-            _add(s, t, fwd, length, header, flags)
-            if tcp and (s["c_rst"] > 0 or s["c_fin"] >= 2):
-                out.append(self._row(key, s, "tcp_close", s["last_us"], True))
-                s = None
-            elif self.interim and s["n"] >= first and (s["n"] - first) % step == 0:
-                out.append(self._row(key, s, None, s["last_us"], False))
-        return s
-
-    def _advance(self, key, arrived: list, watermark_ms: int) -> Iterator:
+    def _expired(self, first_us: int, last_us: int) -> str:
+        return "idle" if last_us + self.cfg.idle_us <= first_us + self.cfg.active_us else "active"
+
+    def _apply(self, key, packets, s) -> tuple[list, dict | None]:
+        """Packets in the order of time -> frames of closed flows and snapshots, and the flow that stays open."""
+        import numpy as np
+
+        out, cfg = [], self.cfg
+        if s is not None and len(packets) and packets["ts_us"][0] >= expiry(s["first_us"], s["last_us"], cfg):
+            out.append(self._closed(key, s))
+            s = None
+        if not len(packets):
+            return out, s
+        start, end, tcp = cut_flows(packets, int(key[5]) == 6, cfg, s)
+        done = (end < len(packets)) | tcp
+        last = end[done] - 1
+        snaps = np.empty(0, np.int64)
+        if self.interim:
+            size = end - start
+            n = np.arange(len(packets)) - np.repeat(start, size) + 1
+            if s is not None:
+                n[:size[0]] += s["n"]
+            hit = (n >= cfg.interim_min_packets) & ((n - cfg.interim_min_packets) % cfg.interim_step == 0)
+            hit[end[tcp] - 1] = False
+            snaps = np.flatnonzero(hit)
+        m = Moments(packets, start, s, np.r_[last, snaps, len(packets) - 1])
+        rows, stop = m.rows(len(last) + len(snaps)), len(last) + len(snaps)
+        if stop:
+            first, final = rows["first_us"][:len(last)].tolist(), rows["last_us"][:len(last)].tolist()
+            closed = tcp[done].tolist()
+            reason = ["tcp_close" if c else self._expired(x, y) for c, x, y in zip(closed, first, final, strict=True)]
+            emit = [y if c else expiry(x, y, cfg) for c, x, y in zip(closed, first, final, strict=True)]
+            out.append(_flow_frame(key, rows, np.r_[np.array(emit, np.int64), packets["ts_us"][snaps]], reason + [None] * len(snaps)))
+        return out, None if done[-1] else m.state(-1)
+
+    def _closed(self, key, s):
+        """An open flow that has run out of time."""
+        rows = {k: [s[k]] for k in _INT_AGGS}
+        return _flow_frame(key, rows, [expiry(s["first_us"], s["last_us"], self.cfg)], [self._expired(s["first_us"], s["last_us"])])
+
+    def _advance(self, key, arrived, watermark_ms: int) -> Iterator:
+        import numpy as np
+
         passed = watermark_ms * 1000 - BASE_US
         s = dict(zip(STATE_FIELDS, self.flow.get())) if self.flow.exists() else None
-        had, out, later = s is not None, [], []
+        had, due = s is not None, []
         if self.reorder:
-            arrived = arrived + [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else arrived
-            later = [p for p in arrived if p[0] > passed]
-            arrived = [p for p in arrived if p[0] <= passed]
-            if later:
-                self.waiting.put(later)
+            if self.waiting.exists():
+                arrived = np.concatenate([arrived, *[np.frombuffer(r[0], PACKET) for r in self.waiting.get()]])
+            ahead = arrived["ts_us"] > passed
+            later, arrived = arrived[ahead], arrived[~ahead]
+            if len(later):
+                self.waiting.put([(later[i:i + PART].tobytes(),) for i in range(0, len(later), PART)])
+                due.append(int(later["ts_us"].min()))
             else:
                 self.waiting.clear()
-        s = self._apply(key, sorted(arrived), s, out)
-        if s is not None and self._expiry(s) <= passed:
-            out.append(self._expired(key, s))
+        out, s = self._apply(key, in_order(arrived), s)
+        if s is not None and expiry(s["first_us"], s["last_us"], self.cfg) <= passed:
+            out.append(self._closed(key, s))
             s = None
         if s is not None:
             self.flow.update(tuple(s[k] for k in STATE_FIELDS))
+            due.append(expiry(s["first_us"], s["last_us"], self.cfg))
         elif had:
             self.flow.clear()
-        next_due = [p[0] for p in later] + ([self._expiry(s)] if s is not None else [])
-        self._due(min(next_due) if next_due else None)
-        if out:
-            yield _flow_frame(out)
+        self._due(min(due) if due else None)
+        yield from out
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        arrived = []
-        for pdf in rows:
-            pdf = pdf[_PACKET].fillna({"header_len": 0, "tcp_flags": 0}).astype({"header_len": "int64", "tcp_flags": "int64"})
-            arrived += zip(*[pdf[c].tolist() for c in _PACKET])
-        yield from self._advance(key, arrived, timerValues.getCurrentWatermarkInMs())
+        import numpy as np
+
+        yield from self._advance(key, np.concatenate([from_pandas(pdf) for pdf in rows]), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import numpy as np
+
         self.timer.clear()
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, np.empty(0, PACKET), timerValues.getCurrentWatermarkInMs())
 
 
-def _flow_frame(rows: list[dict]):
+def _flow_frame(key, rows: dict, emit_us, reason: list):
+    """Rows of the moments at their emission; those without a reason are snapshots."""
+    import numpy as np
     import pandas as pd
 
-    df = pd.DataFrame(rows)
-    for k in [*(k for k in _INT_AGGS if k not in SQUARES), "emit_us"]:
-        df[k] = df[k].astype("Int64")
-    df["ts"] = pd.to_datetime(BASE_US + df["emit_us"].astype("int64"), unit="us")
-    return df[[f.name for f in FLOW_STREAM_SCHEMA.fields]]
+    emit = np.asarray(emit_us, np.int64)
+    data = {k: [v] * len(emit) for k, v in zip(KEY_COLS, key)}
+    data |= {k: v if k in SQUARES else pd.array(v, "Int64") for k, v in rows.items()}
+    data |= {"emit_us": emit, "close_reason": np.array(reason, object), "final": np.array([r is not None for r in reason]),
+             "ts": pd.to_datetime(BASE_US + emit, unit="us")}
+    return pd.DataFrame(data)[[f.name for f in FLOW_STREAM_SCHEMA.fields]]
 
 
 def assemble_stream(packets: DataFrame, cfg: FlowConfig = DEFAULT_FLOW, watermark: str = "0 seconds",
@@ -256,14 +294,14 @@ def score_stream(flows: DataFrame, profile: Profile, t: Thresholds = DEFAULT_THR
     return ctx.withColumns({k: F.expr(v) for k, v in verdict_sqls(t).items()})
 
 
-def run_counting_late(stream: DataFrame, out_path: str, checkpoint: str, poll_s: float = 0.5) -> int:
+def run_counting_late(stream: DataFrame, out_path: str, checkpoint: str, poll_s: float = 0.5, partitions: int | None = None) -> int:
     """Run ``stream`` with ``availableNow`` into Parquet and return how many rows came too late for the watermark.
 
     Spark drops such rows at each stateful operator and reports their number by micro-batch; the sum of the first
-    operator, the one that reads the packets, is returned.
+    operator, the one that reads the packets, is returned. ``partitions``: of the state, see :func:`rocksdb_state`.
     """
     late: dict[int, int] = {}
-    with rocksdb_state(stream.sparkSession):
+    with rocksdb_state(stream.sparkSession, partitions):
         q = (stream.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
         done = False

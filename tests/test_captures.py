@@ -378,3 +378,35 @@ def test_stream_of_arriving_and_growing_files(spark, tmp_path):
     assert 10 < first < second < run() == 160 == run()
     got = spark.read.parquet(out)
     assert read_captures(spark, str(tmp_path / "in")).exceptAll(got).isEmpty()
+
+
+def test_ranges_next_to_each_other_share_the_search(monkeypatch):
+    """Small ranges read one after another follow the chains of a stretch once, and find the records of the whole file."""
+    frames = [encode_frame(40 + k * 37 % 700, (6, 17)[k % 2], "10.0.0.5", "10.0.2.9", 443, 40_000 + k % 16, 40, 16) for k in range(300)]
+    data = pcap([]) + b"".join(pcap([(1 + k // 900, k % 900 * 1100, frames[k % 300])])[24:] for k in range(9_000))
+
+    class At:
+        def read_at(self, n, at):
+            return data[at:at + n]
+
+    whole, searched = ranges(data, len(data), 1 << 18), []
+    leads = RecordFile._leads
+    monkeypatch.setattr(RecordFile, "_leads", lambda self, at, stop: searched.append(at) or leads(self, at, stop))
+    file = RecordFile(At(), len(data), 1 << 18)
+    assert [r for at in range(0, len(data), 1 << 14) for r in file.records(at, at + (1 << 14))] == whole and len(whole) == 9_000
+    assert 5 < len(searched) < len(data) // (1 << 14) // 8
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_one_file_in_ranges_of_any_size(seed):
+    """As one file object, and as a new one for each range: payloads hold zeros, record headers and whole captures."""
+    data = pcap(planted(300, seed), "<>"[seed % 2])
+    whole = ranges(data, len(data))
+    class At:  # noqa: E306
+        def read_at(self, n, at):
+            return data[at:at + n]
+
+    for limit, step in ((4096, 500), (1 << 14, 3000), (2048, 97)):
+        file = RecordFile(At(), len(data), limit)
+        assert [r for at in range(0, len(data), step) for r in file.records(at, at + step)] == whole
+        assert ranges(data, 7000, limit) == whole

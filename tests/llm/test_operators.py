@@ -498,6 +498,70 @@ def test_links_against_all_pairs(spark):
         assert seen == want
 
 
+def test_longest_holders_against_all_pairs():
+    """The place in a smaller doc_id that shares the most of what follows, for each seed of a name that has one."""
+    rng = np.random.default_rng(41)
+    for _ in range(60):
+        rows = sorted((rng.integers(0, 3, int(rng.integers(0, 6))).astype(">u2").tobytes(), int(d), i) for i, d in enumerate(rng.integers(0, 12, 40)))
+        group = substring.Longest()
+        for follows, doc, pos in rows:
+            group.add(doc, pos, follows)
+        group.close()
+        at = {pos: (follows, doc) for follows, doc, pos in rows}
+        best = {pos: max((substring._shared_blocks(f, g) for g, d, _ in rows if d < doc), default=None) for pos, (f, doc) in at.items()}
+        links = [x for x in group.out if x[0] != x[1]]
+        assert sorted(x[2] for x in group.out) == list(range(40))
+        got = {pos: reach for _, _, pos, _, reach in links}
+        assert got == {p: substring.FAR + substring.block_start(n) for p, n in best.items() if n is not None} and len(links) == len(got)
+        for doc, src, pos, spos, reach in links:
+            assert at[pos][1] == doc > src == at[spos][1]
+            assert substring._shared_blocks(at[pos][0], at[spos][0]) >= (reach - substring.FAR) // substring.STEP
+    assert [substring.block_start(n) for n in (0, 1, 255, 256, 257, 512, 513)] == [0, 8, 2040, 2048, 2064, 6144, 6176]
+
+
+def test_common_texts_of_equal_ends(spark):
+    """A passage that more documents hold than are linked, at the end of the texts, in a row for each; nothing is beyond a text."""
+    rng = np.random.default_rng(47)
+    words = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    passage = words(70)
+    docs = [[*words(10 + i % 7), *passage] for i in range(80)]
+    got = {r.doc_id: r for r in substring.repeated_passages(frame(spark, [(i, " ".join(d)) for i, d in enumerate(docs)])).collect()}
+    assert sorted(got) == list(range(1, 80))
+    for i, r in got.items():
+        assert (r.start_word, r.end_word, r.similarity) == (10 + i % 7, len(docs[i]), 1.0) and r.source_end == len(docs[r.source_id])
+
+
+def test_passages_of_common_parts(spark):
+    """Documents put together from a few parts that all of them hold: every exact run of 60 words that an earlier document
+    shares lies in a row, to 16 words, though all its seeds, and 30 words from each, have more places than are linked."""
+    rng = np.random.default_rng(43)
+    words = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    stock = [words(int(n)) for n in rng.integers(45, 90, 5)]
+    docs = []
+    for _ in range(500):
+        runs = [[w for s in rng.integers(0, 5, int(rng.integers(2, 7))) for w in stock[s]] for _ in range(2)]
+        docs.append([*words(20), *runs[0], *words(25), *runs[1], *words(15)])
+    found = defaultdict(list)
+    for r in substring.repeated_passages(frame(spark, [(i, " ".join(d)) for i, d in enumerate(docs)])).collect():
+        found[r.doc_id].append((r.start_word, r.end_word))
+        if r.similarity == 1.0:
+            assert docs[r.doc_id][r.start_word:r.end_word] == docs[r.source_id][r.source_start:r.source_end]
+    names, missed, runs = {}, 0, 0
+    power = np.cumprod(np.r_[np.uint64(1), np.full(2000, 0x9E3779B97F4A7C15, np.uint64)])
+    seen = {n: set() for n in range(60, 500, 10)}
+    for i, d in enumerate(docs):  # by brute force: all runs of 60, 70, ... words that a document before holds
+        x = np.array([names.setdefault(w, int(rng.integers(1, 1 << 63))) for w in d], np.uint64)
+        total = np.cumsum(np.r_[np.uint64(0), x * power[:len(x)]])
+        longest: dict[int, int] = {}
+        for n in (n for n in seen if n <= len(d)):
+            grams = ((total[n:] - total[:-n]) * power[len(d) - np.arange(len(d) - n + 1)]).tolist()
+            longest |= {k: n for k, g in enumerate(grams) if g in seen[n]}
+            seen[n].update(grams)
+        runs += len(longest)
+        missed += sum(not any(a <= k + 16 and b >= k + n - 16 for a, b in found[i]) for k, n in longest.items())
+    assert runs > 10_000 and missed == 0, (missed, runs)
+
+
 def test_passages_against_all_pairs(spark):
     """Exact shared runs of 50 words and more between any two documents of a small table: each is named, or lies in a
     passage that is, whose source in turn names where it is from; a common seed has many places."""
